@@ -7,8 +7,10 @@ import importlib
 _MODULES = {
     "op2_chat_format": "chat_format",
     "op3_byte_bpe": "byte_bpe",
+    "op5_quality": "quality",
     "op6_simhash_near_dedup": "simhash",
     "op7_exact_dedup": "exact_dedup",
+    "op9_decontaminate": "decontaminate",
 }
 
 QUERIES = {}
