@@ -7,10 +7,12 @@ import importlib
 _MODULES = {
     "op2_chat_format": "chat_format",
     "op3_byte_bpe": "byte_bpe",
+    "op4_warc": "warc",
     "op5_quality": "quality",
     "op6_simhash_near_dedup": "simhash",
     "op7_exact_dedup": "exact_dedup",
     "op9_decontaminate": "decontaminate",
+    "op10_language_id": "language_id",
 }
 
 QUERIES = {}
