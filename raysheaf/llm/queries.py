@@ -11,6 +11,7 @@ _MODULES = {
     "op5_quality": "quality",
     "op6_simhash_near_dedup": "simhash",
     "op7_exact_dedup": "exact_dedup",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_decontaminate": "decontaminate",
     "op10_language_id": "language_id",
 }
