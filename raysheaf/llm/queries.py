@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_license_scan": "license_scan",
     "op2_chat_format": "chat_format",
     "op3_byte_bpe": "byte_bpe",
     "op4_warc": "warc",
