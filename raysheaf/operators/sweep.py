@@ -63,8 +63,9 @@ def sweep_grouped(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold:
         out = _sweep_direction(faces, state, threshold)
         return out.assign(dir=np.int32(key[0]))[["dir", "cell_id", "incoming", "outgoing"]]
 
-    left = wind.select("dir", "cell_id", "neighbour_id", "kind", "share").groupBy("dir")
-    return left.cogroup(cells.select("dir", "cell_id", "tau", "own", "inflow").groupBy("dir")).applyInPandas(run, STATE)
+    fresh = lambda df, names: df.select(*(F.col(c).alias(c) for c in names)).groupBy("dir")  # noqa: E731  both may come from one table
+    left = fresh(wind, ("dir", "cell_id", "neighbour_id", "kind", "share"))
+    return left.cogroup(fresh(cells, ("dir", "cell_id", "tau", "own", "inflow"))).applyInPandas(run, STATE)
 
 
 def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0, max_waves: int = 100_000) -> DataFrame:

@@ -145,7 +145,9 @@ def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float]
     for _ in range(max_rounds):
         everything = width >= 2 * longest
 
-        def build(pdf: pd.DataFrame, reach=math.inf if everything else width) -> pd.DataFrame:
+        reach = math.inf if everything else width
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
             own = pdf[pdf["own"]]
             others = pdf[~pdf["own"]]
             where, ids = others[["x", "y", "z"]].to_numpy(), others["cell_id"].to_numpy()
@@ -153,7 +155,7 @@ def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float]
             out = []
             for cell in own.itertuples():
                 at = np.array([cell.x, cell.y, cell.z])
-                body, final = cell_of(at, where, ids, low, high, reach)
+                body, final = cell_of(at, where, ids, low, high, reach)  # noqa: B023
                 size, faces = faces_of(body, at, positions)
                 out.append((cell.cell_id, *at, size, any(f["neighbour_id"] is None for f in faces), final, faces))
             return pd.DataFrame(out, columns=schema.names)

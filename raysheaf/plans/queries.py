@@ -66,9 +66,9 @@ def row_count(spark, d):
     return T.particles(spark, d).agg(F.count("*").alias("n"), F.count_distinct("particle_id").alias("ids"))
 
 
-@query(f"""WITH {P_SQL} SELECT particle_id, temperature * 1.0e5 / (1 + xhii) * ({U.GAMMA - 1!r} * {U.PROTON_MASS!r} / {U.BOLTZMANN!r}) AS t FROM particles""")
+@query(f"""WITH {P_SQL} SELECT particle_id, round(temperature * 1.0e5 / (1 + xhii) * ({U.GAMMA - 1!r} * {U.PROTON_MASS!r} / {U.BOLTZMANN!r}), 6) AS t FROM particles""")
 def particle_temperature(spark, d):
-    return T.particles(spark, d).select("particle_id", P.temperature_of(F.col("temperature") * 1.0e5, F.col("xhii")).alias("t"))
+    return T.particles(spark, d).select("particle_id", r(P.temperature_of(F.col("temperature") * 1.0e5, F.col("xhii")), 6).alias("t"))
 
 
 @query(f"WITH {P_SQL} SELECT particle_id, greatest(1e-10::DOUBLE, least(0.76::DOUBLE * xhii, 1 - 1e-10::DOUBLE)) AS fraction, 0.0::DOUBLE AS initial FROM particles")
