@@ -32,7 +32,7 @@ from ..session import discard, materialise, release_shuffles
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM  # bytes that an anchor may be into a string, at most
-BLOCK = 2 << 20  # bytes whose anchors are found at once
+BLOCK = 1 << 19  # bytes whose anchors are found at once
 GROUP = 4_000  # classes of a run that one task sorts
 PAIRS = 12  # up to so many classes are compared in pairs, by their common prefixes
 SHALLOW = 12  # bytes that multikey quicksort looks at beyond the common run
@@ -397,8 +397,10 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     anchors = materialise(_anchor_rows(long), "anchors")
     spot = F.xxhash64("key", "place")
     again = anchors.groupBy("run").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("run")
+    again = materialise(again, "again")  # so that the join reads both sides from a shuffle, which AQE can split at a hot run
     dups = materialise(anchors.join(again, "run", "left_semi"), "repeated")
     discard(anchors)
+    discard(again)
     release_shuffles(docs.sparkSession)
     classes = dups.groupBy("run", "owned").agg(F.min(spot).alias("least"), F.max(spot).alias("most"))
     classes = materialise(classes, "classes")
