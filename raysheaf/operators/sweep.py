@@ -38,18 +38,25 @@ def _sweep_direction(faces: pd.DataFrame, cells: pd.DataFrame, threshold: float)
     order = np.argsort(src, kind="stable")
     src, dst, share = src[order], dst[order], share[order]
     begin = np.searchsorted(src, np.arange(n + 1))
-    waiting = np.bincount(dst, minlength=n)
     incoming, outgoing = cells["inflow"].to_numpy(dtype=float).copy(), np.zeros(n)
+    fixed = cells["fixed"].to_numpy(dtype=float)
+    idle = ~np.isnan(fixed)
+    outgoing[idle] = fixed[idle]
+    from_idle = idle[src]
+    np.add.at(incoming, dst[from_idle], outgoing[src[from_idle]] * share[from_idle])
+    waiting = np.bincount(dst[~from_idle], minlength=n)
+    waiting[idle] = -1  # never swept: theirs is the rate of their own last sweep
     own, passed = cells["own"].to_numpy(dtype=float), np.exp(-cells["tau"].to_numpy(dtype=float))
-    ready, swept = np.flatnonzero(waiting == 0), 0
+    ready, swept = np.flatnonzero(waiting == 0), int(idle.sum())
     while len(ready):
         total = incoming[ready] + own[ready]
         outgoing[ready] = np.where(total < threshold, 0.0, total * passed[ready])
         swept += len(ready)
         edges = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in ready]) if len(ready) else np.zeros(0, int)
         np.add.at(incoming, dst[edges], outgoing[src[edges]] * share[edges])
-        np.subtract.at(waiting, dst[edges], 1)
-        touched = np.unique(dst[edges])
+        active = dst[edges][~idle[dst[edges]]]
+        np.subtract.at(waiting, active, 1)
+        touched = np.unique(active)
         ready = touched[waiting[touched] == 0]
     if swept < n:
         raise ValueError(f"{n - swept} cells wait for each other: the grid has a cycle")
@@ -57,7 +64,8 @@ def _sweep_direction(faces: pd.DataFrame, cells: pd.DataFrame, threshold: float)
 
 
 def sweep_grouped(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``cells``: cell_id, tau, own (source per direction) and, per direction, dir and inflow; ``wind``: rows of ``downwind``."""
+    """``cells``: cell_id, tau, own (source per direction) and, per direction, dir, inflow and fixed (outgoing rate of a cell that
+    isn't swept, null for others); ``wind``: rows of ``downwind``."""
 
     def run(key, faces, state):
         out = _sweep_direction(faces, state, threshold)
@@ -65,18 +73,24 @@ def sweep_grouped(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold:
 
     fresh = lambda df, names: df.select(*(F.col(c).alias(c) for c in names)).groupBy("dir")  # noqa: E731  both may come from one table
     left = fresh(wind, ("dir", "cell_id", "neighbour_id", "kind", "share"))
-    return left.cogroup(fresh(cells, ("dir", "cell_id", "tau", "own", "inflow"))).applyInPandas(run, STATE)
+    return left.cogroup(fresh(cells, ("dir", "cell_id", "tau", "own", "inflow", "fixed"))).applyInPandas(run, STATE)
 
 
 def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0, max_waves: int = 100_000) -> DataFrame:
     """The same in waves: a cell is swept when all its upwind neighbours are."""
     edges = materialise(wind.where("kind = 'interior'").select("dir", "cell_id", "neighbour_id", "share"), "edges")
-    waiting = edges.groupBy("dir", F.col("neighbour_id").alias("cell_id")).agg(F.count("*").alias("waiting"))
-    state = cells.join(waiting, ["dir", "cell_id"], "left").select(
-        "dir", "cell_id", "tau", "own", F.col("inflow").alias("incoming"), F.coalesce("waiting", F.lit(0)).alias("waiting")
+    cells = materialise(cells.select("dir", "cell_id", "tau", "own", "inflow", "fixed"), "state")
+    idle = cells.where("fixed is not null").select("dir", "cell_id", F.col("fixed").alias("outgoing"))
+    part = F.col("outgoing") * F.col("share")
+    to = F.col("neighbour_id").alias("cell_id")
+    given = idle.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(part).alias("given"))
+    active = cells.where("fixed is null")
+    waiting = edges.join(active.select("dir", "cell_id"), ["dir", "cell_id"], "left_semi").groupBy("dir", to).agg(F.count("*").alias("waiting"))
+    state = active.join(waiting, ["dir", "cell_id"], "left").join(given, ["dir", "cell_id"], "left").select(
+        "dir", "cell_id", "tau", "own", (F.col("inflow") + F.coalesce("given", F.lit(0.0))).alias("incoming"), F.coalesce("waiting", F.lit(0)).alias("waiting")
     )
-    state, done, left = materialise(state, "wave"), [], cells.count()
-    for _ in range(max_waves):
+    state, done, left = materialise(state, "wave"), [], active.count()
+    for _ in range(max_waves if left else 0):
         ready = state.where("waiting = 0")
         total = F.col("incoming") + F.col("own")
         out = ready.select("dir", "cell_id", "incoming", F.when(total < threshold, 0.0).otherwise(total * F.exp(-F.col("tau"))).alias("outgoing"))
@@ -97,16 +111,22 @@ def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: f
         following = materialise(rest, "wave")
         discard(state)
         state = following
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float = 0.0, inflow: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
+    result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
+    for swept in done:
+        result = result.unionByName(swept)
+    if idle.isEmpty():
+        return result
+    rates = result.select("dir", "cell_id", "outgoing").unionByName(idle)
+    got = rates.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(part).alias("got"))
+    still = cells.where("fixed is not null").join(got, ["dir", "cell_id"], "left")
+    return result.unionByName(still.select("dir", "cell_id", (F.col("inflow") + F.coalesce("got", F.lit(0.0))).alias("incoming"), F.col("fixed").alias("outgoing")))
+
+
+def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float = 0.0, inflow: DataFrame | None = None, fixed: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
     """(dir, cell_id, incoming, outgoing) for cells (cell_id, tau, source), FACES and directions.
 
     ``inflow`` (dir, cell_id, inflow) is what periodic neighbours sent in the sweep before. Rates below ``threshold`` end.
+    ``fixed`` (dir, cell_id, fixed) lists cells that aren't swept now: they go on sending their rates and still receive.
     """
     n_dirs = dirs.count()
     state = cells.select("cell_id", "tau", (F.col("source") / n_dirs).alias("own")).crossJoin(F.broadcast(dirs.select("dir")))
@@ -114,6 +134,10 @@ def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float
         state = state.withColumn("inflow", F.lit(0.0))
     else:
         state = state.join(inflow, ["dir", "cell_id"], "left").fillna(0.0, ["inflow"])
+    if fixed is None:
+        state = state.withColumn("fixed", F.lit(None).cast("double"))
+    else:
+        state = state.join(fixed, ["dir", "cell_id"], "left")
     wind = downwind(faces, dirs)
     if strategy is None:
         strategy = "grouped" if faces.count() <= GROUPED_FACES else "waves"

@@ -50,9 +50,16 @@ class Simulation:
     def __post_init__(self):
         self.time, self.step, self.round = 0.0, 0, 0
         self.performance = Performance()
-        start = {"level": F.lit(self.n_levels - 1), "photon_rate": F.lit(0.0), "ionization_time": F.lit(float("inf"))}
+        start = {
+            "level": F.lit(self.n_levels - 1),
+            "photon_rate": F.lit(0.0),
+            "previous_rate": F.lit(0.0),
+            "change_timescale": F.lit(0.0),
+            "ionization_time": F.lit(float("inf")),
+        }
         self.cells = materialise(self.cells.withColumns({k: v for k, v in start.items() if k not in self.cells.columns}), "cells")
         self.inflow: DataFrame | None = None
+        self.rates: DataFrame | None = None  # of the last sweep, per direction and cell
         pairs = grid.asymmetric_pairs(self.faces)
         if not pairs.isEmpty():
             raise ValueError("the faces aren't symmetric")
@@ -67,36 +74,41 @@ class Simulation:
         return self.cosmology.time_spec(self.time) if self.cosmology else {"time_elapsed": self.time}
 
     def sweep_level(self, level: int) -> None:
-        """One sweep and chemistry step of the cells at ``level`` and above; others keep their state and go on sending."""
+        """One sweep and chemistry step of the cells at ``level`` and above, each over its own level's step; the others keep
+        their state and go on sending the rates of their own last sweep."""
         begin = clock.perf_counter()
-        dt = self.max_timestep * 0.5**level
         tau = sweep.kappa(F.col("density"), F.col("xhii"), F.col("size"))
         state = self.cells.select("cell_id", tau.alias("tau"), "source")
-        swept = materialise(sweep.sweep(state, self.faces, self.directions, self.threshold, self.inflow), "sweep")
-        self.inflow = materialise(sweep.periodic_inflow(swept, self.faces, self.directions), "inflow")
-        rate = sweep.photon_rate(swept).join(self.cells.select("cell_id", "source"), "cell_id").select("cell_id", (F.col("rate") + F.col("source")).alias("rate"))
-        before = F.col("photon_rate")
-        cells = self.cells.join(rate, "cell_id")
+        fixed = None
+        if self.rates is not None:
+            idle = self.cells.where(F.col("level") < level).select("cell_id")
+            fixed = self.rates.join(idle, "cell_id", "left_semi").select("dir", "cell_id", F.col("outgoing").alias("fixed"))
+        swept = materialise(sweep.sweep(state, self.faces, self.directions, self.threshold, self.inflow, fixed), "sweep")
+        inflow = materialise(sweep.periodic_inflow(swept, self.faces, self.directions), "inflow")
+        self.rates, self.inflow = swept, inflow
+        # the sweep's incoming rates hold what periodic neighbours sent; the source comes on top
+        rate = sweep.photon_rate(swept).withColumnRenamed("rate", "incoming_rate")
+        cells = self.cells.join(rate, "cell_id").withColumn("rate", F.col("incoming_rate") + F.col("source"))
         active = cells.where(F.col("level") >= level)
-        changed = solver.evolve(active, dt, self.a, self.chemistry_safety, self.prevent_cooling)
-        change = metrics.relative_change(before, F.col("rate"), self.threshold)
-        by_rate = F.coalesce(F.try_divide(F.lit(dt * self.safety), change), F.lit(float("inf")))
-        desired = F.least(F.col("timescale"), by_rate) * self.safety
-        allowed = levels.lowest_allowed(self.n_levels, self.round)
-        changed = changed.withColumns(
-            {
-                "level": levels.floored(levels.level_of(desired, self.max_timestep, self.n_levels), allowed),
-                "ionization_time": F.when((F.col("xhii") > 0.5) & (F.col("ionization_time") == float("inf")), self.time + dt).otherwise(F.col("ionization_time")),
-            }
-        )
-        changed = changed.withColumn("photon_rate", F.col("rate")).select(*self.cells.columns)
-        idle = self.cells.where(F.col("level") < level)
+        parts = []
+        for own in range(level, self.n_levels):
+            dt = levels.step_of(F.lit(own), self.max_timestep)
+            step = self.max_timestep * 0.5**own
+            stepped = solver.evolve(active.where(F.col("level") == own), step, self.a, self.chemistry_safety, self.prevent_cooling)
+            change = F.when(F.abs("rate") < abs(self.threshold), 0.0).otherwise(metrics.relative_change(F.col("rate"), F.col("previous_rate")))
+            by_rate = F.coalesce(F.try_divide(dt, change), F.lit(float("inf")))
+            parts.append(stepped.withColumn("change_timescale", F.least("timescale", by_rate)))
+        changed = parts[0]
+        for part in parts[1:]:
+            changed = changed.unionByName(part)
+        changed = changed.withColumns({"photon_rate": F.col("incoming_rate"), "previous_rate": F.col("rate")}).select(*self.cells.columns)
+        idle = cells.where(F.col("level") < level).withColumn("photon_rate", F.col("incoming_rate")).select(*self.cells.columns)
         old, self.cells = self.cells, materialise(changed.unionByName(idle), "cells")
         discard(old)
         self.performance.record(f"level {level}", clock.perf_counter() - begin)
 
     def run_round(self) -> float:
-        """One round of the schedule; the time that it covers."""
+        """One round of the schedule, then new levels for all cells; the time that it covers."""
         floor = levels.lowest_allowed(self.n_levels, self.round)
         counts = {r.level: r.active for r in levels.active_per_level(self.cells, self.n_levels).collect()}
         for level in levels.schedule(self.n_levels, floor):
@@ -104,6 +116,12 @@ class Simulation:
                 self.sweep_level(level)
         elapsed = self.max_timestep * 0.5**floor
         self.time, self.step, self.round = self.time + elapsed, self.step + 1, self.round + 1
+        allowed = levels.lowest_allowed(self.n_levels, self.round)
+        desired = levels.level_of(F.col("change_timescale") * self.safety, self.max_timestep, self.n_levels)
+        reached = (F.col("xhii") > 0.5) & (F.col("ionization_time") == float("inf"))
+        relevelled = {"level": levels.floored(desired, allowed), "ionization_time": F.when(reached, self.time).otherwise(F.col("ionization_time"))}
+        old, self.cells = self.cells, materialise(self.cells.withColumns(relevelled), "cells")
+        discard(old)
         for hook in self.hooks:
             hook(self)
         return elapsed
