@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "unknown"
-SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their text
+SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their ids
 SAMPLE_PARAGRAPHS = 2_000
 RENDERINGS = 60  # of each template
 SPAN = 120
@@ -257,9 +257,12 @@ def train(unknown: list[list[bytes]], seed: int = 5, rounds: int = 150, l2: floa
     return model
 
 
-def unknown_paragraphs(docs: DataFrame, text_col: str = "text") -> list[list[bytes]]:
+def unknown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[bytes]]:
     """Paragraphs of a bounded sample of documents that hold no half of any template."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(text_col).orderBy(F.xxhash64(text_col), text_col).limit(SAMPLE_DOCS).collect()
+    rank = F.xxhash64(id_col)
+    known = docs.where(F.col(text_col).isNotNull())
+    last = known.select(rank.alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).agg(F.max("rank")).first()[0]  # only ranks are sorted
+    rows = [] if last is None else known.where(rank <= last).select(text_col).limit(SAMPLE_DOCS).collect()
     model, out = Model(), []
     for row in rows:
         for words in _paragraphs(words_of(row[0])):
