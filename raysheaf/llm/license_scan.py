@@ -22,7 +22,7 @@ UNKNOWN = "unknown"
 SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their ids
 SAMPLE_PARAGRAPHS = 2_000
 RENDERINGS = 60  # of each template
-SPAN = 120
+SPAN = 48  # words; no template is longer
 CONFIRM = 0.5  # share of a template's word pairs that confirms a family
 FALSE_ALARM = 0.001  # share of held back unknown paragraphs that may pass the threshold
 BATCH_BYTES = 4 << 20
