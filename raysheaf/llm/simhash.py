@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,22 +63,22 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _index(nodes: DataFrame) -> DataFrame:
-    """(key, fp): the 64 one-wildcard variants of the three segments; a key holds the wildcard's position above bit 32."""
+def variant_keys() -> list[Column]:
+    """The 64 one-wildcard variants of the three segments of ``fp``; a key holds the wildcard's position above bit 32."""
     keys = []
     for begin, bits in SEGMENTS:
         for bit in range(bits):
             kept = ((1 << bits) - 1) & ~(1 << bit)
             segment = F.shiftrightunsigned("fp", begin).bitwiseAND(F.lit(kept).cast("long"))
             keys.append(segment + F.lit((begin + bit) << 32).cast("long"))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return keys
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (fp) at ``distance`` or fewer differing bits, each once."""
     if distance // len(SEGMENTS) > 1:
         raise ValueError("with three segments a distance of up to 5 is complete")
-    index = _index(nodes)
+    index = nodes.select(F.explode(F.array(*variant_keys())).alias("key"), "fp")
     left = index.select("key", F.col("fp").alias("a"))
     right = index.select("key", F.col("fp").alias("b"))
     differ = "(a ^ b)"
