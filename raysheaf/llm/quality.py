@@ -6,7 +6,7 @@ weights and taking the top k draws k documents without replacement in proportion
 
 n-grams are runs of 4 bytes, hashed to 2^16 buckets, and word pairs, which go to two buckets more: a word that repeats the one
 before it, and any other. The raw model counts every document. The target model is fitted on a bounded sample of labelled
-rows, half of which are held back to place k: the number of documents whose log weight is above the cut that best parts held
+rows, a quarter of which is held back to place k: the number of documents whose log weight is above the cut that best parts held
 back good rows from bad ones. Counts leave a task as one histogram; documents never move.
 """
 
@@ -25,6 +25,7 @@ from ..session import materialise
 BITS = 16
 BUCKETS = (1 << BITS) + 2
 LABELLED = 20_000  # labelled rows that are used, at most: those with the smallest hashes of their ids
+SMOOTHING = 8.0  # pseudo-counts a bucket that draw the target model to the raw one
 LOST_COST = 3.0  # a good document lost counts as so many bad ones kept when the cut is placed
 SEED = 17
 BATCH_BYTES = 4 << 20
@@ -81,7 +82,7 @@ def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit(docs: DataFrame, target_ids: set, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 1.0) -> np.ndarray:
+def fit(docs: DataFrame, target_ids: set, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING) -> np.ndarray:
     """Per bucket log p_target - log p_raw. Without target rows the two models are the same and all weights are 0."""
     sent = docs.sparkSession.sparkContext.broadcast(target_ids)
 
@@ -174,7 +175,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     their fate. Without labels of both kinds everything is selected. Only the named columns are read.
     """
     sample = labelled_sample(labels).collect()  # LABELLED rows at most
-    fitted = {row.doc_id for row in sample if row.good and zlib.crc32(str(row.doc_id).encode()) % 2}
+    fitted = {row.doc_id for row in sample if row.good and zlib.crc32(str(row.doc_id).encode()) % 4}
     scored = materialise(score(docs, fit(docs, fitted, id_col, text_col), id_col, text_col), "scores")
     if k is None:
         held = [(row.doc_id, row.good) for row in sample if row.doc_id not in fitted]
