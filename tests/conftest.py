@@ -32,8 +32,10 @@ def duck():
 
 def same_rows(a, b):
     """Whether two pandas frames hold the same rows in any order, columns by name."""
+    import pandas as pd
+
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
-    show = lambda v: "" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: "" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     rows = lambda x: sorted(tuple(show(v.item() if hasattr(v, "item") else v) for v in r) for r in x[columns].itertuples(index=False))
     return rows(a) == rows(b)
