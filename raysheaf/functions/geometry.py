@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +112,30 @@ def bucket(point: Sequence[Column], low: Sequence[float], width: float) -> list[
 def cell_size_of_volume(volume: Column, ndim: int = 3) -> Column:
     """Radius of the sphere (circle) of that volume (area)."""
     return F.cbrt(volume * (3.0 / (4.0 * 3.141592653589793))) if ndim == 3 else F.sqrt(volume / 3.141592653589793)
+
+
+# ---- matrices, on the driver
+
+
+def rotation(axis: Sequence[float], angle: float) -> np.ndarray:
+    """The matrix of a turn about an axis: cos I + sin K + (1 - cos) a a^T."""
+    a = np.asarray(axis, dtype=float)
+    a = a / np.linalg.norm(a)
+    turn = np.array([[0, -a[2], a[1]], [a[2], 0, -a[0]], [-a[1], a[0], 0]])
+    return math.cos(angle) * np.eye(3) + math.sin(angle) * turn + (1 - math.cos(angle)) * np.outer(a, a)
+
+
+def random_rotation(seed: int) -> np.ndarray:
+    """A uniformly random rotation: an orthonormal basis of normal vectors, made right-handed."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(3, 3)))
+    q = q * np.sign(np.diag(r))
+    if np.linalg.det(q) < 0:
+        q[:, 0] = -q[:, 0]
+    return q
+
+
+def rotated(directions: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Directions (dir, dx, dy, dz) turned by a matrix."""
+    d = [F.col(f"d{a}") for a in AXES]
+    turned = [sum((float(matrix[i][j]) * d[j] for j in range(3)), F.lit(0.0)).alias(f"d{a}") for i, a in enumerate(AXES)]
+    return directions.select("dir", *turned)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import HUBBLE, Cosmology
+
 
 def weighted(value, weight) -> Column:
     """sum(w v) / sum(w); 0 for no rows where the weight is there."""
@@ -143,3 +145,18 @@ def interpolated(table: DataFrame, points: DataFrame, x: str, y: str, xs: Sequen
     low = pick(i, j) + fx * (pick(i + 1, j) - pick(i, j))
     high = pick(i, j + 1) + fx * (pick(i + 1, j + 1) - pick(i, j + 1))
     return out.withColumn("value", low + fy * (high - low)).drop("__x", "__y", "__xi", "__yi")
+
+
+def age(a: Column, cosmology: Cosmology) -> Column:
+    """Seconds since the beginning at scale factor ``a``."""
+    ratio = cosmology.omega_lambda / cosmology.omega_0
+    return F.asinh(F.sqrt(ratio * a * a * a)) * (2.0 / (3.0 * cosmology.omega_lambda**0.5) / (HUBBLE * cosmology.h))
+
+
+def stellar_rates(stars: DataFrame, table: DataFrame, ages: Sequence[float], metallicities: Sequence[float], cosmology: Cosmology, escape_fraction: float = 1.0) -> DataFrame:
+    """``stars`` (mass, metallicity, formation_a) with ``rate``: the table's photon rate per mass at a star's age (seconds) and
+    metallicity, times its mass and the share that escapes. Wind particles (formation_a <= 0) are dropped."""
+    formed = stars.where(F.col("formation_a") > 0)
+    aged = formed.withColumn("age", F.lit(cosmology.age(cosmology.a)) - age(F.col("formation_a"), cosmology))
+    out = interpolated(table, aged, "age", "metallicity", ages, metallicities)
+    return out.withColumn("rate", F.col("value") * F.col("mass") * escape_fraction).drop("value")

@@ -141,3 +141,25 @@ def partition_boxes(df: DataFrame, owner: str, axes: Sequence[str] = AXES) -> Da
     """A bounding box per part."""
     return df.groupBy(owner).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
 
+
+
+def sphere_owners(queries: DataFrame, boxes: DataFrame, radius, axes: Sequence[str] = AXES) -> DataFrame:
+    """``queries`` once for each part whose box (as of ``partition_boxes``, a row a part) their search sphere touches."""
+    gap = F.lit(0.0)
+    for a in axes:
+        d = F.greatest(F.lit(0.0), F.col(f"min_{a}") - F.col(a), F.col(a) - F.col(f"max_{a}"))
+        gap = gap + d * d
+    return queries.join(F.broadcast(boxes), gap <= F.lit(radius) * F.lit(radius))
+
+
+def boxes_may_meet(one: Sequence, two: Sequence, sizes_one: Sequence, sizes_two: Sequence, sides: Sequence[float]):
+    """Whether two boxes (centres and sizes) can overlap in a periodic box; full sizes, so never too strict."""
+    test = F.lit(True)
+    for a, b, s, t, side in zip(one, two, sizes_one, sizes_two, sides, strict=True):
+        test = test & (F.abs(G.minimum_image(a - b, side)) <= s + t)
+    return test
+
+
+def load_in_range(df: DataFrame, key: str, low, high) -> DataFrame:
+    """Rows with a key from ``low`` to ``high``, ends included."""
+    return df.where(F.col(key).between(low, high)).agg(F.count("*").alias("load"))

@@ -208,3 +208,24 @@ def containing_cell(points: DataFrame, generators: DataFrame, point_id: str, gen
     from .spatial import nearest_join
 
     return nearest_join(points, generators, point_id, generator_id)
+
+
+# ---- relations of a tetrahedra table (tetra_id, p: ascending array of its four points)
+
+
+def incident(tetras: DataFrame) -> DataFrame:
+    """(point, tetras): the tetrahedra around each point."""
+    return tetras.select("tetra_id", F.explode("p").alias("point")).groupBy("point").agg(F.array_sort(F.collect_list("tetra_id")).alias("tetras"))
+
+
+def adjacent(tetras: DataFrame) -> DataFrame:
+    """(a, b, face, opposite_a, opposite_b): pairs a < b of tetrahedra with a common face, and their points off it."""
+    corner = F.explode("p").alias("off")
+    faces = tetras.select("tetra_id", "p", corner).select("tetra_id", "off", F.array_except("p", F.array("off")).alias("face"))
+    one, two = faces.toDF("a", "opposite_a", "face"), faces.toDF("b", "opposite_b", "face")
+    return one.join(two, "face").where("a < b").select("a", "b", "face", "opposite_a", "opposite_b")
+
+
+def around_edge(tetras: DataFrame, a: int, b: int) -> DataFrame:
+    """The tetrahedra that hold both points."""
+    return tetras.where(F.array_contains("p", F.lit(a)) & F.array_contains("p", F.lit(b)))

@@ -606,6 +606,36 @@ def bilinear_table_lookup(spark, d):
     return out.select("particle_id", r(F.col("value")).alias("value"))
 
 
+_AGES, _ZS = [0.0, 1.0, 3.0, 6.0, 14.0], [0.0, 0.3, 0.6, 1.0]
+_AGE_OF = "2 / (3 * sqrt(0.6911::DOUBLE)) * asinh(sqrt(0.6911::DOUBLE / 0.308983 * {0} * {0} * {0})) / (3.2407789e-18 * 0.6774) / 3.15576e16"
+
+
+@query(f"""WITH s AS (SELECT c_custkey, (c_custkey % 90 - 5) / 100.0::DOUBLE AS fa, (c_nationkey % 10) / 10.0::DOUBLE AS z, c_acctbal + 1000 AS mass FROM customer),
+q AS (SELECT c_custkey, mass, {_AGE_OF.format('1.0::DOUBLE')} - {_AGE_OF.format('fa')} AS x, z AS y FROM s WHERE fa > 0),
+b AS (SELECT c_custkey, mass, least(x, 14 / 1.00001) AS x, least(y, 1 / 1.00001) AS y, {_AGES}::DOUBLE[] AS xs, {_ZS}::DOUBLE[] AS ys FROM q),
+i AS (SELECT *, least(len(list_filter(xs, lambda e: e <= x)), 4) AS i, least(len(list_filter(ys, lambda e: e <= y)), 3) AS j FROM b),
+f AS (SELECT *, (x - xs[i]) / (xs[i + 1] - xs[i]) AS fx, (y - ys[j]) / (ys[j + 1] - ys[j]) AS fy FROM i)
+SELECT c_custkey, round(0.2 * mass * ((1 - fy) * ((1 - fx) * (10.0 * (i - 1) ** 2 + (j - 1)) + fx * (10.0 * i ** 2 + (j - 1))) + fy * ((1 - fx) * (10.0 * (i - 1) ** 2 + j) + fx * (10.0 * i ** 2 + j))), 4) AS rate FROM f""")
+def stellar_source_rates(spark, d):
+    stars = T.table(spark, d, "customer").select(
+        "c_custkey", ((F.col("c_custkey") % 90 - 5) / 100.0).alias("formation_a"), (F.col("c_nationkey") % 10 / 10.0).alias("metallicity"), (F.col("c_acctbal") + 1000).alias("mass")
+    )
+    table = spark.createDataFrame([(i, j, 10.0 * i * i + j) for i in range(5) for j in range(4)], "i int, j int, value double")
+    gyr = 3.15576e16
+    out = metrics.stellar_rates(stars, table, [a * gyr for a in _AGES], _ZS, U.Cosmology(), 0.2)
+    return out.select("c_custkey", r(F.col("rate"), 4).alias("rate"))
+
+
+@query(f"""WITH {P_SQL}, c AS (SELECT quantile_disc(x, [0.25, 0.5, 0.75]) AS cuts FROM particles),
+o AS (SELECT len(list_filter(cuts, lambda q: q <= x)) AS part, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM particles, c GROUP BY 1), {S_SQL}
+SELECT source_id, part FROM stars, o WHERE greatest(0, lx - x, x - hx) ** 2 + greatest(0, ly - y, y - hy) ** 2 <= 0.01""")
+def search_sphere_owners(spark, d):
+    p = T.particles(spark, d)
+    owned = p.withColumn("part", spatial.owner_of(F.col("x"), spatial.range_cuts(p, "x", 4)).cast("long"))
+    boxes = spatial.partition_boxes(owned, "part", ("x", "y"))
+    return spatial.sphere_owners(T.stars(spark, d), boxes, 0.1, ("x", "y")).select("source_id", "part")
+
+
 # ---- snapshots and streams
 
 

@@ -239,3 +239,34 @@ def test_adjacency_of_edges_turns_the_first_normal(spark):
     ids = spark.createDataFrame([(10, 0), (20, 1)], "external_id long, cell_id long")
     rows = {(r.cell_id, r.neighbour_id, r.kind, r.nx, r.ny) for r in grid.adjacency_of_edges(edges, ids).collect()}
     assert rows == {(0, 1, "interior", -1.0, 0.0), (1, 0, "interior", 1.0, 0.0), (0, None, "periodic", 0.0, -1.0)}
+
+
+def test_tetrahedra_relations(spark):
+    p = np.random.default_rng(3).random((15, 3))
+    quads = sorted(V.tetrahedra(p, (-50.0,) * 3, (51.0,) * 3))
+    table = spark.createDataFrame([(i, list(q)) for i, q in enumerate(quads)], "tetra_id long, p array<int>")
+    want = {(i, j) for i, a in enumerate(quads) for j, b in enumerate(quads) if i < j and len(set(a) & set(b)) == 3}
+    got = V.adjacent(table).collect()
+    assert {(r.a, r.b) for r in got} == want and all(r.opposite_a not in r.face and r.opposite_b not in r.face for r in got)
+    around = {r.point: r.tetras for r in V.incident(table).collect()}
+    assert all(around[x] == [i for i, q in enumerate(quads) if x in q] for x in around)
+    assert {r.tetra_id for r in V.around_edge(table, *quads[0][:2]).collect()} == {i for i, q in enumerate(quads) if set(quads[0][:2]) <= set(q)}
+
+
+def test_rotations(spark):
+    from raysheaf.functions import geometry as G
+
+    for seed in range(100):
+        m = G.random_rotation(seed)
+        assert np.linalg.det(m) == pytest.approx(1.0) and np.allclose(m @ m.T, np.eye(3))
+    assert np.allclose(G.rotation((0, 0, 2), math.pi / 2) @ [1, 0, 0], [0, 1, 0])
+    turned = G.rotated(grid.directions(spark, [(1, 0, 0)]), G.rotation((0, 0, 1), math.pi / 2)).first()
+    assert (turned.dx, turned.dy, turned.dz) == pytest.approx((0.0, 1.0, 0.0))
+
+
+def test_range_load_and_box_overlap(spark):
+    df = spark.range(10)
+    assert spatial.load_in_range(df, "id", 2, 5).first().load == 4
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    meet = lambda a, b: df.limit(1).select(spatial.boxes_may_meet(lit(a), lit(b), lit(0.1), lit(0.1), (1.0,))).first()[0]
+    assert meet(0.05, 0.95) and not meet(0.1, 0.5)
