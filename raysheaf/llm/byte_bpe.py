@@ -221,19 +221,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _by_id(values: dict[int, object]) -> np.ndarray:
+    """An object array that has each id's value at that id."""
+    out = np.full(max(values) + 1, None, dtype=object)
+    for i, value in values.items():
+        out[i] = value
+    return out
+
+
+def _lists(column: pa.ListArray, by_id: np.ndarray):
+    """Per row the list of its ids' values, for some rows at a time."""
+    for i in range(0, len(column), 256):
+        part = column.slice(i, 256)
+        offsets = part.offsets.to_numpy()
+        found = by_id[part.values.to_numpy()[offsets[0] : offsets[-1]]].tolist()
+        ends = (offsets - offsets[0]).tolist()
+        yield from (found[j:k] for j, k in zip(ends, ends[1:], strict=False))
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """The rows of ``tokens`` with ``decoded`` (binary): the bytes of their ids. Null ids give null."""
     sent = tokens.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(ranks_path).items()})
     schema = T.StructType([f for f in tokens.schema if f.name != "decoded"] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        token = sent.value.__getitem__
+        by_id = _by_id(sent.value)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                decoded = [None if ids is None else b"".join(map(token, ids)) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
+            column = batch.column(batch.schema.get_field_index(ids_col))
+            known = column.is_valid().to_pylist()
+            decoded = [b"".join(found) if ok else None for found, ok in zip(_lists(column, by_id), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return tokens.drop("decoded").mapInArrow(run, schema)
 
@@ -249,17 +266,13 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     )
 
     def run(batches):
-        tokens = sent.value
-        text = {rank: str(rank) for rank in tokens}
+        token, text = _by_id(sent.value), _by_id({rank: str(rank) for rank in sent.value})
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = part.column(2).to_pylist()
-                said = [hashlib.sha256(",".join(map(text.__getitem__, ids)).encode()).hexdigest() for ids in rows]
-                back = [hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest() for ids in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(said, pa.string()), pa.array(back, pa.string())], names=schema.names
-                )
+            said = [hashlib.sha256(",".join(found).encode()).hexdigest() for found in _lists(batch.column(2), text)]
+            back = [hashlib.sha256(b"".join(found)).hexdigest() for found in _lists(batch.column(2), token)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(back, pa.string())], names=schema.names
+            )
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
 
