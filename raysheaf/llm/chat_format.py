@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 STRIDE = 512  # tokens from which on a turn starts the next window
 HISTORY = 128  # tokens of the window before that are repeated, at most
 BLOCK = 64  # turn numbers in a block of the two-level prefix sum
@@ -70,7 +72,7 @@ def chat_windows(conv: DataFrame, stride: int = STRIDE, history: int = HISTORY,
     """
     if history > stride:
         raise ValueError("history must not exceed stride")
-    placed = _placed(conv, stride, block)
+    placed = materialise(_placed(conv, stride, block), "turns")  # read three times below, twice without the texts
     first = placed.groupBy("conv_id", "window").agg(F.min("start").alias("w_start"))
     order = Window.partitionBy("conv_id").orderBy("window")
     first = first.withColumns({"next": F.lead("window").over(order), "next_start": F.lead("w_start").over(order), "nth": F.row_number().over(order)})
