@@ -13,12 +13,13 @@ from ..session import discard, materialise
 
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
-    """One half round over links (a, b): large star (``both``) or small star; a hot node is split by AQE in the join."""
+    """One half round over links (a, b): large star (``both``) or small star."""
     if both:
         sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).withColumnRenamed("a", "node")
+    least = materialise(least, "least")  # so that the join reads both sides from a shuffle and AQE can split a hot node
     joined = sides.join(least, F.col("a") == F.col("node"))
     if both:  # neighbours above the node go to the least
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))

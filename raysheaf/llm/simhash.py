@@ -99,12 +99,13 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_
     component's id. Repeated rows give repeated results. An empty table gives an empty result; other columns are ignored.
     """
     marked = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes, distance))
     linked = found.join(nodes, found["node"] == nodes["fp"]).select("node", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(linked.join(least, "component").select(F.col("node").alias("fp"), "component_id"), "classes")
     own = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    own = materialise(own, "own")  # so that the join reads both sides from a shuffle and AQE can split a hot fingerprint
     return marked.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
