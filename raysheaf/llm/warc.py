@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 
 BREAK = "\r\n\r\n"
 FILE_RECORDS = 16_384
@@ -74,6 +74,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     sized = body.withColumns({"bytes": F.octet_length("html").cast("long"), "sha1": F.sha1(F.encode("html", "UTF-8")), "sha256": F.unhex(F.sha2("html", 256))})
     seen = sized.where(F.col("bytes") >= least).groupBy("sha256", "sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     seen = seen.where("n > 1").select(F.col("sha256").alias("d256"), F.col("sha1").alias("d1"), F.col("bytes").alias("d_bytes"), "first")
+    seen = materialise(seen, "payloads")  # so that the join reads both sides from a shuffle and AQE can split a hot payload
     marked = sized.join(seen, (F.col("sha256") == F.col("d256")) & (F.col("sha1") == F.col("d1")) & (F.col("bytes") == F.col("d_bytes")), "left")
     again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
     uri = F.regexp_replace("url", "[\\r\\n]+", " ")
