@@ -26,7 +26,7 @@ BITS = 16
 BUCKETS = (1 << BITS) + 2
 LABELLED = 20_000  # labelled rows that are used, at most: those with the smallest hashes of their ids
 SMOOTHING = 8.0  # pseudo-counts a bucket that draw the target model to the raw one
-LOST_COST = 3.0  # a good document lost counts as so many bad ones kept when the cut is placed
+LOST_COST = 10.0  # a good document lost counts as so many bad ones kept when the cut is placed
 SEED = 17
 BATCH_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
