@@ -193,9 +193,9 @@ def dependency_symmetric_diff(spark, d):
     return grid.asymmetric_pairs(faces.where("cell_id <> neighbour_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def halo_antijoin(spark, d):
-    sent = T.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    sent = T.table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return T.table(spark, d, "customer").select("c_custkey").join(sent, "c_custkey", "left_anti")
 
 
@@ -556,14 +556,24 @@ def photoheating(spark, d):
     )
 
 
-@query()
+@query(f"""WITH {P_SQL}, q AS (SELECT particle_id, temperature * 10 AS temperature, density, 0.005 + 0.99 * xhii AS x FROM particles),
+a AS (SELECT *, {_NH} AS nh, {_NH} * x AS ne, {_NH} * (1 - x) AS n, 1 / (1 + x) AS mu, sqrt(temperature / 1e5) AS s, {_FIT} AS fit, {_REC} AS rec, {_RECC} AS recc, {_EXC} AS exc, {_BREMS} AS brems,
+  (315614 / temperature / 2.74) ** 0.407 AS y1, (315614 / temperature / 2.25) ** 0.376 AS y2 FROM q),
+b AS (SELECT *, fit * (0.5 / temperature - 0.5 * s / (temperature * (1 + s)) + 157809.1 / temperature ** 2) AS dfit, rec / temperature * (2.242 * 0.407 * y1 / (1 + y1) - 1.5) AS drec,
+  recc / temperature * (3.72 * 0.376 * y2 / (1 + y2) - 0.97) AS drecc, exc * (118348 / temperature ** 2 - 0.5 * s / (temperature * (1 + s))) AS dexc, brems / (2 * temperature) AS dbrems,
+  1e40 * (1 - exp(-n * {U.SIGMA_NUMBER!r} * {_SIZE})) / {_SIZE} ** 3 AS absorbed, {(U.GAMMA - 1) * U.PROTON_MASS / U.BOLTZMANN!r} / (density * 1e-20) * mu AS k FROM a),
+c AS (SELECT *, absorbed * {U.PHOTON_ENERGY - U.RYDBERG!r} - ((exc + 1e-13 * 1.27e-21 * fit) * ne * n + (recc + brems) * ne * nh * x + {_COMPTON} * ne) AS heat,
+  (dexc + 1e-13 * 1.27e-21 * dfit) * ne * n + (drecc + dbrems) * ne * nh * x + 1e-7 * 1.017e-37 * 2.727 ** 4 * ne AS dcool,
+  1e-6 * 5.85e-11 * fit AS beta, 1e-6 * 5.85e-11 * dfit AS dbeta FROM b),
+d AS (SELECT *, beta * ne + absorbed / n AS c, rec * ne AS e, nh * beta - ne * temperature * mu * 0.76 * dbeta AS dc, nh * rec - ne * temperature * mu * 0.76 * drec AS de FROM c)
+SELECT particle_id, round(log10(abs(k * heat * 1e6 / (1 + k * dcool * 1e6))), 7) AS dt, round(log10(abs(1e6 * (c - x * (c + e)) / (1 - (dc - (c + e) - x * (dc + de)) * 1e6))), 7) AS dx FROM d""")
 def semi_implicit_step(spark, d):
     t, rho, x = F.col("temperature") * 10, F.col("density") * 1e-20, 0.005 + 0.99 * F.col("xhii")
     size, volume, rate, dt = F.lit(_SIZE), F.lit(_SIZE**3), F.lit(1e40), F.lit(1e6)
     return T.particles(spark, d).select(
         "particle_id",
-        P.temperature_change(t, x, rho, rate, size, volume, F.lit(1.0), dt).alias("dt"),
-        P.fraction_change(t, x, rho, rate, size, volume, dt).alias("dx"),
+        _digits(P.temperature_change(t, x, rho, rate, size, volume, F.lit(1.0), dt), 7).alias("dt"),
+        _digits(P.fraction_change(t, x, rho, rate, size, volume, dt), 7).alias("dx"),
     )
 
 
