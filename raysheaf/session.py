@@ -7,7 +7,10 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -76,3 +79,9 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now: it does when their handles are garbage collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def send(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a value of bounded size, objects of this package included; tasks get it by calling the result."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
