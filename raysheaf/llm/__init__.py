@@ -1,10 +1 @@
-"""Operators for training-data pipelines. Nothing else in the library imports this subpackage.
-
-Functions of the package travel to executors by value, so that a cluster needs no copy of it on its path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules["raysheaf"])
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import send
+
 BLOCK_BYTES = 8 << 20  # text handled at once in a task
 MAX_WORDS = 400_000  # distinct words that a task keeps between blocks
 
@@ -193,7 +195,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     import regex
 
     ranks = load_ranks(ranks_path)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, MergeTable(ranks)))
+    sent = send(docs.sparkSession, (ranks, MergeTable(ranks)))
     compiled = regex.compile(pattern)
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
@@ -201,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     )
 
     def run(batches):
-        table = WordTable(*sent.value)
+        table = WordTable(*sent())
         for batch in batches:
             for begin, texts in blocks(batch.column(1), BLOCK_BYTES):
                 split = [compiled.findall(text) for text in texts]

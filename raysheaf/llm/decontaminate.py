@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import send
+
 WINDOW = 13  # words of a test phrase
 BLOCK_BYTES = 16 << 20  # text in a segment
 QUERY_BYTES = 32 << 20  # benchmark text sent to tasks at once
@@ -100,7 +102,7 @@ class Segment:
 
 def _spans(docs: DataFrame, phrases: Phrases, window: int, slop: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, n_words, spans (begin, length, of united hits), items (strings) with a match."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    sent = send(docs.sparkSession, phrases)
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -111,8 +113,7 @@ def _spans(docs: DataFrame, phrases: Phrases, window: int, slop: int, id_col: st
         ]
     )
 
-    def look_up(texts: list[str | None]) -> tuple[np.ndarray, list, list, list]:
-        test = sent.value
+    def look_up(texts: list[str | None], test: Phrases) -> tuple[np.ndarray, list, list, list]:
         segment = Segment(texts, test.terms, window + slop)
         hit = np.zeros(segment.size + 1, dtype=np.int32)
         items: list[set] = [set() for _ in texts]
@@ -139,6 +140,7 @@ def _spans(docs: DataFrame, phrases: Phrases, window: int, slop: int, id_col: st
         return segment.n_words, out_b, out_l, [sorted(x) for x in items]
 
     def run(batches):
+        test = sent()
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             begin = 0
@@ -148,7 +150,7 @@ def _spans(docs: DataFrame, phrases: Phrases, window: int, slop: int, id_col: st
                     texts.append(column[end].as_py())
                     size += len(texts[-1] or "")
                     end += 1
-                n_words, begins, lengths, items = look_up(texts)
+                n_words, begins, lengths, items = look_up(texts, test)
                 arrays = [
                     pa.array(n_words, pa.int64()),
                     pa.array(begins, pa.list_(pa.int64())),

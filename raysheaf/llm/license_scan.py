@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import send
+
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their ids
 SAMPLE_PARAGRAPHS = 2_000
@@ -279,7 +281,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     template of the family is at least CONFIRM. Null and empty texts have no paragraphs. Rows are independent; repeated rows
     give repeated results, an empty table gives an empty one. Only the two named columns are read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     match = T.StructType(
         [
             T.StructField("paragraph", T.LongType()),
@@ -294,8 +296,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
-    def judge(texts: list[str | None]) -> tuple[list[int], list[list[dict]]]:
-        m = sent.value
+    def judge(texts: list[str | None], m: Model) -> tuple[list[int], list[list[dict]]]:
         ids_of, counts, sizes = [], [], []
         for text in texts:
             words = words_of(text)
@@ -331,6 +332,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return counts, out
 
     def run(batches):
+        m = sent()
         for batch in batches:
             begin, texts, size = 0, [], 0
             column = batch.column(1)
@@ -338,7 +340,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 texts.append(column[i].as_py())
                 size += len(texts[-1] or "")
                 if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                    counts, found = judge(texts)
+                    counts, found = judge(texts, m)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(begin, len(texts)), pa.array(counts, pa.int64()), pa.array(found, kind)], names=schema.names
                     )
