@@ -63,14 +63,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def variant_keys() -> list[Column]:
-    """The 64 one-wildcard variants of the three segments of ``fp``; a key holds the wildcard's position above bit 32."""
+def variant_keys(column: str = "fp", first: int = 0) -> list[Column]:
+    """The 64 one-wildcard variants of the three segments; a key holds ``first`` and the wildcard's position above bit 32."""
     keys = []
     for begin, bits in SEGMENTS:
         for bit in range(bits):
             kept = ((1 << bits) - 1) & ~(1 << bit)
-            segment = F.shiftrightunsigned("fp", begin).bitwiseAND(F.lit(kept).cast("long"))
-            keys.append(segment + F.lit((begin + bit) << 32).cast("long"))
+            segment = F.shiftrightunsigned(column, begin).bitwiseAND(F.lit(kept).cast("long"))
+            keys.append(segment + F.lit((first + begin + bit) << 32).cast("long"))
     return keys
 
 
