@@ -371,6 +371,32 @@ def test_similar_groups(spark, hot):
     assert out == {i: 12 * b for i, b in base_of.items()}
 
 
+def test_spanning_tree_holds_each_closest_link():
+    rng = np.random.default_rng(13)
+    bits = rng.integers(0, 1 << 63, (40, 4), dtype=np.int64).view(np.uint64)
+    bits[20:] = bits[:20] ^ (np.uint64(1) << rng.integers(0, 63, (20, 4)).astype(np.uint64))
+    distance = lambda i, j: int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+    edges = simhash_similar._tree(bits[:, 0], bits, None, 256)
+    assert len(edges) == 39 and len(simhash_similar._tree(bits[:, 0], bits, None, 4)) == 20
+    for i in range(40):
+        closest = min(distance(i, j) for j in range(40) if j != i)
+        assert min(distance(a, b) for a, b in edges if i in (a, b)) == closest
+
+
+def test_similar_groups_are_verified(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    group = {r.doc_id: r.component_id for r in simhash_similar.similar_groups(docs).collect()}
+    sets = {i: simhash_similar.shingles_of(t, 5) for i, t in texts.items()}
+    members = {}
+    for i, c in group.items():
+        members.setdefault(c, []).append(i)
+    for c, ids in members.items():
+        assert c == min(ids)
+        for i in ids if len(ids) > 1 else ():
+            assert max(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) if sets[i] else 1.0 for j in ids if j != i) >= 0.8
+
+
 def test_similar_groups_awkward(spark):
     docs = awkward(spark)
     assert simhash_similar.similar_groups(docs).count() == docs.count()
