@@ -37,16 +37,17 @@ class Polyhedron:
                 square[:, u] = [low[u], high[u], high[u], low[u]]
                 square[:, v] = [low[v], low[v], high[v], high[v]]
                 self.faces.append((-1 - 2 * axis - side, square))
+        self.corners = np.concatenate([f for _, f in self.faces])
 
     def farthest(self, point: np.ndarray) -> float:
-        return max(float(((f - point) ** 2).sum(1).max()) for _, f in self.faces) ** 0.5
+        return float(((self.corners - point) ** 2).sum(1).max()) ** 0.5
 
     def cut(self, plane: int, normal: np.ndarray, offset: float, eps: float = 1e-12) -> bool:
         """Keep normal . x <= offset; whether anything was cut off."""
         scale = eps * max(1.0, abs(offset))
-        heights = [f @ normal - offset for _, f in self.faces]
-        if max(float(h.max()) for h in heights) <= scale:
+        if float((self.corners @ normal).max()) - offset <= scale:
             return False
+        heights = [f @ normal - offset for _, f in self.faces]
         kept, edge = [], []
         for (name, f), h in zip(self.faces, heights, strict=True):
             if h.max() <= scale:
@@ -72,6 +73,7 @@ class Polyhedron:
         if polygon is not None and len(polygon) > 2:
             kept.append((plane, polygon))
         self.faces = kept
+        self.corners = np.concatenate([f for _, f in kept])
         return True
 
 
