@@ -157,3 +157,30 @@ def test_keys():
     path = grid[np.lexsort((lo, hi))] * n
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()  # the curve goes from cell to neighbouring cell
     assert K.key_midpoint(3, 8) == 5 and K.key_successor((1 << 126) - 1) == (1 << 126) - 1
+
+
+def test_predicates():
+    from raysheaf.functions import predicates as Q
+
+    rng = np.random.default_rng(6)
+    for d in (2, 3):
+        for _ in range(60):
+            s, q = rng.random((d + 1, d)), rng.random(d)
+            centre = Q.circumcentre(s)
+            radius = np.linalg.norm(s - centre, axis=1)
+            assert np.allclose(radius, radius[0])
+            assert Q.in_sphere(s, q) == (1 if np.linalg.norm(q - centre) < radius[0] else -1)
+            weights = np.linalg.solve(np.vstack([s.T, np.ones(d + 1)]), [*q, 1.0])
+            assert Q.contains(s, q) == (weights.min() >= 0)
+    square = [(0, 0), (1, 0), (1, 1)]
+    assert Q.in_sphere(square, (0, 1)) == 0 and Q.in_sphere(square, (0, 1 - 1e-16)) == 1 and Q.in_sphere(square, (0, 1 + 1e-15)) == -1
+    assert Q.orientation([(0, 0), (1e-200, 1e-200), (2e-200, 2e-200)]) == 0 and Q.orientation([(0.1, 0.3), (0.2, 0.6), (0.3, 0.9)]) != 0  # in floats 0.3 isn't 3 x 0.1
+    assert Q.contains(square, (1, 0.5)) and not Q.contains([(0, 0), (1, 1), (2, 2)], (1, 1))
+    assert Q.exact_determinant([[2, 1], [1, 3]]) == 5 and Q.exact_determinant([[0, 1], [1, 0]]) == -1
+    with pytest.raises(ValueError):
+        Q.solve([[1, 2], [2, 4]], [1, 2])
+    tetra = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    assert Q.distance_to_tetrahedron(tetra, np.array([0.1, 0.1, 0.1])) == 0 and Q.distance_to_tetrahedron(tetra, np.array([0.2, 0.2, -2.0])) == pytest.approx(2.0)
+    assert Q.distance_to_tetrahedron(tetra, np.array([1.0, 1.0, 1.0])) == pytest.approx(2 / math.sqrt(3))
+    assert Q.segment_meets_triangle((0.2, 0.2, -1), (0.2, 0.2, 1), tetra[:3]) == pytest.approx([0.2, 0.2, 0.0])
+    assert Q.segment_meets_triangle((2, 2, -1), (2, 2, 1), tetra[:3]) is None and Q.segment_meets_triangle((0, 0, 1), (1, 0, 1), tetra[:3]) is None
