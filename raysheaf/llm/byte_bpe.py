@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import send
 
-BLOCK_BYTES = 8 << 20  # text handled at once in a task
+BLOCK_BYTES = 4 << 20  # text handled at once in a task
 MAX_WORDS = 400_000  # distinct words that a task keeps between blocks
 
 
