@@ -5,6 +5,12 @@ word shingles is farther: its expected distance is 39 of 256 bits. So two signat
 words, which few edits move little, is filed under the one-wildcard variants of its six segments and finds candidates. A
 256-bit SimHash of the word shingles ranks them, and what its distance lets through is verified on the sets of shingles.
 
+Signatures alone miss pairs, above all those that differ by a passage. So a second search is exact, over the texts that the
+first has left apart: two sets of that similarity share one of the first shingles of each in any common order (prefix filter),
+so an equality join on these shingles meets every such pair. Sizes and places in the order rule out pairs that can't reach the
+similarity; all others that are still apart are verified. The order puts shingles that are frequent in a sample last, which
+decides how many pairs meet but not which of them link.
+
 Rows of a variant are compared where they meet, and only the edges of a minimum spanning tree leave the task: every row's
 closest links among the pairs that count there (a pair counts at one of the variants it shares), so a group of n near copies
 makes a few edges a row and not n^2 of them, and a row that is similar to any other meets the verification with its closest one. A variant with more than ``HOT`` rows is dealt out in blocks, each pair of which
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, send
 from .components import components
 from .simhash import SEGMENTS, variant_keys
 
@@ -30,6 +36,8 @@ NAMES = ("fp", "fp2", "f0", "f1", "f2", "f3")
 SLACK = 14  # bits beyond the expected distance of the threshold: two and a half standard deviations
 HOT = 20_000
 HELD = 200_000  # links that a task holds before it passes them on
+SAMPLE_DOCS = 10_000  # documents whose shingles are counted for the order: those with the smallest hashes of their ids
+COMMON = 1 << 17  # shingles that the order puts last
 
 
 def distance_of(similarity: float) -> int:
@@ -59,27 +67,80 @@ def shingles_of(text: str | None, shingle: int) -> set[bytes]:
     return {joined[i:j] for i, j in zip(begins, ends[size - 1 :].tolist(), strict=True)}
 
 
-def signature(text: str | None, shingle: int) -> tuple[int, ...]:
-    """(2 x 64 bits of the distinct words, 4 x 64 bits of the shingles); zeros without words."""
+def signature(text: str | None, shingle: int) -> tuple[tuple[int, ...], np.ndarray]:
+    """(2 x 64 bits of the distinct words, 4 x 64 bits of the shingles), zeros without words; the shingles' 64-bit hashes."""
     import xxhash
 
     parts = shingles_of(text, shingle)
     if not parts:
-        return (0,) * len(NAMES)
+        return (0,) * len(NAMES), np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh3_128_digest
-    wide = _majority([digest(p, 1) + digest(p, 2) for p in parts], BITS)
+    halves = [digest(p, 1) for p in parts]
+    wide = _majority([h + digest(p, 2) for h, p in zip(halves, parts, strict=True)], BITS)
     narrow = _majority([digest(w, 42) for w in set(text.encode().lower().split())], 128)
-    return (*narrow.tolist(), *wide.tolist())
+    return (*narrow.tolist(), *wide.tolist()), np.unique(np.frombuffer(b"".join(halves), np.uint64)[::2])
 
 
-def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, fp and fp2 (of the words), f0 .. f3 (of the shingles)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in NAMES)])
+def common_shingles(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, how many documents of a bounded sample hold each), of the most frequent ones."""
 
     def run(batches):
         for batch in batches:
-            found = np.array([signature(t.as_py(), shingle) for t in batch.column(1)], dtype=np.int64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(NAMES)))], names=schema.names)
+            found = [signature(t.as_py(), shingle)[1] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
+
+    rank = F.xxhash64(id_col)
+    last = docs.select(rank.alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).agg(F.max("rank")).first()[0]
+    some = docs.where(rank <= F.lit(last)).limit(SAMPLE_DOCS).select(id_col, text_col).mapInArrow(run, "shingle long")
+    counts = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    hashes, count = (counts.column(i).to_numpy() for i in range(2))
+    hashes = hashes.astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], count[order]
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in the common order, one of which any set of that similarity has among its own."""
+    known, count = common
+    rank = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, count[at], 0)
+    most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, rank))][:most]
+
+
+def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """One row per row: doc_id, fp and fp2 (of the words), f0 .. f3 (of the shingles), node (of the set of shingles), size (of
+    that set) and prefix (its first shingles)."""
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema[id_col].dataType),
+            *(T.StructField(c, T.LongType()) for c in (*NAMES, "node", "size")),
+            T.StructField("prefix", T.ArrayType(T.LongType())),
+        ]
+    )
+    sent = send(docs.sparkSession, common_shingles(docs, shingle, id_col, text_col))
+
+    def run(batches):
+        import xxhash
+
+        common = sent()
+        for batch in batches:
+            found = [signature(t.as_py(), shingle) for t in batch.column(1)]
+            bits = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, len(NAMES))
+            nodes = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for _, h in found], dtype=np.uint64).view(np.int64)
+            prefixes = [prefix_of(h, common, similarity).view(np.int64) for _, h in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(bits[:, i]) for i in range(len(NAMES))),
+                    pa.array(nodes),
+                    pa.array([len(h) for _, h in found], pa.int64()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                names=schema.names,
+            )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -197,23 +258,83 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
-    """(a, b): links between nodes (node, fp, fp2, f0 .. f3) whose words meet in a variant and whose shingles are that similar."""
+    """(a, b): links between nodes (node, fp, fp2, f0 .. f3) whose words meet in a variant and whose shingles look that similar."""
     half = F.col("key") >= F.lit(64 << 32)
     index = nodes.select(F.explode(F.array(*variant_keys("fp"), *variant_keys("fp2", 64))).alias("key"), *nodes.columns).select(
         "key", F.shiftright("key", 32).bitwiseAND(63).alias("at"), "node", F.when(half, F.col("fp2")).otherwise(F.col("fp")).alias("words"), "f0", "f1", "f2", "f3"
     )
-    most = distance_of(similarity)
+    dealt = _dealt(index, hot)
+    return _linked(dealt.repartition("key").sortWithinPartitions("key"), distance_of(similarity))
+
+
+def _dealt(index: DataFrame, hot: int) -> DataFrame:
+    """``index`` (key, node, ...) with the rows of a key with more than ``hot`` dealt out in blocks, a key for each two blocks."""
     heavy = materialise(index.groupBy("key").count().where(F.col("count") > hot), "hot-variants")
     if heavy.isEmpty():
-        return _linked(index.repartition("key").sortWithinPartitions("key"), most)
-    light = index.join(heavy, "key", "left_anti")
-    found = _linked(light.repartition("key").sortWithinPartitions("key"), most)
+        return index
     blocks = F.ceil(F.col("count") / (hot // 2)).cast("long")
     dealt = index.join(heavy, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = dealt.select("*", F.explode(pairs).alias("pair"))
-    dealt = dealt.withColumn("key", F.xxhash64("key", "pair.i", "pair.j"))
-    return found.unionByName(_linked(dealt.repartition("key").sortWithinPartitions("key"), most))
+    dealt = dealt.select("*", F.explode(pairs).alias("pair")).withColumn("key", F.xxhash64("key", "pair.i", "pair.j"))
+    return index.join(heavy, "key", "left_anti").unionByName(dealt.select(index.columns))
+
+
+def _apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs among rows (key, size, left, component, node) that share a key, are of different components and
+    can have that similarity. ``left`` counts the shingles from the key on, in the common order, so at the first key that two
+    sets share they have at most the smaller ``left`` of both in common."""
+
+    def run(batches):
+        held, found, n = None, [], 0
+        for batch in batches:
+            part = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            held = part if held is None else np.concatenate([held, part])
+            if not len(held):
+                continue
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last key may go on
+            for some in compare(held[:last]):
+                found.append(some)
+                n += len(some)
+                if n > HELD:
+                    yield pairs(found)
+                    found, n = [], 0
+            held = held[last:]
+        if held is not None and len(held):
+            for some in compare(held):
+                found.append(some)
+                n += len(some)
+                if n > HELD:
+                    yield pairs(found)
+                    found, n = [], 0
+        yield pairs(found)
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def compare(some: np.ndarray):
+        key, size, left, component, node = np.ascontiguousarray(some.T)
+        i, d = np.arange(len(key)), 0
+        while len(i):  # row i meets row i + d; sizes ascend within a key, so a row that is too small stays so
+            d += 1
+            i = i[i + d < len(key)]
+            i = i[(key[i] == key[i + d]) & (size[i] >= similarity * size[i + d] - 1e-9)]
+            j = i + d
+            need = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
+            near = (component[i] != component[j]) & (np.minimum(left[i], left[j]) >= need)
+            x, y = node[i[near]], node[j[near]]
+            if len(x):
+                yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+
+    return rows.select("key", "size", "left", "component", "node").mapInArrow(run, "a long, b long")
+
+
+def links_apart(nodes: DataFrame, groups: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b): every pair of nodes (node, size, prefix) in different components of ``groups`` (node, component; a node that it
+    lacks is one of its own) whose sets may have that similarity. No pair that has it is missing."""
+    rows = nodes.join(groups, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("at", "key"))
+    index = rows.select("key", "size", (F.col("size") - F.col("at")).alias("left"), "component", "node")
+    return _apart(_dealt(index, hot).repartition("key").sortWithinPartitions("key", "size"), similarity)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -223,13 +344,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     of rows with the same text, and link to nothing else. Repeated rows give repeated results; of an id that is repeated with
     another text either text may be compared. An empty table gives an empty result; other columns are ignored.
     """
-    marked = materialise(signatures(docs, shingle, id_col, text_col).withColumn("node", F.xxhash64(*NAMES)), "signatures")
-    nodes = marked.groupBy("node", *NAMES).agg(F.min("doc_id").alias("least"))
+    marked = materialise(signatures(docs, shingle, id_col, text_col, similarity), "signatures")
+    nodes = marked.groupBy("node", *NAMES).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes, "nodes")
-    edges = materialise(similar_links(nodes, similarity, hot).distinct(), "edges")
+    edges = materialise(similar_links(nodes.select("node", *NAMES), similarity, hot).distinct(), "edges")
     first = nodes.select(F.col("least").alias("__id"), "node")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(first, F.col("__doc") == F.col("__id")).select("node", "text")
-    found = components(verified(edges, texts, shingle, similarity))
+    near = materialise(verified(edges, texts, shingle, similarity), "near")
+    found = components(near)
+    apart = materialise(links_apart(nodes, found, similarity, hot).distinct(), "apart")
+    missed = materialise(verified(apart, texts, shingle, similarity), "missed")
+    if not missed.isEmpty():
+        found = components(near.unionByName(missed))
     linked = found.join(nodes.select("node", "least"), "node")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(linked.join(least, "component").select("node", "component_id"), "classes")

@@ -397,6 +397,25 @@ def test_similar_groups_are_verified(spark):
             assert max(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) if sets[i] else 1.0 for j in ids if j != i) >= 0.8
 
 
+@pytest.mark.parametrize("hot", [simhash_similar.HOT, 4])
+def test_similar_groups_find_passages(spark, hot):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    rows, seen = [], []
+    for i in range(150):  # a passage appended, prepended or cut: similarities of 0.80 to 0.85
+        words = some(rng.choice([60, 120, 300]))
+        passage = round(len(words) * rng.uniform(0.18, 0.23))
+        copy = [words + some(passage), some(passage) + words, words[: -round(passage * 0.8)]][i % 3]
+        texts = " ".join(words), " ".join(copy)
+        seen.append(alike(*(simhash_similar.shingles_of(t, 5) for t in texts)))
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+    out = {r.doc_id: r.component_id for r in simhash_similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert sum(0.8 <= s < 0.85 for s in seen) > 100
+    assert [out[2 * i + 1] == 2 * i for i in range(150)] == [s >= 0.8 for s in seen]
+
+
 def test_similar_groups_awkward(spark):
     docs = awkward(spark)
     assert simhash_similar.similar_groups(docs).count() == docs.count()
