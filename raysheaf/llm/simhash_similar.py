@@ -13,7 +13,8 @@ decides how many pairs meet but not which of them link.
 
 Rows of a variant are compared where they meet, and only the edges of a minimum spanning tree leave the task: every row's
 closest links among the pairs that count there (a pair counts at one of the variants it shares), so a group of n near copies
-makes a few edges a row and not n^2 of them, and a row that is similar to any other meets the verification with its closest one. A variant with more than ``HOT`` rows is dealt out in blocks, each pair of which
+makes a few edges a row and not n^2 of them, and a row that is similar to any other meets the verification with its closest one. An edge that fails there isn't replaced:
+what it leaves apart is left to the exact search, which thins out nothing. A variant with more than ``HOT`` rows is dealt out in blocks, each pair of which
 is compared in a task of its own.
 """
 

@@ -416,6 +416,19 @@ def test_similar_groups_find_passages(spark, hot):
     assert [out[2 * i + 1] == 2 * i for i in range(150)] == [s >= 0.8 for s in seen]
 
 
+@pytest.mark.parametrize("hot", [simhash_similar.HOT, 40])
+def test_similar_groups_in_templates(spark, hot):
+    rng = random.Random(37)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    template, rows = some(200), []  # any two documents have 0.77, those of a pair 0.83
+    for i in range(100):
+        shared = some(9)
+        rows += [(2 * i, " ".join(template + shared + some(20))), (2 * i + 1, " ".join(template + shared + some(20)))]
+    out = {r.doc_id: r.component_id for r in simhash_similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert out == {i: i // 2 * 2 for i in range(200)}
+
+
 def test_similar_groups_awkward(spark):
     docs = awkward(spark)
     assert simhash_similar.similar_groups(docs).count() == docs.count()
