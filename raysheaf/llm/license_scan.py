@@ -6,7 +6,8 @@ a bounded sample of documents and on look-alike sentences. Probabilities are cal
 ``unknown``, both fitted on renderings that were held back. A predicted family is confirmed by comparing the paragraph with the
 family's templates: the share of a template's word pairs that it holds.
 
-Paragraphs are lines; a line of more than ``SPAN`` words is read in spans that overlap by half. Only n-grams of the templates
+Paragraphs are lines; a line of more than ``SPAN`` words is read in spans that overlap by half. A notice may be wrapped over
+lines, so lines that no blank line parts are also joined and read in such spans. Only n-grams of the templates
 carry weights, so a paragraph is scored from these alone. The model is a few thousand numbers at any input size.
 """
 
@@ -136,6 +137,27 @@ def _paragraphs(words: list[bytes]) -> list[list[bytes]]:
     return out
 
 
+def _wrapped(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(first paragraph, last paragraph, ids) of spans over two and more lines that no blank line parts."""
+    ends = np.flatnonzero(ids == -2)
+    begins, ends = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(ids)]])
+    lengths, step = ends - begins, max(1, SPAN // 2)
+    parts = np.where(lengths > SPAN, -(-np.maximum(1, lengths - step) // step), np.minimum(lengths, 1))
+    first, out = np.cumsum(parts) - parts, []
+    blank = np.concatenate([[-1], np.flatnonzero(lengths == 0), [len(lengths)]])
+    for before, after in zip(blank[:-1].tolist(), blank[1:].tolist(), strict=True):
+        if after - before < 3:
+            continue
+        line = np.repeat(np.arange(before + 1, after), lengths[before + 1 : after])
+        some = ids[begins[before + 1] : ends[after - 1]]
+        some = some[some != -2]
+        for i in range(0, max(1, len(some) - step), step):
+            j = min(i + SPAN, len(some)) - 1
+            if line[i] != line[j]:
+                out.append((int(first[line[i]]), int(first[line[j]] + parts[line[j]]) - 1, some[i : j + 1]))
+    return out
+
+
 class Model:
     """n-gram vocabulary, weights (n-gram by class; the last class is unknown), bias, temperature, threshold, templates."""
 
@@ -278,7 +300,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row: doc_id, n_paragraphs, matches (paragraph, family, probability, similarity, confirmed).
 
     A match is a paragraph whose family is likelier than the calibrated threshold; it is confirmed if its similarity to a
-    template of the family is at least CONFIRM. Null and empty texts have no paragraphs. Rows are independent; repeated rows
+    template of the family is at least CONFIRM. A span over lines is a match, at its first paragraph, if it is confirmed and
+    none of its lines is for that family. Null and empty texts have no paragraphs. Rows are independent; repeated rows
     give repeated results, an empty table gives an empty one. Only the two named columns are read.
     """
     sent = send(docs.sparkSession, model)
@@ -297,10 +320,11 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
     def judge(texts: list[str | None], m: Model) -> tuple[list[int], list[list[dict]]]:
-        ids_of, counts, sizes = [], [], []
+        ids_of, counts, sizes, spans = [], [], [], []
         for text in texts:
             words = words_of(text)
             ids = m.ids(words)
+            spans += [(len(counts), *span) for span in _wrapped(ids)]
             ends = np.flatnonzero(ids == -2)
             lengths = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
             if (lengths > SPAN).any():
@@ -329,6 +353,19 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out[doc].append(
                 {"paragraph": i - int(first[doc]), "family": family, "probability": float(sure[i]), "similarity": alike, "confirmed": alike >= CONFIRM}
             )
+        if spans:
+            group = np.repeat(np.arange(len(spans)), [len(x[3]) for x in spans])
+            p = m.probabilities(m.logits(np.concatenate([x[3] for x in spans]), group, len(spans)))
+            best = p[:, :-1].argmax(1)
+            sure = p[np.arange(len(best)), best]
+            for i in np.flatnonzero(sure >= m.threshold).tolist():
+                doc, begin, end, some = spans[i]
+                family = m.families[best[i]]
+                alike = m.confirmation(family, some.tolist())
+                if alike >= CONFIRM and not any(x["confirmed"] and x["family"] == family and begin <= x["paragraph"] <= end for x in out[doc]):
+                    out[doc].append({"paragraph": begin, "family": family, "probability": float(sure[i]), "similarity": alike, "confirmed": True})
+            for found in out:
+                found.sort(key=lambda x: x["paragraph"])
         return counts, out
 
     def run(batches):

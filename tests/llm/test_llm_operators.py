@@ -62,6 +62,18 @@ def test_license_scan(spark):
     assert out[0].matches[0].paragraph == 1 and out[0].n_paragraphs == 3
 
 
+def test_license_scan_wrapped(spark):
+    import textwrap
+
+    model = license_scan.train([license_scan.words_of(t) for t in ("The cat sat on the mat.", "Version 3 of the report is here.")])
+    text = {f: max(license_scan.TEMPLATES[f], key=len) for f in ("MIT", "ISC")}
+    rows = [(i, "Some title\n\n" + textwrap.fill(text[f], width, initial_indent=mark, subsequent_indent=mark) + "\n\nint main() {}")
+            for i, (f, width, mark) in enumerate((f, w, m) for f in text for w in (40, 78) for m in ("", " * "))]
+    rows.append((8, "\n\n".join(textwrap.wrap(text["ISC"], 30))))
+    out = {r.doc_id: {m.family for m in r.matches if m.confirmed} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert out == {**{i: {"MIT"} for i in range(4)}, **{i: {"ISC"} for i in range(4, 8)}, 8: set()}
+
+
 def test_license_scan_awkward(spark):
     docs = awkward(spark)
     model = license_scan.train(license_scan.unknown_paragraphs(docs), rounds=20)
