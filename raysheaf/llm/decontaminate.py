@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import send
+from .rows import named, without
 
 WINDOW = 13  # words of a test phrase
 BLOCK_BYTES = 16 << 20  # text in a segment
@@ -233,11 +234,11 @@ def judged(matches: DataFrame, share: int = SHARE) -> DataFrame:
     return matches.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, all columns unchanged; rows without an id stay."""
-    gone = judged(find_matches(docs, benchmark, id_col=id_col, text_col=text_col, **options)).where("contaminated and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns unchanged; rows are told apart by their place."""
+    rows, row = named(docs)
+    gone = judged(find_matches(rows, benchmark, id_col=row, text_col=text_col, **options)).where("contaminated").select("doc_id")
+    return without(rows, row, gone, docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .rows import named, without
 
 SALTS = 8
 
@@ -35,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal texts share a group; the row with the largest id stays. Null text is the empty text and forms a group with it.
     Rows that repeat an id and its text count each in group_size and are all marked kept if theirs is the largest id: they
-    are the same document. An empty table gives an empty result; columns other than the two named are ignored.
+    are the same document. An id with two texts is in two groups. An empty table gives an empty result; columns other than the two named are ignored.
     """
     classes = materialise(merge_copies(docs, id_col, text_col, salts).select("digest", "keep_id", "group_size"), "exact")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -59,10 +60,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged. Rows without an id stay."""
-    gone = exact_groups(docs, id_col, text_col, salts).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each distinct text, all its columns unchanged: the one with the largest id, of rows that repeat it one.
+
+    Rows are told apart by their place, so an id with two texts loses neither; a row without an id gives way to any other.
+    """
+    rows, row = named(docs, F.col(id_col).isNotNull(), F.col(id_col))
+    gone = exact_groups(rows, row, text_col, salts).where("not kept").select("doc_id")
+    return without(rows, row, gone, docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir):

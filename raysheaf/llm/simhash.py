@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .components import components
+from .rows import named, without
 
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -110,10 +111,13 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, all columns unchanged; rows without an id stay."""
-    gone = near_groups(docs, shingle, distance, id_col, text_col).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each group, all its columns unchanged: the one with the smallest id, of rows that repeat it one.
+
+    Rows are told apart by their place; a row without an id gives way to any other.
+    """
+    rows, row = named(docs, F.col(id_col).isNull(), F.col(id_col))
+    gone = near_groups(rows, shingle, distance, row, text_col).where("doc_id <> component_id").select("doc_id")
+    return without(rows, row, gone, docs.columns)
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise, send
 from .components import components
+from .rows import named, without
 from .simhash import SEGMENTS, variant_keys
 
 BITS = 256
@@ -366,7 +367,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, all columns unchanged; rows without an id stay."""
-    gone = similar_groups(docs, shingle, similarity, id_col, text_col).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each group, all its columns unchanged: the one with the smallest id, of rows that repeat it one.
+
+    Rows are told apart by their place, so repeated ids are no harm; a row without an id gives way to any other.
+    """
+    rows, row = named(docs, F.col(id_col).isNull(), F.col(id_col))
+    gone = similar_groups(rows, shingle, similarity, row, text_col).where("doc_id <> component_id").select("doc_id")
+    return without(rows, row, gone, docs.columns)
