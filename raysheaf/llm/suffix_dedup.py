@@ -5,22 +5,25 @@ corpus hundreds of times over, so suffixes are sorted at anchors only. The ancho
 run in it with the least hash (the first of equals); it depends on the string's bytes alone, so equal strings have their anchor
 at the same offset. Each anchor owns the strings, starting at consecutive bytes, whose anchor it is.
 
-1. Each task lists the anchors of its documents, with a hash of the anchor's run and one of all bytes of the strings it owns.
-2. Runs that start at one place only are dropped. Anchors whose owned bytes are equal form a class; they are merged before
-   anything is grouped, so a passage that a third of the documents share is one row. A class of two or more places is covered.
-3. Classes that share the run but differ around it are sorted: the suffixes right of the anchor and, read backwards, left of it.
-   Multikey quicksort orders them to a shallow depth, blind tries order what still agrees there. The common prefixes of
-   neighbours in both orders tell which owned strings of which classes are equal.
+1. Each task lists the anchors of its documents, with a hash of the anchor's run.
+2. Runs that start at one place only are dropped. Of the other anchors the owned bytes are read; those with equal bytes, by
+   content, form a class. They are merged before anything is grouped, so a passage that a third of the documents share is one row.
+3. The classes of a run are sorted: the suffixes right of the anchor and, read backwards, left of it. Multikey quicksort orders
+   them to a shallow depth, blind tries order what still agrees there. The common prefixes of neighbours in both orders tell which
+   owned strings are equal to one of another class; those of a class with two places or more all repeat.
 4. Covered strings become byte spans of all places of their class, and the spans are cut out.
 
-A run with more than ``GROUP`` classes isn't gathered: its owned strings are counted one by one, which gives the same spans.
-Copies of a whole text are one text to these steps; they are covered whole.
+A run with more than ``GROUP`` classes is split before it is sorted: by the offset of the anchor in the string, into ranges, and
+in each range by the bytes left and right of the run that all its strings hold. Equal strings stay together, a class that looks
+like another one in a range merges with it there, and ranges of one offset have nothing left to sort. So a line that any number of
+documents share is spread over tasks. Hashes only bring strings together; contents decide.
+
+Copies of a whole text are one text to these steps; they are covered whole. A text's key is its SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import discard, materialise, release_shuffles
+from .rows import named
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM  # bytes that an anchor may be into a string, at most
 BLOCK = 1 << 19  # bytes whose anchors are found at once
-GROUP = 4_000  # classes of a run that one task sorts
+GROUP = 1_000  # classes of a run that are sorted together, at most
+WIDTHS = (26, 1)  # anchor offsets in a range when a run is split, and split again
 PAIRS = 12  # up to so many classes are compared in pairs, by their common prefixes
 SHALLOW = 12  # bytes that multikey quicksort looks at beyond the common run
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -63,16 +68,12 @@ class Anchors:
         self.power, self.back = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
     def find(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of texts ``raw[begins[i]:ends[i]]``, one after another: run hash, owned hash, text, anchor, first and last owned start,
-        the last three counted from the text's begin."""
+        """Of texts ``raw[begins[i]:ends[i]]``, one after another: run hash, text, anchor, first and last owned start, the last
+        three counted from the text's begin."""
         n = len(raw)
         if n > len(self.power) - 1:
             self._grow(max(n, 2 * len(self.power)))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[raw] * self.power[:n])])
-
-        def hashed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return _mix((total[j] - total[i]) * self.back[i])
-
         start = np.arange(n - GRAM + 1)
         run = _mix((total[GRAM:] - total[: n - GRAM + 1]) * self.back[: n - GRAM + 1])
         packed = (run >> np.uint64(_AT) << np.uint64(_AT)) | start.astype(np.uint64)
@@ -92,15 +93,13 @@ class Anchors:
         change = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)]))
         last = np.concatenate([change[1:] - 1, [len(first) - 1]])
         low, high, anchor, text = first[change], first[last], anchor[change], text[change]
-        owned = hashed(low, high + LENGTH)
-        owned = _mix(owned ^ _mix(((anchor - low) * 512 + (high - low)).astype(np.uint64) + np.uint64(1)))
         base = begins[text]
-        return run[anchor].view(np.int64), owned.view(np.int64), text, anchor - base, low - base, high - base
+        return run[anchor].view(np.int64), text, anchor - base, low - base, high - base
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(run, owned, key, place) of texts (key, text); place packs the anchor, its offset in the first owned string and their
-    number less 1 as anchor * 2^18 + offset * 2^9 + number."""
+    """(run, key, place) of texts (key, text); place packs the anchor, its offset in the first owned string and the number of
+    owned strings less 1 as anchor * 2^18 + offset * 2^9 + number."""
 
     def run(batches):
         anchors = Anchors()
@@ -109,12 +108,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         def found():
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)
-            some = anchors.find(np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends)
-            key = np.array([k for k, _ in keys], dtype=np.int64)[some[2]]
-            shift = np.array([s for _, s in keys], dtype=np.int64)[some[2]]
-            place = ((some[3] + shift) << 18) + ((some[3] - some[4]) << 9) + (some[5] - some[4])
-            columns = [some[0], some[1], key, place]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "owned", "key", "place"])
+            runs, text, anchor, low, high = anchors.find(np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends)
+            shift = np.array([s for _, s in keys], dtype=np.int64)[text]
+            place = ((anchor + shift) << 18) + ((anchor - low) << 9) + (high - low)
+            key = pa.array([k for k, _ in keys], pa.binary()).take(pa.array(text))
+            return pa.RecordBatch.from_arrays([pa.array(runs), key, pa.array(place)], names=["run", "key", "place"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,7 +128,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if texts:
             yield found()
 
-    return docs.select("key", "text").mapInArrow(run, "run long, owned long, key long, place long")
+    return docs.select("key", "text").mapInArrow(run, "run long, key binary, place long")
 
 
 # ---- sorting
@@ -279,11 +277,11 @@ def covered_offsets(classes: list[tuple[bytes, int, int]], length: int = LENGTH,
     n = len(classes)
     if n < 2:
         return [[] for _ in classes]
-    right_order, right_prefix = deep_shallow([c[a:] for c, a, _ in classes], gram)
+    same = {c[a : a + gram] for c, a, _ in classes}  # two runs may have one hash
+    right_order, right_prefix = deep_shallow([c[a:] for c, a, _ in classes], gram if len(same) == 1 else 0)
     left_order, left_prefix = deep_shallow([c[:a][::-1] for c, a, _ in classes])
     low, high = [a - m for _, a, m in classes], [a for _, a, _ in classes]
     out: list[list[tuple[int, int]]] = [[] for _ in classes]
-    out: list[list[tuple[int, int]]] = [[] for _ in classes]
     if n <= PAIRS:  # each pair's common prefixes are the least of those between its places in the orders
         right = _pairwise(right_order, right_prefix)
         left = _pairwise(left_order, left_prefix)
@@ -315,137 +313,176 @@ def covered_offsets(classes: list[tuple[bytes, int, int]], length: int = LENGTH,
 # ---- the operator
 
 
-def _by_run(batches, take: Callable):
-    """Rows (run, owned, owned bytes, offset, number) come sorted by run: calls ``take`` for each run, each class once."""
-    current, rows = None, {}
-    for batch in batches:
-        for run, owned, content, offset, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if run != current and rows:
-                yield take(current, rows)
-                rows = {}
-            current = run
-            rows[owned] = (content, offset, number)
-    if rows:
-        yield take(current, rows)
+def _class_id(content: bytes, offset: int, number: int) -> bytes:
+    return hashlib.sha256(offset.to_bytes(2, "big") + number.to_bytes(2, "big") + content).digest()
+
 
+def _short_hash(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
 
-def _sorted_covers(contexts: DataFrame) -> DataFrame:
-    """(run, owned, begin, end): byte spans relative to the anchor of strings that other classes of the run own too."""
+
+def _sorted_covers(classes: DataFrame) -> DataFrame:
+    """(part, id, begin, end): byte spans, relative to the anchor, of repeated strings of classes (part, id, content, offset,
+    number, many); a part is a run or a range of one."""
 
     def run(batches):
-        def take(key, rows):
-            spans = []
-            for owned, offsets in zip(rows, covered_offsets(list(rows.values())), strict=True):
-                spans += [(key, owned, 1 - end, LENGTH - begin) for begin, end in offsets]
-            return spans
-
-        some = []
-        for spans in _by_run(batches, take):
-            some += spans
+        current, rows, some = None, [], []
+
+        def take():
+            found = covered_offsets([(content, offset, number) for _, content, offset, number, _ in rows])
+            for (name, _, offset, number, many), offsets in zip(rows, found, strict=True):
+                spans = [(offset - number, offset + 1)] if many else offsets
+                some.extend((current, name, 1 - end, LENGTH - begin) for begin, end in spans)
+
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != current and rows:
+                    take()
+                    rows = []
+                current = part
+                rows.append(row)
             if len(some) >= 10_000:
-                yield _spans_batch(some)
+                yield _batch(some, covers)
                 some = []
+        if rows:
+            take()
         if some:
-            yield _spans_batch(some)
+            yield _batch(some, covers)
 
-    ordered = contexts.repartition("run").sortWithinPartitions("run")
-    return ordered.select("run", "owned", "content", "offset", "number").mapInArrow(run, "run long, owned long, begin long, end long")
+    covers = pa.schema([("part", pa.int64()), ("id", pa.binary()), ("begin", pa.int64()), ("end", pa.int64())])
+    ordered = classes.repartition("part").sortWithinPartitions("part")
+    return ordered.select("part", "id", "content", "offset", "number", "many").mapInArrow(run, "part long, id binary, begin long, end long")
 
 
-def _spans_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["run", "owned", "begin", "end"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _counted_covers(contexts: DataFrame) -> DataFrame:
-    """The same spans for runs of any number of classes: owned strings are counted one by one, combined before the shuffle."""
-    each = contexts.select("run", "owned", "offset", F.explode(F.sequence(F.lit(0), F.col("number"))).alias("nth"), "content")
-    at = (F.col("offset") - F.col("nth")).alias("at")
-    each = each.select("run", "owned", at, F.unhex(F.sha2(F.expr(f"substring(content, nth + 1, {LENGTH})"), 256)).alias("string"))
-    shared = each.groupBy("run", "at", "string").agg(F.min("owned").alias("a"), F.max("owned").alias("b")).where("a <> b").select("run", "at", "string")
-    hit = each.join(shared, ["run", "at", "string"])
-    return hit.select("run", "owned", (-F.col("at")).alias("begin"), (LENGTH - F.col("at")).alias("end"))
+def _ranges(classes: DataFrame, width: int) -> DataFrame:
+    """Classes (part, id, content, offset, number, many) cut into ranges of ``width`` anchor offsets: (whole_part, whole_id, part,
+    id, content, offset, number, many). All strings of a part hold the bytes that its name hashes."""
+    schema = pa.schema([("whole_part", pa.int64()), ("whole_id", pa.binary()), ("part", pa.int64()), ("id", pa.binary()), ("content", pa.binary()), ("offset", pa.int32()), ("number", pa.int32()), ("many", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for part, name, content, offset, number, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = offset - number, offset  # of the anchor in the owned strings
+                for first in range(low // width * width, high + 1, width):
+                    last = min(first + width - 1, REACH)
+                    begin, end = max(first, low), min(last, high)
+                    held = content[offset - first : offset + LENGTH - last]
+                    inner = content[offset - end : offset - begin + LENGTH]
+                    name_of_part = _short_hash(first.to_bytes(2, "big") + part.to_bytes(8, "big", signed=True) + held)
+                    rows.append((part, name, name_of_part, _class_id(inner, end, end - begin), inner, end, end - begin, many))
+                    if len(rows) == 4096:
+                        yield _batch(rows, schema)
+                        rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+    return classes.select("part", "id", "content", "offset", "number", "many").mapInArrow(
+        run, "whole_part long, whole_id binary, part long, id binary, content binary, offset int, number int, many boolean"
+    )
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(run, owned, n, content, offset, number) of one place of each wanted class; ``wanted`` has the places by text."""
+def _covers(classes: DataFrame, group: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``_sorted_covers`` of classes in parts of any size: those of more than ``group`` are cut into ranges first."""
+    if not widths:
+        return materialise(_sorted_covers(classes), "covers")
+    hot = materialise(classes.groupBy("part").count().where(F.col("count") > group).select("part"), "hot")
+    if hot.isEmpty():
+        return materialise(_sorted_covers(classes), "covers")
+    cut = materialise(_ranges(classes.join(hot, "part", "left_semi"), widths[0]), "ranges")
+    other = F.xxhash64("whole_part", "whole_id")  # two of these that a part merges have one hash by chance only once in 2^64
+    merged = cut.groupBy("part", "id", "content", "offset", "number").agg((F.max("many") | (F.min(other) != F.max(other))).alias("many"))
+    merged = materialise(merged, "merged")
+    found = _covers(merged, group, widths[1:])
+    back = cut.select("whole_part", "whole_id", "part", "id").join(found, ["part", "id"])
+    back = back.select(F.col("whole_part").alias("part"), F.col("whole_id").alias("id"), "begin", "end")
+    covers = materialise(_sorted_covers(classes.join(hot, "part", "left_anti")).unionByName(back), "covers")
+    for table in (hot, cut, merged, found):
+        discard(table)
+    return covers
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, row: str) -> DataFrame:
+    """(part, id, key, place, content, offset, number) of all places of ``wanted`` (row, places), read from their texts."""
+    schema = pa.schema([("part", pa.int64()), ("id", pa.binary()), ("key", pa.binary()), ("place", pa.int64()), ("content", pa.binary()), ("offset", pa.int32()), ("number", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            for text, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_py().encode()
-                rows = []
                 for p in places:
-                    anchor, offset, number = p["place"] >> 18, (p["place"] >> 9) & 511, p["place"] & 511
-                    low = anchor - offset
-                    rows.append((p["run"], p["owned"], p["n"], raw[low : low + number + LENGTH], offset, number))
-                for i in range(0, len(rows), 4096):
-                    columns = list(zip(*rows[i : i + 4096], strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["run", "owned", "n", "content", "offset", "number"])
+                    place = p["place"]
+                    anchor, offset, number = place >> 18, (place >> 9) & 511, place & 511
+                    content = raw[anchor - offset : anchor - offset + number + LENGTH]
+                    rows.append((p["run"], _class_id(content, offset, number), key, place, content, offset, number))
+                    if len(rows) == 4096:
+                        yield _batch(rows, schema)
+                        rows = []
+            if rows:
+                yield _batch(rows, schema)
 
-    named = wanted.select(F.col("key").alias("w_key"), F.col("doc_id").alias("w_doc"), "places")
-    joined = docs.join(named, (docs["key"] == named["w_key"]) & docs["doc_id"].eqNullSafe(named["w_doc"]))
-    return joined.select("text", "places").mapInArrow(run, "run long, owned long, n long, content binary, offset int, number int")
+    joined = docs.join(wanted.select(F.col(row).alias("__wanted"), "places"), F.col(row) == F.col("__wanted"))
+    return joined.select("key", "text", "places").mapInArrow(run, "part long, id binary, key binary, place long, content binary, offset int, number int")
 
 
-def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(key, spans): sorted, disjoint byte spans [begin, end) of repeated strings, for texts (doc_id, key, text) with any.
+def repeated_spans(docs: DataFrame, row: str, group: int = GROUP) -> DataFrame:
+    """(key, spans): sorted, disjoint byte spans [begin, end) of repeated strings, for texts (key, text) with any.
 
-    Texts are those of ``_keyed``; copies have one key and aren't compared with each other here.
+    ``docs`` is from ``_keyed``; copies have one key and aren't compared with each other here.
     """
+    spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= LENGTH)
     anchors = materialise(_anchor_rows(long), "anchors")
-    spot = F.xxhash64("key", "place")
+    spot = F.xxhash64("key", "place")  # compared within a run or class only, where two have one hash by chance once in 2^64
     again = anchors.groupBy("run").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("run")
     again = materialise(again, "again")  # so that the join reads both sides from a shuffle, which AQE can split at a hot run
-    dups = materialise(anchors.join(again, "run", "left_semi"), "repeated")
+    dups = anchors.join(again, "run", "left_semi").distinct()
+    firsts = long.groupBy("key").agg(F.min(row).alias(row))
+    wanted = dups.groupBy("key").agg(F.collect_list(F.struct("run", "place")).alias("places")).join(firsts, "key").drop("key")
+    contexts = materialise(_contexts(long, wanted, row), "contexts")
     discard(anchors)
     discard(again)
-    release_shuffles(docs.sparkSession)
-    classes = dups.groupBy("run", "owned").agg(F.min(spot).alias("least"), F.max(spot).alias("most"))
+    release_shuffles(spark)
+    classes = contexts.groupBy("part", "id", "content", "offset", "number").agg((F.min(spot) != F.max(spot)).alias("many"))
     classes = materialise(classes, "classes")
-    whole = dups.select("run", "owned", (F.shiftright("place", 9).bitwiseAND(511)).alias("offset"), F.col("place").bitwiseAND(511).alias("number")).distinct()
-    whole = whole.join(classes.where("least <> most"), ["run", "owned"]).select(
-        "run", "owned", (-F.col("offset")).alias("begin"), (F.col("number") - F.col("offset") + LENGTH).alias("end")
-    )
-    many = classes.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    hard = classes.join(many, "run").select("run", "owned", "n", "least")
-    hard = dups.join(hard, ["run", "owned"]).where(spot == F.col("least")).select("run", "owned", "n", "key", "place").distinct()
-    firsts = long.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = hard.groupBy("key").agg(F.collect_list(F.struct("run", "owned", "n", "place")).alias("places")).join(firsts, "key")
-    contexts = materialise(_contexts(long, wanted), "contexts")
-    release_shuffles(docs.sparkSession)
-    covers = _sorted_covers(contexts.where(F.col("n") <= group)).unionByName(_counted_covers(contexts.where(F.col("n") > group)))
-    covers = materialise(covers.unionByName(whole), "covers")
-    places = dups.join(covers, ["run", "owned"])
+    release_shuffles(spark)
+    covers = _covers(classes, group)
+    places = contexts.select("part", "id", "key", "place").join(covers, ["part", "id"])
     anchor = F.shiftright("place", 18)
     places = places.select("key", (anchor + F.col("begin")).alias("begin"), (anchor + F.col("end")).alias("end"))
     longest = places.groupBy("key", "begin").agg(F.max("end").alias("end"))
     spans = longest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     spans = materialise(spans, "spans")
-    for table in (dups, classes, contexts, covers):
+    for table in (contexts, classes, covers):
         discard(table)
-    release_shuffles(docs.sparkSession)
+    release_shuffles(spark)
     return spans
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, key): null text is empty; the key hashes the text's SHA-256."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("key", F.xxhash64(F.sha2("text", 256)))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(doc_id, text, key, row) and the name of the last: null text is empty, the key is the text's SHA-256, row its place."""
+    rows, row = named(docs)
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(row).alias("__row"))
+    return rows.withColumn("key", F.unhex(F.sha2("text", 256))), "__row"
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """One row per row: doc_id, n_bytes, n_removed, spans (removed runs [begin, end)), kept (binary, null if nothing was removed).
+    """One row per row: doc_id, n_bytes, n_removed, spans (removed runs [begin, end)), kept (binary, null if nothing was removed),
+    text_sha256 (of the text, if it lost nothing or all).
 
     Lengths and spans count UTF-8 bytes; a character may be cut. Null text is empty. Rows that repeat a text are copies of each
     other and lose all their bytes if these are ``LENGTH`` or more, whatever their ids. An empty table gives an empty result;
     columns other than the two named are ignored. Rows without an id take part like any other.
     """
-    rows = _keyed(docs, id_col, text_col)
+    rows, row = _keyed(docs, id_col, text_col)
     copies = rows.where(F.octet_length("text") >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
     copies = materialise(copies, "copies")
-    spans = repeated_spans(rows, group).join(copies, "key", "left_anti")
+    spans = repeated_spans(rows, row, group).join(copies, "key", "left_anti")
     spans = materialise(spans, "own-spans")
 
     def run(batches):
@@ -476,11 +513,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     cut = rows.join(spans, "key").select("doc_id", "text", "spans").mapInArrow(run, schema)
     size = F.octet_length("text").cast("long")
-    narrow = rows.select("doc_id", "key", size.alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    narrow = rows.select("doc_id", "key", size.alias("n_bytes"))
     gone = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
-    copied = narrow.join(copies, "key").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), gone.alias("spans"), F.lit(b"").alias("kept"), "text_sha256")
+    text_sha256 = F.lower(F.hex("key")).alias("text_sha256")
+    copied = narrow.join(copies, "key").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), gone.alias("spans"), F.lit(b"").alias("kept"), text_sha256)
     fine = narrow.join(copies.select("key").unionByName(spans.select("key")), "key", "left_anti").select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast(span).alias("spans"), F.lit(None).cast("binary").alias("kept"), "text_sha256"
+        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast(span).alias("spans"), F.lit(None).cast("binary").alias("kept"), text_sha256
     )
     return cut.withColumn("text_sha256", F.lit(None).cast("string")).unionByName(copied).unionByName(fine)
 
@@ -493,6 +531,7 @@ def op8_suffix_dedup(spark, sf_dir):
         "n_removed",
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
     )
 
 
