@@ -1,32 +1,35 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Method: the training words of each block of documents become one segment of a positional inverted index, term -> ascending
-word positions, over the terms of the benchmark (postings of other terms can match nothing). A test phrase is looked up from
-its rarest term in the segment: that term's positions, less its offset in the phrase, are the candidate starts; they are
-intersected with the offset-adjusted positions of the next rarest term, and so on, until all terms agree (exact phrase) or none
-is left. With ``slop`` the intersection also accepts terms up to that many words from their place (proximity match).
-
-Segments are split by document, so phrases never need a shuffle and a segment's memory is bounded by the block size. The
-benchmark is the query set; it is sent to the tasks in blocks of at most ``QUERY_BYTES``, each block in a pass of its own, and
-the hit spans of all passes are united per document.
+Method: the training words become a table of postings, (term, row, ascending word positions), over the terms of the benchmark
+(postings of other terms can match nothing; a bitmap of fixed size tells them, so what a task holds doesn't grow with the
+benchmark). The table is written once. The test phrases are the distinct runs of ``window`` words of the items, a table too. Of
+each phrase the terms are ranked by how often the corpus has them:
+
+1. the postings of its rarest term, less the term's offset, are the candidate starts; that is an equality join on the term;
+2. those of the second rarest, joined on row and term, are intersected with them, which leaves little by chance;
+3. those of all others are intersected with what is left. A start that is in all lists is an exact match.
+
+With ``slop`` a list also has the starts up to that many words from its own (proximity match). Phrases and postings are only
+ever joined; neither is sent to the driver or to all tasks by this code.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import send
+from ..session import discard, materialise, send
 from .rows import named, without
 
 WINDOW = 13  # words of a test phrase
-BLOCK_BYTES = 16 << 20  # text in a segment
-QUERY_BYTES = 32 << 20  # benchmark text sent to tasks at once
+SEGMENT_BYTES = 8 << 20  # text whose postings are made at once
+FILTER_BITS = 20  # the bitmap of the benchmark's terms has 2^FILTER_BITS bits
 SHARE = 20  # a document is contaminated if 1 / SHARE of its words are hit
 #: ASCII digits, a-z and all bytes of other scripts make words; A-Z are lower-cased first.
 _KEEP = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -37,144 +40,171 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_KEEP).split()
 
 
-class Phrases:
-    """Test phrases of all items: distinct runs of ``window`` words (whole items if shorter) and the items that hold them."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.terms: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            if ids:
-                n = min(window, len(ids))
-                for i in range(len(ids) - n + 1):
-                    owners.setdefault(tuple(ids[i : i + n]), set()).add(item)
-        self.phrases = list(owners)
-        self.owners = [sorted(map(str, owners[p])) for p in self.phrases]
-        #: phrases filed under each of their terms would repeat work; under all, as the rarest one is known per segment only
-        self.by_term: dict[int, list[int]] = {}
-        for i, p in enumerate(self.phrases):
-            for t in set(p):
-                self.by_term.setdefault(t, []).append(i)
-
-
-class Segment:
-    """Positional postings of the words of some documents. Positions count on over documents; ``gap`` parts them."""
-
-    def __init__(self, texts: list[str | None], terms: dict[bytes, int], gap: int):
-        counts, known, places = [], [], []
-        at = 0
-        for text in texts:
-            words = words_of(text)
-            ids = np.fromiter((terms.get(w, -1) for w in words), np.int64, len(words))
-            here = np.flatnonzero(ids >= 0)
-            known.append(ids[here])
-            places.append(here + at)
-            counts.append(len(words))
-            at += len(words) + gap
-        self.n_words = np.array(counts, dtype=np.int64)
-        self.begin = np.cumsum(self.n_words + gap) - (self.n_words + gap)
-        self.size = at
-        term, place = np.concatenate(known), np.concatenate(places)
-        order = np.argsort(term, kind="stable")
-        term, place = term[order], place[order]
-        cuts = np.flatnonzero(np.diff(term)) + 1
-        lists = np.split(place, cuts) if len(term) else []
-        heads = term[np.concatenate([[0], cuts])].tolist() if len(term) else []
-        self.postings = dict(zip(heads, lists, strict=True))
-
-    def starts(self, phrase: tuple[int, ...], slop: int = 0) -> np.ndarray:
-        """Where the phrase starts: rarest term first, then the others while candidates are left."""
-        lists = self.postings
-        if any(t not in lists for t in phrase):
-            return np.zeros(0, dtype=np.int64)
-        order = sorted(range(len(phrase)), key=lambda i: len(lists[phrase[i]]))
-        found = lists[phrase[order[0]]] - order[0]
-        for i in order[1:]:
-            if not len(found):
-                break
-            here = lists[phrase[i]]
-            at = np.searchsorted(here, found + i - slop)
-            inside = at < len(here)
-            inside[inside] = here[at[inside]] <= found[inside] + i + slop
-            found = found[inside]
-        return found[found >= 0]
-
-
-def _spans(docs: DataFrame, phrases: Phrases, window: int, slop: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_words, spans (begin, length, of united hits), items (strings) with a match."""
-    sent = send(docs.sparkSession, phrases)
+def _bit(word: bytes) -> int:
+    return zlib.crc32(word) >> (32 - FILTER_BITS)
+
+
+class _Terms(dict):
+    """Word -> number of the term, or -1 for words whose bit isn't set; filled as words are asked for."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.words = bits, []
+
+    def __missing__(self, word: bytes) -> int:
+        bit = _bit(word)
+        number = len(self.words) if self.bits[bit >> 3] >> (bit & 7) & 1 else -1
+        if number >= 0:
+            self.words.append(word.decode())
+        self[word] = number
+        return number
+
+
+def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, words): the items that have words, ids as strings, a null one as the empty string."""
+
+    def run(batches):
+        for batch in batches:
+            words = [[w.decode() for w in words_of(t.as_py())] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["item", "words"])
+
+    named_items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_col)
+    return named_items.mapInArrow(run, "item string, words array<string>").where("size(words) > 0")
+
+
+def term_bits(items: DataFrame) -> np.ndarray:
+    """The bitmap of the terms of all items."""
+    words = items.select(F.explode("words").alias("word"))
+    found = words.select(F.shiftright(F.crc32(F.encode("word", "UTF-8")), 32 - FILTER_BITS).alias("bit")).distinct().toArrow()  # 2^FILTER_BITS rows at most
+    bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+    bits[found.column(0).to_numpy()] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def postings(rows: DataFrame, row: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """(term, row, positions) of every term whose bit is set, and for each row a null term with its number of words."""
+    sent = send(rows.sparkSession, bits)
     schema = T.StructType(
         [
-            T.StructField("doc_id", docs.schema[id_col].dataType),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("begins", T.ArrayType(T.LongType(), False)),
-            T.StructField("lengths", T.ArrayType(T.LongType(), False)),
-            T.StructField("items", T.ArrayType(T.StringType(), False)),
+            T.StructField("term", T.StringType()),
+            T.StructField("row", rows.schema[row].dataType),
+            T.StructField("positions", T.ArrayType(T.IntegerType(), False)),
         ]
     )
 
-    def look_up(texts: list[str | None], test: Phrases) -> tuple[np.ndarray, list, list, list]:
-        segment = Segment(texts, test.terms, window + slop)
-        hit = np.zeros(segment.size + 1, dtype=np.int32)
-        items: list[set] = [set() for _ in texts]
-        maybe = {i for t in segment.postings for i in test.by_term[t]} if len(segment.postings) < len(test.terms) else range(len(test.phrases))
-        for i in maybe:
-            phrase = test.phrases[i]
-            starts = segment.starts(phrase, slop)
-            if len(starts):
-                np.add.at(hit, starts, 1)
-                np.add.at(hit, np.minimum(starts + len(phrase), segment.size), -1)
-                for doc in np.unique(np.searchsorted(segment.begin, starts, side="right") - 1).tolist():
-                    items[doc].update(test.owners[i])
-        covered = np.concatenate([[False], np.cumsum(hit) > 0])
-        edges = np.flatnonzero(np.diff(covered))
-        begins, lengths = edges[::2], edges[1::2] - edges[::2]
-        doc = np.searchsorted(segment.begin, begins, side="right") - 1
-        inside = begins - segment.begin[doc] if len(doc) else begins
-        out_b, out_l = [[] for _ in texts], [[] for _ in texts]
-        for d, b, n in zip(doc.tolist(), inside.tolist(), lengths.tolist(), strict=True):
-            n = min(n, int(segment.n_words[d]) - b)
-            if n > 0:
-                out_b[d].append(b)
-                out_l[d].append(n)
-        return segment.n_words, out_b, out_l, [sorted(x) for x in items]
+    def segment(keys: pa.Array, texts: list[str | None], bits: np.ndarray):
+        terms = _Terms(bits)
+        known, counts = [], []
+        for text in texts:
+            words = words_of(text)
+            counts.append(len(words))
+            known.append(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))
+        counts = np.array(counts, dtype=np.int64)
+        term = np.concatenate(known)
+        text = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
+        here = np.flatnonzero(term >= 0)
+        both = text[here] * max(1, len(terms.words)) + term[here]
+        order = np.argsort(both, kind="stable")  # positions stay ascending
+        both, place = both[order], place[here][order].astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
+        heads = both[cuts]
+        names = pa.array(terms.words, pa.string()).take(pa.array(heads % max(1, len(terms.words))))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, [len(both)]]).astype(np.int32)), pa.array(place))
+        yield pa.RecordBatch.from_arrays([names, keys.take(pa.array(heads // max(1, len(terms.words)))), lists], names=schema.names)
+        sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), pa.array(counts.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.string()), keys, sizes], names=schema.names)
 
     def run(batches):
-        test = sent()
+        bits = sent()
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            begin = 0
-            while begin < batch.num_rows:
-                end, size, texts = begin, 0, []
-                while end < batch.num_rows and (not texts or size < BLOCK_BYTES):
-                    texts.append(column[end].as_py())
-                    size += len(texts[-1] or "")
-                    end += 1
-                n_words, begins, lengths, items = look_up(texts, test)
-                arrays = [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(begins, pa.list_(pa.int64())),
-                    pa.array(lengths, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), *arrays], names=schema.names)
-                begin = end
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def _query_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """Items in lists of about ``limit`` bytes of text, from a streamed read: the driver holds one block at a time."""
-    block, size = [], 0
-    for row in benchmark.select(item_col, text_col).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            begin, texts, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= SEGMENT_BYTES:
+                    yield from segment(batch.column(0).slice(begin, len(texts)), texts, bits)
+                    begin, texts, size = i + 1, [], 0
+            if texts:
+                yield from segment(batch.column(0).slice(begin, len(texts)), texts, bits)
+
+    return rows.select(row, text_col).mapInArrow(run, schema)
+
+
+def phrases(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(phrase, items, n, ranked): distinct runs of ``window`` words (whole items if shorter) whose terms the corpus all has; the
+    phrase is its words, ``ranked`` its terms, rarest first, with their offsets."""
+    n = F.least(F.lit(window), F.size("words"))
+    runs = items.withColumn("n", n).select("item", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at"))
+    runs = runs.select("item", "n", F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("phrase"))
+    runs = materialise(runs.groupBy("phrase", "n").agg(F.array_sort(F.collect_set("item")).alias("items")), "phrases")
+    each = runs.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term")).join(counts, "term")
+    ranked = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))).alias("ranked"))
+    return runs.join(ranked, "phrase").where(F.size("ranked") == F.col("n"))
+
+
+def _starts(positions: Column | str, offset: Column, slop: int) -> Column:
+    """Where a phrase may start whose term stands at these positions."""
+    if not slop:
+        return F.transform(positions, lambda p: p - offset)
+    return F.flatten(F.transform(positions, lambda p: F.sequence(p - offset - slop, p - offset + slop)))
+
+
+def phrase_hits(index: DataFrame, tests: DataFrame, slop: int = 0) -> DataFrame:
+    """(phrase, row, start): all matches of ``tests`` (phrase, n, ranked) in the postings ``index``."""
+
+    def nth(i: int) -> list[Column]:
+        return [F.col("ranked")[i]["term"].alias("term"), F.col("ranked")[i]["offset"].alias("offset")]
+
+    rarest = tests.select("phrase", *nth(0))
+    first = index.join(rarest, "term").select("phrase", "row", F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda s: s >= 0).alias("starts"))
+    first = materialise(first.where("size(starts) > 0"), "first")
+    narrowed = F.array_intersect("starts", _starts("positions", F.col("offset"), slop)).alias("starts")
+    second = tests.where("n > 1").select("phrase", *nth(1))
+    both = first.join(second, "phrase").join(index, ["row", "term"]).select("phrase", "row", narrowed).where("size(starts) > 0")
+    both = materialise(both, "both")
+    rest = tests.where("n > 2").select("phrase", "n", F.explode(F.slice("ranked", F.lit(3), F.col("n") - 2)).alias("r")).select("phrase", "n", "r.term", "r.offset")
+    wanted = materialise(both.select("row").distinct(), "wanted")
+    near = index.join(wanted, "row", "left_semi")
+    inside = both.join(rest, "phrase").join(near, ["row", "term"]).select("phrase", "n", "row", F.explode(narrowed).alias("start"))
+    found = inside.groupBy("phrase", "n", "row", "start").count().where("count = n - 2").select("phrase", "row", "start")
+    one = first.join(tests.where("n = 1"), "phrase").select("phrase", "row", F.explode("starts").alias("start"))
+    two = both.join(tests.where("n = 2"), "phrase").select("phrase", "row", F.explode("starts").alias("start"))
+    found = materialise(found.unionByName(one).unionByName(two), "found")
+    for table in (first, both, wanted):
+        discard(table)
+    return found
+
+
+def _matches(rows: DataFrame, row: str, benchmark: DataFrame, window: int, slop: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(row, n_words, n_hit, begins, lengths, items) of ``rows``, one for each."""
+    items = materialise(item_words(benchmark, item_col, item_text_col), "items")
+    index = materialise(postings(rows, row, text_col, term_bits(items)), "postings")
+    known = index.where("term is not null")
+    counts = materialise(known.groupBy("term").agg(F.sum(F.size("positions")).alias("count")), "counts")
+    tests = materialise(phrases(items, counts, window), "tests")
+    hits = phrase_hits(known, tests, slop)
+    sizes = index.where("term is null").select("row", F.col("positions")[0].cast("long").alias("n_words"))
+    # a phrase that is matched with slop may reach beyond its text
+    spans = hits.join(tests.select("phrase", "n"), "phrase").join(sizes, "row").select("row", "start", F.least(F.col("start") + F.col("n"), "n_words").alias("end")).distinct()
+    order = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("nth", F.sum("fresh").over(order))
+    spans = spans.groupBy("row", "nth").agg(F.min("start").cast("long").alias("begin"), F.max("end").cast("long").alias("end"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", (F.col("end") - F.col("begin")).alias("length")))).alias("spans"))
+    held = hits.select("row", "phrase").distinct().join(tests.select("phrase", F.explode("items").alias("item")), "phrase")
+    held = held.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = materialise(spans.join(held, "row"), "spans")
+    longs, texts = (F.expr(f"cast(array() as array<{kind}>)") for kind in ("bigint", "string"))
+    out = sizes.join(found, "row", "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["length"])
+    return out.select(
+        "row",
+        "n_words",
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("spans.begin", longs).alias("begins"),
+        F.coalesce("spans.length", longs).alias("lengths"),
+        F.coalesce("items", texts).alias("items"),
+    )
 
 
 def find_matches(
@@ -186,47 +216,17 @@ def find_matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """One row per row: doc_id, n_words, n_hit, begins and lengths (hit runs in words), items (sorted ids as strings).
 
     Null texts have no words, null items no phrases; an item of fewer than ``window`` words is one phrase, one without words
-    none. Matches never cross documents. Repeated rows give repeated results, items that share a phrase all count. With an
-    empty benchmark nothing is hit. Only the two named columns of either table are read. Several query blocks (a benchmark
-    beyond ``query_bytes``) need unique ids.
+    none. Matches never cross documents. Rows are told apart by their place: repeated ones give repeated results, whatever their
+    ids. Items that share a phrase all count; those without an id count as one with an empty id. With an empty benchmark nothing
+    is hit. Only the two named columns of either table are read.
     """
-    parts = [_spans(docs, Phrases(block, window), window, slop, id_col, text_col) for block in _query_blocks(benchmark, item_col, item_text_col, query_bytes)]
-    if not parts:
-        parts = [_spans(docs, Phrases([], window), window, slop, id_col, text_col)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "lengths"))))
-        united = F.aggregate(
-            "pairs",
-            F.expr("cast(array() as array<struct<begins:bigint,lengths:bigint>>)"),
-            lambda acc, p: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["begins"] + F.element_at(acc, -1)["lengths"] >= p["begins"]),
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(
-                        F.struct(
-                            F.element_at(acc, -1)["begins"].alias("begins"),
-                            F.greatest(F.element_at(acc, -1)["lengths"], p["begins"] + p["lengths"] - F.element_at(acc, -1)["begins"]).alias("lengths"),
-                        )
-                    ),
-                ),
-            ).otherwise(F.array_append(acc, p)),
-        )
-        found = whole.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), pairs.alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        found = found.withColumn("u", united).select("doc_id", "n_words", F.col("u.begins").alias("begins"), F.col("u.lengths").alias("lengths"), "items")
-    n_hit = F.aggregate("lengths", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "begins", "lengths", "items")
+    rows, row = named(docs, F.col(id_col))
+    found = _matches(rows, row, benchmark, window, slop, text_col, item_col, item_text_col)
+    return found.select(F.col("row.rank0").alias("doc_id"), "n_words", "n_hit", "begins", "lengths", "items")
 
 
 def judged(matches: DataFrame, share: int = SHARE) -> DataFrame:
@@ -234,10 +234,18 @@ def judged(matches: DataFrame, share: int = SHARE) -> DataFrame:
     return matches.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    slop: int = 0,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns unchanged; rows are told apart by their place."""
     rows, row = named(docs)
-    gone = judged(find_matches(rows, benchmark, id_col=row, text_col=text_col, **options)).where("contaminated").select("doc_id")
+    gone = judged(_matches(rows, row, benchmark, window, slop, text_col, item_col, item_text_col)).where("contaminated").select("row")
     return without(rows, row, gone, docs.columns)
 
 
@@ -253,6 +261,24 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, w, least({WINDOW}, len(w)) AS n FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+r AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p))),
+h AS (SELECT doc_id, i, n, item FROM r JOIN p USING (n, phrase)),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND n_hit * {SHARE} >= len(w), false) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, list[str]]:
     """(n_words, n_hit, items) by comparing every run of words: for tests."""
     words = words_of(text)

@@ -13,7 +13,7 @@ import pytest
 from conftest import SMALL, same_rows
 from pyspark.sql import functions as F
 
-from raysheaf.llm import byte_bpe, chat_format, components, decontaminate, exact_dedup, language_id, license_scan, quality, simhash, simhash_similar, suffix_dedup, warc
+from raysheaf.llm import byte_bpe, chat_format, components, decontaminate, exact_dedup, language_id, license_scan, quality, rows, simhash, simhash_similar, suffix_dedup, warc
 from raysheaf.llm.queries import ORACLES, QUERIES
 
 CLASHING = "key string, digest string, fp string, node long, component long, spans string, __gone long, places string, n_words long, kept string"
@@ -41,6 +41,29 @@ def test_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
 
 
+def test_removal_decides_on_rows(spark):
+    rows = [(1, "A a a a", 1), (1, "unique text", 2), (2, "A a a a", 3), (2, "A a a a", 4), (None, "A a a a", 5), (None, "solo one", 6), (3, None, 7), (3, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long")
+    kept = lambda out: sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert kept(exact_dedup.drop_copies(docs)) == [(0, "solo one"), (1, "unique text"), (2, "A a a a"), (3, "")]
+    for near in (simhash.keep_one, simhash_similar.keep_one):
+        out = near(docs)
+        assert out.columns == docs.columns and kept(out) == [(0, "solo one"), (1, "A a a a"), (1, "unique text"), (3, "")]
+    bench = spark.createDataFrame([(1, "A a a a")], "item_id long, text string")
+    assert kept(decontaminate.drop_contaminated(docs, bench)) == [(0, "solo one"), (1, "unique text"), (3, ""), (3, "")]
+
+
+def test_rows_have_one_name_each(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id % 7 AS id", "'x' AS __row", "'y' AS _metadata")
+    df.repartition(5).write.parquet(str(tmp_path / "t"))
+    for frame in (df, spark.read.parquet(str(tmp_path / "t")), df.limit(0), df.union(df)):
+        named, row = rows.named(frame, F.col("id"))
+        assert named.select(row).distinct().count() == frame.count() and set(frame.columns) < set(named.columns)
+        again, _ = rows.named(frame, F.col("id"))
+        if frame.sparkSession.read and "Relation" in frame._jdf.queryExecution().analyzed().toString()[:9]:
+            assert named.select(row).exceptAll(again.select(row)).count() == 0
+
+
 # ---- 1
 
 
@@ -267,6 +290,47 @@ def test_quality(spark):
         assert quality.resample(docs, labels, k=k).where("selected").count() == min(k, docs.count())
 
 
+def test_quality_equals_a_plain_sampler(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    sampler = quality.Sampler(docs, labels, "doc_id", "text", None, quality.SEED)
+    grams, texts = quality.Grams(), {r.doc_id: r.text for r in docs.collect()}
+    bad = {r.doc_id for r in labels.collect() if r.quality != 1 or r.toxic}  # a toxic document is a bad one
+    target = {r.doc_id for r in labels.collect()} - bad
+    count = lambda ids: sum((np.bincount(grams.of(texts[i]), minlength=quality.BUCKETS) for i in ids), np.zeros(quality.BUCKETS))
+    raw, good = count(texts), count(i for i in target if not quality.held_back(i))
+    p_raw = (raw + 1) / (raw + 1).sum()
+    pseudo = quality.SMOOTHING * quality.BUCKETS
+    ratios = np.log((good + pseudo * p_raw) / (good.sum() + pseudo)) - np.log(p_raw)
+    assert np.allclose(ratios, sampler.ratios)
+    mean = lambda i: ratios[grams.of(texts[i])].sum() / (len(grams.of(texts[i])) + quality.FEW)
+    out = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    for i, r in out.items():
+        assert r.log_weight == pytest.approx(sampler.slope * mean(i) + sampler.intercept, abs=1e-9)
+    k = sum(r.log_weight >= -np.log(quality.LOST_COST) for r in out.values())
+    top = sorted(out.values(), key=lambda r: -r.gumbel_key)[:k]
+    assert {r.doc_id for r in top} == {i for i, r in out.items() if r.selected}
+    assert {r.doc_id for r in top} != {r.doc_id for r in sorted(out.values(), key=lambda r: -r.log_weight)[:k]}  # the noise decides between
+    other = {r.doc_id for r in quality.resample(docs, labels, seed=5).where("selected").collect()}
+    assert other != {r.doc_id for r in top} and len(other) == k
+
+
+def test_quality_grams(spark):
+    grams = quality.Grams()
+    a, b = grams.of("one two"), grams.of("two one")
+    assert len(a) == 2 + 1 + 4 and len(set(a[:2]) & set(b[:2])) == 2 and a[2] != b[2]
+    assert grams.of("x x")[1] == grams.of("yy yy")[1] == grams.of("z, z")[2]  # a repeated word is a mark
+    assert not len(grams.of(None)) and not len(grams.of(" \n\t"))
+
+
+def test_quality_log_odds():
+    rng = np.random.default_rng(3)
+    means = rng.normal(0, 0.2, 20_000)
+    good = (rng.random(20_000) < 1 / (1 + np.exp(-(0.7 + 4 * means)))).astype(float)
+    assert quality.log_odds(means, good) == pytest.approx((0.7, 4), abs=0.25)
+    a, b = quality.log_odds(np.array([0.0, 0.1, 0.9, 1.0]), np.array([0.0, 0, 1, 1]))  # parted sharply, yet finite
+    assert 0 < b < 1000 and a < 0
+
+
 def test_quality_parts_good_from_bad(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.resample(docs, labels).join(labels, "doc_id").where("toxic = 0").groupBy("quality").agg(F.avg(F.col("selected").cast("int")).alias("share")).collect()
@@ -281,7 +345,7 @@ def test_quality_awkward(spark):
     assert quality.keep_selected(docs, labels).columns == docs.columns
     assert quality.resample(docs, labels.limit(0)).where("selected").count() == docs.count()
     assert quality.resample(none(spark), labels).count() == 0
-    assert quality.keep_selected(docs, labels, k=0).where("doc_id is not null").count() == 0
+    assert quality.keep_selected(docs, labels, k=0).count() == 0
 
 
 def test_kth_largest_is_exact(spark):
@@ -487,7 +551,7 @@ def repeats():
     return texts + [x[: rng.randint(300, 2500)] + text(5) + x[900:] for x in [base] * 12]
 
 
-@pytest.mark.parametrize("group, block", [(suffix_dedup.GROUP, suffix_dedup.BLOCK), (3, 1000)])
+@pytest.mark.parametrize("group, block", [(suffix_dedup.GROUP, suffix_dedup.BLOCK), (3, 1000), (1, 5000)])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group, block):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     texts = repeats()
@@ -499,6 +563,24 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group, block):
         assert (hashlib.sha256(r.kept).hexdigest() if r.kept is not None else r.text_sha256) == digest
 
 
+def test_suffix_dedup_query_equals_brute_force(spark):
+    where = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op8_suffix_dedup"](spark, where).collect()}
+    docs = spark.read.parquet(f"{where}/documents.parquet").collect()
+    for r, want in zip(docs, suffix_dedup.brute_force([r.text for r in docs]), strict=True):
+        x = got[r.doc_id]
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want and x.n_kept == x.n_bytes - x.n_removed
+
+
+def test_suffix_dedup_of_runs_with_one_hash(spark, monkeypatch):
+    find = suffix_dedup.Anchors.find
+    monkeypatch.setattr(suffix_dedup.Anchors, "find", lambda *a: (find(*a)[0] % 5, *find(*a)[1:]))  # contents decide
+    texts = repeats()[:30]
+    with_ids = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(with_ids, group=4).collect()}
+    assert got == {i: w[1] for i, w in enumerate(suffix_dedup.brute_force(texts))}
+
+
 def test_suffix_dedup_awkward(spark):
     docs = awkward(spark)
     got = suffix_dedup.cut_repeats(docs).collect()
@@ -532,13 +614,26 @@ def test_decontamination_equals_brute_force(spark):
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
     items += [(900, "only four words here"), (901, ""), (902, None), (903, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontaminate.QUERY_BYTES, 2000):
-        got = {r.doc_id: r for r in decontaminate.judged(decontaminate.find_matches(docs, bench, query_bytes=limit)).collect()}
-        for r in docs.collect():
-            n, hit, found = decontaminate.brute_force(r.text, items)
-            x = got[r.doc_id]
-            assert (x.n_words, x.n_hit, x.items, x.contaminated) == (n, hit, found, hit > 0 and 20 * hit >= n)
-            assert sum(x.lengths) == hit
+    got = {r.doc_id: r for r in decontaminate.judged(decontaminate.find_matches(docs, bench)).collect()}
+    for r in docs.collect():
+        n, hit, found = decontaminate.brute_force(r.text, items)
+        x = got[r.doc_id]
+        assert (x.n_words, x.n_hit, x.items, x.contaminated) == (n, hit, found, hit > 0 and 20 * hit >= n)
+        assert sum(x.lengths) == hit
+
+
+def test_decontamination_of_short_and_repeated_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200)
+    rng = random.Random(14)
+    some = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, some(rng.choice([1, 2, 3, 5, 13, 14, 20]))) for i in range(12)]
+    rows = [(i % 40, some(rng.randint(0, 60))) for i in range(80)] + [(None, "a a a b"), (None, "c c c b")]  # ids repeat
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window in (4, 13):
+        got = decontaminate.find_matches(docs, bench, window).collect()
+        shown = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, sum(r.lengths), r.items) for r in got)
+        plain = [(i, *decontaminate.brute_force(t, items, window)) for i, t in rows]
+        assert shown == sorted((-1 if i is None else i, n, hit, hit, found) for i, n, hit, found in plain)
 
 
 def test_proximity(spark):
