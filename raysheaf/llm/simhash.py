@@ -2,13 +2,12 @@
 
 Method: fingerprints of 64 bits link at ``DISTANCE`` = 4 or fewer differing bits. Cut into 3 segments, one of them differs by
 at most one bit (4 // 3 = 1), so its variants with one bit wildcarded meet. Each fingerprint is filed under its 64 variants (a
-wildcard position and the rest of that segment), equal keys are joined, and each pair is verified. A pair that meets under
-several keys counts once: under its first segment with at most one differing bit, at that bit, or at the segment's first bit
-if none differs.
+wildcard position and the rest of that segment), equal keys meet, and each pair that meets is verified.
 
-Copies are merged first: the index holds each distinct fingerprint once, so a group of copies of any size is one entry. The
-join is an equality join on uniformly spread keys that AQE splits where a key is hot; links feed a distributed component
-search. Nothing is collected on the driver.
+Copies are merged first: the index holds each distinct fingerprint once, so a group of copies of any size is one entry. Of the
+verified pairs of a key a spanning forest leaves the task, so a dense group makes as many links as it has members and not their
+square, and connects the same. A key with more than ``HOT`` fingerprints is dealt out in blocks, each pair of which is compared
+in a task of its own. Links feed a distributed component search. Nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from .rows import named, without
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 SEED = 42
+HOT = 20_000  # rows of a variant that are compared in one task, at most
+HELD = 1 << 18  # rows that a task compares at once, about
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -75,25 +76,83 @@ def variant_keys(column: str = "fp", first: int = 0) -> list[Column]:
     return keys
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (fp) at ``distance`` or fewer differing bits, each once."""
+def dealt(index: DataFrame, node: str, hot: int) -> DataFrame:
+    """``index`` (key, ``node``, ...) with the rows of a key with more than ``hot`` dealt out in blocks, a key for each two blocks."""
+    heavy = materialise(index.groupBy("key").count().where(F.col("count") > hot), "hot-variants")
+    if heavy.isEmpty():
+        return index
+    blocks = F.ceil(F.col("count") / (hot // 2)).cast("long")
+    split = index.join(heavy, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    split = split.select("*", F.explode(pairs).alias("pair")).withColumn("key", F.xxhash64("key", "pair.i", "pair.j"))
+    return index.join(heavy, "key", "left_anti").unionByName(split.select(index.columns))
+
+
+def forest(key: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Positions (i, j) of pairs with one key at ``distance`` or fewer differing bits: a spanning forest of all such pairs.
+
+    Keys are sorted. Every row is compared with those that follow it under its key, all rows at once; a pair that is connected
+    already makes no edge, so a group of n makes n - 1 edges at most.
+    """
+    parent = np.arange(len(key))
+    edges = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
+    i, step = np.arange(len(key)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        j = i + step
+        close = (parent[i] != parent[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= distance)
+        for x, y in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            one, two = root(x), root(y)
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+                edges.append((x, y))
+        if close.any():
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+    return edges
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints (fp) at ``distance`` or fewer differing bits that connect all that such pairs do.
+
+    Fingerprints that share a variant meet in one task and are compared there; a spanning forest of the close ones leaves it.
+    """
     if distance // len(SEGMENTS) > 1:
         raise ValueError("with three segments a distance of up to 5 is complete")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            held = part if held is None else np.concatenate([held, part])
+            if len(held) >= HELD and held[0, 0] != held[-1, 0]:
+                last = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last key may go on
+                yield compared(held[:last])
+                held = held[last:]
+        if held is not None and len(held):
+            yield compared(held)
+
+    def compared(rows: np.ndarray) -> pa.RecordBatch:
+        pairs = np.array(forest(rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), distance), dtype=np.int64).reshape(-1, 2)
+        ends = np.sort(rows[pairs, 1], axis=1)
+        ends = np.unique(ends, axis=0) if len(ends) else ends
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
     index = nodes.select(F.explode(F.array(*variant_keys())).alias("key"), "fp")
-    left = index.select("key", F.col("fp").alias("a"))
-    right = index.select("key", F.col("fp").alias("b"))
-    differ = "(a ^ b)"
-    where = "bigint(-1)"
-    for begin, bits in reversed(SEGMENTS):
-        part = f"({differ} & {((1 << bits) - 1) << begin if begin + bits < 64 else -(1 << begin)}L)"
-        # the position of the only differing bit, by counting the bits below it; the segment's first bit if none differs
-        first = f"if({part} = 0L, {begin}, bit_count({part} - 1L))"
-        where = f"if(bit_count({part}) <= 1, bigint({first}), {where})"
-    joined = left.join(right, "key").where(F.expr(f"a < b and bit_count({differ}) <= {distance} and shiftright(key, 32) = {where}"))
-    return joined.select("a", "b")
-
-
-def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    met = dealt(index, "fp", hot).repartition("key").sortWithinPartitions("key")
+    return met.select("key", "fp").mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row: doc_id, fp, component_id (the smallest id reachable over links, its own included).
 
     Null, empty and blank texts share the fingerprint 0 and link like any other. Rows without an id take part and get their
@@ -101,7 +160,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_
     """
     marked = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes, distance))
+    found = components(links(nodes, distance, hot))
     linked = found.join(nodes, found["node"] == nodes["fp"]).select("node", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(linked.join(least, "component").select(F.col("node").alias("fp"), "component_id"), "classes")

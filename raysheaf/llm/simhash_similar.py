@@ -31,12 +31,11 @@ from pyspark.sql import types as T
 from ..session import materialise, send
 from .components import components
 from .rows import named, without
-from .simhash import SEGMENTS, variant_keys
+from .simhash import HOT, SEGMENTS, dealt, variant_keys
 
 BITS = 256
 NAMES = ("fp", "fp2", "f0", "f1", "f2", "f3")
 SLACK = 14  # bits beyond the expected distance of the threshold: two and a half standard deviations
-HOT = 20_000
 HELD = 200_000  # links that a task holds before it passes them on
 SAMPLE_DOCS = 10_000  # documents whose shingles are counted for the order: those with the smallest hashes of their ids
 COMMON = 1 << 17  # shingles that the order puts last
@@ -265,20 +264,7 @@ def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFr
     index = nodes.select(F.explode(F.array(*variant_keys("fp"), *variant_keys("fp2", 64))).alias("key"), *nodes.columns).select(
         "key", F.shiftright("key", 32).bitwiseAND(63).alias("at"), "node", F.when(half, F.col("fp2")).otherwise(F.col("fp")).alias("words"), "f0", "f1", "f2", "f3"
     )
-    dealt = _dealt(index, hot)
-    return _linked(dealt.repartition("key").sortWithinPartitions("key"), distance_of(similarity))
-
-
-def _dealt(index: DataFrame, hot: int) -> DataFrame:
-    """``index`` (key, node, ...) with the rows of a key with more than ``hot`` dealt out in blocks, a key for each two blocks."""
-    heavy = materialise(index.groupBy("key").count().where(F.col("count") > hot), "hot-variants")
-    if heavy.isEmpty():
-        return index
-    blocks = F.ceil(F.col("count") / (hot // 2)).cast("long")
-    dealt = index.join(heavy, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = dealt.select("*", F.explode(pairs).alias("pair")).withColumn("key", F.xxhash64("key", "pair.i", "pair.j"))
-    return index.join(heavy, "key", "left_anti").unionByName(dealt.select(index.columns))
+    return _linked(dealt(index, "node", hot).repartition("key").sortWithinPartitions("key"), distance_of(similarity))
 
 
 def _apart(rows: DataFrame, similarity: float) -> DataFrame:
@@ -336,7 +322,7 @@ def links_apart(nodes: DataFrame, groups: DataFrame, similarity: float, hot: int
     lacks is one of its own) whose sets may have that similarity. No pair that has it is missing."""
     rows = nodes.join(groups, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("at", "key"))
     index = rows.select("key", "size", (F.col("size") - F.col("at")).alias("left"), "component", "node")
-    return _apart(_dealt(index, hot).repartition("key").sortWithinPartitions("key", "size"), similarity)
+    return _apart(dealt(index, "node", hot).repartition("key").sortWithinPartitions("key", "size"), similarity)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

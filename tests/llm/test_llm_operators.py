@@ -383,8 +383,29 @@ def test_simhash_links_equal_brute_force(spark):
             nodes.append(fp)
     nodes = sorted({n - (1 << 64) if n >= 1 << 63 else n for n in nodes})
     want = {(a, b) for a, b in itertools.combinations(nodes, 2) if bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
-    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(n,) for n in nodes], "fp long")).collect()]
-    assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
+    for hot in (simhash.HOT, 4):
+        got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(n,) for n in nodes], "fp long"), hot=hot).collect()}
+        assert got <= want
+        reach = lambda pairs: brute_groups(nodes, lambda x, y: tuple(sorted((x, y))) in pairs)
+        assert reach(got) == reach(want)
+
+
+def test_dense_fingerprints_make_few_links(spark):
+    near = [0] + [1 << i for i in range(62)] + [1 << i | 1 << j for i in range(62) for j in range(i)]  # all within 4 bits of each other
+    found = simhash.links(spark.createDataFrame([(n,) for n in near], "fp long")).distinct()
+    assert found.count() <= 64 * len(near) < len(near) ** 2 // 8
+    assert set(r.component for r in components.components(found).collect()) == {0}
+
+
+def test_forest_is_linear_and_whole():
+    rng = np.random.default_rng(21)
+    fp = rng.integers(0, 1 << 12, 300, dtype=np.int64).view(np.uint64)
+    key = np.sort(rng.integers(0, 9, 300))
+    edges = simhash.forest(key, fp, 2)
+    close = lambda i, j: key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= 2
+    assert all(close(i, j) for i, j in edges)
+    want = brute_groups(list(range(300)), close)
+    assert len(edges) == 300 - len(set(want)) and brute_groups(list(range(300)), lambda i, j: (i, j) in edges or (j, i) in edges) == want
 
 
 def test_near_groups(spark):
