@@ -1,10 +1,14 @@
 """Chat formatting into budgeted windows, DataFrame functions only.
 
-Method: the prefix sum of turn tokens puts each turn into a window: a turn that starts at token ``t`` of its conversation
-belongs to window ``floor(t / stride)``, so windows are turn-aligned and need no sequential scan. The prefix sum is taken in
-two levels (inside blocks of turn numbers, then over block totals), so that a conversation with a third of all turns is
-spread over many tasks. Every window repeats the system turn and those turns of the window before it that start at most
-``history`` tokens before its first turn; repeated turns are masked, so each assistant text is a training target once.
+Method: the prefix sum of turn tokens puts each turn into a window without a sequential scan. The turns after the system turn
+are cut into strides of equal length in tokens; turns that lie in one stride make a window, a turn that reaches over the end of its
+stride makes one by itself. So windows are turn-aligned and own at most a stride, or one turn. Every window repeats the system
+turn and, in what the budget leaves, up to ``history`` tokens of whole turns from the end of the window before; repeated turns
+are masked, so each assistant text is a training target once. The stride is what the budget leaves beside history and the
+conversation's system turn, so no window exceeds the budget but one whose only turn of its own does so with the system turn.
+
+The prefix sum is taken in two levels (inside blocks of turn numbers, then over block totals), so that a conversation with a
+third of all turns is spread over many tasks.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts ``&`` and ``<`` are written ``&amp;`` and ``&lt;``; no
 control string can then occur in them, and reading back restores every character.
@@ -12,12 +16,14 @@ control string can then occur in them, and reading back restores every character
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-STRIDE = 512  # tokens from which on a turn starts the next window
+BUDGET = 512  # tokens of a window, at most
 HISTORY = 128  # tokens of the window before that are repeated, at most
 BLOCK = 64  # turn numbers in a block of the two-level prefix sum
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -33,61 +39,76 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
-def _placed(conv: DataFrame, stride: int, block: int) -> DataFrame:
-    """Turns with pos (1 for the first), start (tokens before it) and window."""
+def word_tokens(text: Column) -> Column:
+    """Words, an estimate of a text's tokens that needs no tokenizer."""
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def _placed(conv: DataFrame, budget: int, history: int, block: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    """Turns with pos (1 for the first), start (tokens before it), head (whether it is the system turn), system (tokens of that of
+    its conversation) and window (null for the system turn)."""
     turns = conv.select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    turns = turns.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + OVERHEAD)
+    turns = turns.withColumn("tokens", tokens(F.col("text")) + OVERHEAD)
     turns = turns.withColumn("block", F.floor(F.col("turn") / block))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumns({"in_pos": F.row_number().over(inside), "in_start": F.coalesce(F.sum("tokens").over(before), F.lit(0))})
-    totals = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    blocks = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.struct("turn", "role", (-F.col("tokens")).alias("less")))  # of system rows that share the first turn the longest
+    totals = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), first.alias("first"))
+    order = Window.partitionBy("conv_id").orderBy("block")
+    blocks = order.rowsBetween(Window.unboundedPreceding, -1)
+    head = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))
     totals = totals.select(
         F.col("conv_id").alias("b_conv"),
         F.col("block").alias("b_block"),
         F.coalesce(F.sum("tokens").over(blocks), F.lit(0)).alias("b_start"),
         F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("b_pos"),
+        F.when(head["role"] == "system", -head["less"]).otherwise(0).alias("system"),
     )
     same = placed["conv_id"].eqNullSafe(totals["b_conv"]) & placed["block"].eqNullSafe(totals["b_block"])
-    placed = placed.join(totals, same)
-    start = F.col("b_start") + F.col("in_start")
-    return placed.select(
-        "conv_id", "role", "text", "tokens", (F.col("b_pos") + F.col("in_pos")).alias("pos"), start.alias("start"), F.floor(start / stride).alias("window")
-    )
-
-
-def chat_windows(conv: DataFrame, stride: int = STRIDE, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
+    placed = placed.join(totals, same).withColumns({"pos": F.col("b_pos") + F.col("in_pos"), "start": F.col("b_start") + F.col("in_start")})
+    stride = F.greatest(budget - history - F.col("system"), F.lit(1))
+    body = F.greatest(F.col("start") - F.col("system"), F.lit(0))
+    own, last = F.floor(body / stride), F.floor((body + F.col("tokens") - 1) / stride)
+    placed = placed.withColumn("head", (F.col("pos") == 1) & (F.col("role") == "system"))
+    window = F.when(~F.col("head"), 2 * own + F.when(own == last, 0).otherwise(1))
+    return placed.select("conv_id", "role", "text", "tokens", "pos", "start", "head", "system", window.alias("window"))
+
+
+def chat_windows(
+    conv: DataFrame, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK, tokens: Callable[[Column], Column] = word_tokens
+) -> DataFrame:
     """One row per window: conv_id, window, formatted, loss_spans (begin, length in code points), n_repeated, n_turns, n_tokens.
 
-    A window holds the turns that start in its ``stride`` tokens, so at most ``stride`` tokens and its last turn, besides the
-    repeated ones (``history <= stride``); no turn is cut. Turns are ordered by turn, role, text. Null role or text counts
-    as empty; a null conv_id is a conversation of its own, null turns come first. Rows that repeat a turn are turns of their
-    own. The system turn is the first turn, if its role is ``system``. Columns other than the four are ignored.
+    A window has at most ``budget`` tokens, repeated turns among them, unless it owns one turn only and that turn with the system
+    turn is longer; no turn is cut. ``tokens`` counts those of a text, to which ``OVERHEAD`` is added for a turn's marks. Turns
+    are ordered by turn, role, text. Null role or text counts as empty; a null conv_id is a conversation of its own, null turns
+    come first. Rows that repeat a turn are turns of their own. The system turn is the first turn, if its role is ``system``.
+    Columns other than the four are ignored.
     """
-    if history > stride:
-        raise ValueError("history must not exceed stride")
-    placed = materialise(_placed(conv, stride, block), "turns")  # read three times below, twice without the texts
-    first = placed.groupBy("conv_id", "window").agg(F.min("start").alias("w_start"))
+    if history >= budget:
+        raise ValueError("history must be less than the budget")
+    placed = materialise(_placed(conv, budget, history, block, tokens), "turns")  # read three times below, twice without the texts
+    own = placed.where("not head").groupBy("conv_id", "window", "system").agg(F.min("start").alias("w_start"), F.sum("tokens").alias("own"))
     order = Window.partitionBy("conv_id").orderBy("window")
-    first = first.withColumns({"next": F.lead("window").over(order), "next_start": F.lead("w_start").over(order), "nth": F.row_number().over(order)})
-    head = placed.where("pos = 1 and role = 'system'").select(F.col("conv_id").alias("s_conv"), "role", "text", "tokens", "pos")
-    later = first.where("nth > 1").select("conv_id", "window")
-    repeated_head = later.join(head, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select(
-        "conv_id", "window", F.lit(True).alias("repeated"), "pos", "role", "text", "tokens"
+    room = F.least(F.lit(history), budget - F.col("system") - F.lead("own").over(order))
+    first = own.withColumns({"next": F.lead("window").over(order), "next_start": F.lead("w_start").over(order), "room": room, "nth": F.row_number().over(order)})
+    head = placed.where("head").select(F.col("conv_id").alias("s_conv"), "role", "text", "tokens", "pos")
+    heads = head.join(first.select("conv_id", "window", "nth"), F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").select(
+        F.col("s_conv").alias("conv_id"), F.coalesce("window", F.lit(0)).alias("window"), F.coalesce(F.col("nth") > 1, F.lit(False)).alias("repeated"), "pos", "role", "text", "tokens"
     )
-    follow = first.where("next is not null").select(F.col("conv_id").alias("n_conv"), F.col("window").alias("n_window"), "next", "next_start")
-    joined = placed.join(follow, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("window") == F.col("n_window")), "left")
-    is_history = F.col("next").isNotNull() & (F.col("next_start") - F.col("start") <= history) & ~((F.col("pos") == 1) & (F.col("role") == "system"))
-    own = F.struct("window", F.lit(False).alias("repeated"))
+    follow = first.where("next is not null").select(F.col("conv_id").alias("n_conv"), F.col("window").alias("n_window"), "next", "next_start", "room")
+    joined = placed.where("not head").join(follow, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("window") == F.col("n_window")), "left")
+    is_history = F.col("next").isNotNull() & (F.col("next_start") - F.col("start") <= F.col("room"))
+    once = F.struct("window", F.lit(False).alias("repeated"))
     again = F.struct(F.col("next").alias("window"), F.lit(True).alias("repeated"))
-    rows = joined.withColumn("to", F.explode(F.when(is_history, F.array(own, again)).otherwise(F.array(own))))
-    rows = rows.select("conv_id", "to.window", "to.repeated", "pos", "role", "text", "tokens").unionByName(repeated_head)
+    rows = joined.withColumn("to", F.explode(F.when(is_history, F.array(once, again)).otherwise(F.array(once))))
+    rows = rows.select("conv_id", "to.window", "to.repeated", "pos", "role", "text", "tokens").unionByName(heads)
     packed = rows.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("pos", "repeated", "role", "text"))).alias("turns"),
         F.sum(F.col("repeated").cast("int")).cast("int").alias("n_repeated"),
@@ -193,17 +214,20 @@ WITH t AS (
            + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS chars
   FROM t
 ), s AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, pos = 1 AND role = 'system' AS head,
+         coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         max(CASE WHEN pos = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS system
   FROM n
-), w AS (SELECT *, start // {STRIDE} AS k FROM s),
-f AS (SELECT conv_id, k, min(start) AS w_start FROM w GROUP BY conv_id, k),
-g AS (SELECT *, lead(w_start) OVER (PARTITION BY conv_id ORDER BY k) AS next_start,
-             count(*) OVER (PARTITION BY conv_id) AS n_windows FROM f),
+), a AS (SELECT *, greatest({BUDGET} - {HISTORY} - system, 1) AS stride, start - system AS body FROM s),
+w AS (SELECT *, CASE WHEN NOT head THEN 2 * (body // stride) + CASE WHEN body // stride = (body + tokens - 1) // stride THEN 0 ELSE 1 END END AS k FROM a),
+f AS (SELECT conv_id, k, min(start) AS w_start, sum(tokens) AS own FROM w WHERE NOT head GROUP BY conv_id, k),
+g AS (SELECT *, lead(w_start) OVER (PARTITION BY conv_id ORDER BY k) AS next_start, lead(own) OVER (PARTITION BY conv_id ORDER BY k) AS next_own FROM f),
+m AS (SELECT conv_id, count(*) AS n_windows FROM f GROUP BY conv_id),
 c AS (
-  SELECT w.*, g.n_windows,
-         CASE WHEN pos = 1 AND role = 'system' THEN n_windows
-              WHEN g.next_start - w.start <= {HISTORY} THEN 2 ELSE 1 END AS times
-  FROM w JOIN g USING (conv_id, k)
+  SELECT w.*, coalesce(n_windows, 1) AS n_windows,
+         CASE WHEN head THEN coalesce(n_windows, 1)
+              WHEN next_start - start <= least({HISTORY}, {BUDGET} - system - next_own) THEN 2 ELSE 1 END AS times
+  FROM w LEFT JOIN g USING (conv_id, k) LEFT JOIN m USING (conv_id)
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -130,7 +131,7 @@ def conversations(spark):
 
 def test_chat_format(spark):
     rows, df = conversations(spark)
-    got = {r.conv_id: r for r in chat_format.chat_digests(chat_format.chat_windows(df, stride=40, history=20, block=4)).collect()}
+    got = {r.conv_id: r for r in chat_format.chat_digests(chat_format.chat_windows(df, budget=90, history=20, block=4)).collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
     for c in {r[0] for r in rows}:
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
@@ -143,7 +144,7 @@ def test_chat_format(spark):
 
 def test_chat_windows_are_budgeted(spark):
     rows, df = conversations(spark)
-    windows = chat_format.chat_windows(df, stride=40, history=20, block=4).collect()
+    windows = chat_format.chat_windows(df, budget=90, history=20, block=4).collect()
     by = {}
     for w in sorted(windows, key=lambda w: w.window):
         by.setdefault(w.conv_id, []).append(w)
@@ -152,6 +153,10 @@ def test_chat_windows_are_budgeted(spark):
         for i, w in enumerate(ws):
             parts = w.formatted.split(chat_format.TURN)[1:]
             assert len(parts) == w.n_repeated + w.n_turns and w.n_turns >= 1
+            size = lambda p: 4 + len([x for x in re.split("[\t-\r ]+", p.split(chat_format.TEXT)[1].removesuffix(chat_format.END)) if x])
+            assert w.n_tokens == sum(map(size, parts))
+            alone = [p for p in parts if not p.startswith("system")]
+            assert w.n_tokens <= 90 or len(alone) == 1  # one turn and the system turn may be longer
             if system and i:
                 assert parts[0].startswith("system" + chat_format.TEXT)
             if i:  # repeated turns are the end of the window before, besides the system turn
@@ -162,8 +167,16 @@ def test_chat_windows_are_budgeted(spark):
             fresh = [p for p in parts[w.n_repeated :] if p.startswith("assistant")]
             assert masked == "".join(p.split(chat_format.TEXT)[1].removesuffix(chat_format.END) for p in fresh)
     with pytest.raises(ValueError):
-        chat_format.chat_windows(df, stride=5, history=6)
+        chat_format.chat_windows(df, budget=5, history=5)
     assert chat_format.chat_digests(chat_format.chat_windows(df.limit(0))).count() == 0
+    chars = chat_format.chat_windows(df, budget=4000, tokens=lambda text: F.char_length(text)).collect()
+    assert any(w.n_tokens > 2000 for w in chars) and all(w.n_tokens <= 4000 or w.n_turns <= 2 for w in chars)
+
+
+def test_chat_windows_fill_the_budget(spark):
+    windows = chat_format.chat_windows(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).cache()
+    assert windows.where(f"n_tokens > {chat_format.BUDGET} and n_turns > 2").count() == 0
+    assert windows.where("n_repeated > 1").count() > 0
 
 
 def test_native_operators_have_no_python(spark):
