@@ -1,35 +1,38 @@
 """WARC archives of pages, and an index of their captures by external merge.
 
-Writing: a record is the text of its header and payload, and files are written by Spark's text writer with the blank lines that
-end a WARC record as the line separator, so any file system and Spark's commit protocol serve. Whole files are gzipped.
+Writing: a record is the text of its header and payload. Each task writes files of about ``FILE_BYTES``, every record a gzip
+member of its own, so an offset of the index can be sought and read alone. What tasks have written counts once their rows are in
+the manifest, a table that Spark commits; files of tasks that were lost or run twice aren't in it and aren't read.
 
-Reading: each file is unpacked as a stream and cut by Content-Length; payload digests are computed from what was read.
+Reading: a file is read as a stream and cut by Content-Length; payload digests are computed from what was read.
 
 Index: the captures of one archive, sorted, make a run. Runs are dealt out by ranges of (URL key, timestamp, page id), so a URL
 with any number of captures is spread over ranges, and each range merges its pieces of the runs with a loser tree. Runs beyond
-``MEMORY_ROWS`` rows of a range are merged first into longer ones that wait on the task's own disk until the last merge.
+``MEMORY_ROWS`` rows of a range are merged first into longer ones that wait in the shared folder until the last merge.
+
+Archives and waiting runs are written and read by the tasks with pyarrow's file systems (local, s3, gs, abfs, hdfs).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import pickle
 import re
-import tempfile
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
 
 BREAK = "\r\n\r\n"
-FILE_RECORDS = 16_384
+FILE_BYTES = 256 << 20  # of an archive, compressed; a record that begins below it is written whole
 RANGE_ROWS = 200_000  # rows of a range of the index, about
 MEMORY_ROWS = 500_000  # rows that a merging task holds at once
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: RFC 4648
@@ -76,7 +79,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     seen = seen.where("n > 1").select(F.col("sha256").alias("d256"), F.col("sha1").alias("d1"), F.col("bytes").alias("d_bytes"), "first")
     seen = materialise(seen, "payloads")  # so that the join reads both sides from a shuffle and AQE can split a hot payload
     marked = sized.join(seen, (F.col("sha256") == F.col("d256")) & (F.col("sha1") == F.col("d1")) & (F.col("bytes") == F.col("d_bytes")), "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     uri = F.regexp_replace("url", "[\\r\\n]+", " ")
     stamp = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
@@ -94,37 +97,90 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     return marked.select("page_id", F.concat(F.concat_ws("\r\n", *lines), F.lit(BREAK), F.when(again, "").otherwise(F.col("html"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, file_records: int = FILE_RECORDS) -> str:
-    """Write ``records`` to gzipped WARC files below ``path`` and return it."""
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path on it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> str:
+    """Write ``records`` to gzipped WARC files below ``path``, and the table ``manifest`` of them; returns ``path``."""
+    spark = pages.sparkSession
     rows = records(pages, least).select("record")
-    rows.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+
+    def run(batches):
+        store, folder = _store(path)
+        out, name, n, size = None, None, 0, 0
+
+        def entry():
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    name, n, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
+                for part in (zipped.compress(record.as_py().encode()), zipped.compress(BREAK.encode()), zipped.flush()):
+                    out.write(part)
+                    size += len(part)
+                n += 1
+                if size >= file_bytes:
+                    out.close()
+                    out = None
+                    yield entry()
+        if out is not None:
+            out.close()
+            yield entry()
+
+    rows.mapInArrow(run, "file string, records long, bytes long").write.parquet(f"{path}/manifest")
     return path
 
 
 class _Unpacked:
-    """The bytes of a gzip file, unpacked as they are asked for; plain bytes are passed on."""
+    """The bytes of a gzip file, unpacked as they are asked for; plain bytes are passed on.
+
+    ``read(n)`` gives the file's next bytes. ``starts`` has, by place in the unpacked bytes, where in the file members begin.
+    """
 
-    def __init__(self, content: bytes, step: int = 1 << 20):
-        self.content, self.step, self.at = memoryview(content), step, 0
-        self.plain = content[:2] != b"\x1f\x8b"
+    def __init__(self, read: Callable[[int], bytes], step: int = 1 << 20):
+        self.read, self.step = read, step
+        self.plain: bool | None = None
         self.unzip = zlib.decompressobj(31)
         self.buffer, self.offset = bytearray(), 0
+        self.at, self.done, self.starts = 0, 0, {0: 0}  # bytes read of the file, bytes unpacked
 
     def _more(self) -> bool:
-        if self.at >= len(self.content):
+        part = self.read(self.step)
+        if not part:
             return False
-        part = self.content[self.at : self.at + self.step]
         self.at += len(part)
+        if self.plain is None:
+            self.plain = part[:1] != b"\x1f"
         if self.plain:
             self.buffer += part
+            self.done += len(part)
             return True
         while part:
-            self.buffer += self.unzip.decompress(part)
+            out = self.unzip.decompress(part)
+            self.buffer += out
+            self.done += len(out)
             part = self.unzip.unused_data
-            if part:  # the next member of the file
+            if self.unzip.eof:  # the next member of the file
+                self.starts[self.done] = self.at - len(part)
                 self.unzip = zlib.decompressobj(31)
         return True
 
+    def place(self) -> int | None:
+        """Where in the file what comes next begins; None within a member."""
+        if self.plain:
+            return self.offset
+        found = self.starts.get(self.offset)
+        self.starts = {k: v for k, v in self.starts.items() if k >= self.offset}
+        return found
+
     def until(self, mark: bytes) -> bytes | None:
         """Bytes before the mark, which is dropped; None at the end of the file."""
         look = 0
@@ -145,21 +201,28 @@ class _Unpacked:
         return out
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(header fields in lower case, block, offset, length) of each record; offsets count unpacked bytes."""
-    stream = _Unpacked(content)
+def parse(read: Callable[[int], bytes]) -> Iterator[tuple[dict[str, str], bytes, int | None, int | None]]:
+    """(header fields in lower case, block, offset, length) of each record of a file that ``read`` reads on in.
+
+    Offset and length count the file's bytes, of the record's gzip member; they are None for records that share a member.
+    """
+    stream = _Unpacked(read)
     while True:
-        begin = stream.offset
         head = stream.until(BREAK.encode())
         if head is None:
             return
+        begin = stream.offset - len(head) - len(BREAK)
+        where = begin if stream.plain else stream.starts.get(begin)
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record at {begin}: {first[:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         block = stream.take(int(fields["content-length"]))
         stream.take(len(BREAK))
-        yield fields, block, begin, stream.offset - begin
+        while not stream.plain and stream.offset == stream.done and stream.offset not in stream.starts and stream._more():
+            pass  # until the member's end is seen
+        end = stream.place()
+        yield fields, block, *((where, end - where) if where is not None and end is not None else (None, None))
 
 
 def _page(uri: str) -> int | None:
@@ -180,7 +243,7 @@ def _entry(fields: dict[str, str], block: bytes, file: str, offset: int, length:
 
 def _order(entry: tuple) -> tuple:
     """Rank of an index entry: URL key, timestamp, page, then where it stands."""
-    return entry[1].encode(), entry[2], entry[0] is not None, entry[0] or 0, entry[7], entry[8]
+    return entry[1].encode(), entry[2], entry[0] is not None, entry[0] or 0, entry[7], entry[8] or 0
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -193,15 +256,16 @@ def read_runs(spark, path: str) -> DataFrame:
     """The captures in the archives below ``path``: each file's index entries, in order of the index."""
 
     def run(batches):
+        store, folder = _store(path)
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = file.rsplit("/", 1)[-1]
-                rows = sorted((_entry(f, b, name, at, n) for f, b, at, n in parse(content.as_py())), key=_order)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as file:
+                    rows = sorted((_entry(f, b, name, at, n) for f, b, at, n in parse(file.read)), key=_order)
                 for i in range(0, len(rows), 10_000):
                     yield _table(rows[i : i + 10_000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+    files = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest").select("file")
+    return files.repartition(4 * spark.sparkContext.defaultParallelism, "file").mapInArrow(run, INDEX)
 
 
 class LoserTree:
@@ -242,8 +306,8 @@ class LoserTree:
             self._replay(best)
 
 
-def _stored(path: str) -> Iterator[tuple]:
-    with open(path, "rb") as stored:
+def _stored(store: fs.FileSystem, path: str) -> Iterator[tuple]:
+    with store.open_input_stream(path, compression=None, buffer_size=1 << 16) as stored:
         while True:
             try:
                 yield from pickle.load(stored)
@@ -251,44 +315,48 @@ def _stored(path: str) -> Iterator[tuple]:
                 return
 
 
-def merge_runs(entries: Iterator[tuple], memory_rows: int = MEMORY_ROWS) -> Iterator[tuple]:
+def merge_runs(entries: Iterator[tuple], shared: str, memory_rows: int = MEMORY_ROWS) -> Iterator[tuple]:
     """All entries in order of the index. They come as ascending stretches, the pieces of the runs, which are merged; pieces of
-    ``memory_rows`` rows in all are merged to a file in the task's temporary folder, and the files in the end."""
-    with tempfile.TemporaryDirectory(prefix="runs-") as folder:
-        pieces: list[list[tuple]] = []
-        files: list[str] = []
-        held, last = 0, None
-
-        def store() -> None:
-            files.append(os.path.join(folder, str(len(files))))
-            with open(files[-1], "wb") as out:
-                some = []
-                for entry in LoserTree([iter(p) for p in pieces]):
-                    some.append(entry)
-                    if len(some) == 1000:
-                        pickle.dump(some, out)
-                        some = []
-                pickle.dump(some, out)
-
-        for entry in entries:
-            rank = _order(entry)
-            if last is None or rank < last:
-                pieces.append([])
-            pieces[-1].append(entry)
-            last, held = rank, held + 1
-            if held >= memory_rows:
-                store()
-                pieces, held, last = [], 0, None
-        yield from LoserTree([_stored(f) for f in files] + [iter(p) for p in pieces])
+    ``memory_rows`` rows in all are merged to a file in a folder of the task's own in the ``shared`` one, and the files in the end."""
+    store, folder = _store(f"{shared}/{uuid.uuid4().hex}")
+    pieces: list[list[tuple]] = []
+    files: list[str] = []
+    held, last = 0, None
+
+    def put_away() -> None:
+        store.create_dir(folder, recursive=True)
+        files.append(f"{folder}/{len(files)}")
+        with store.open_output_stream(files[-1], compression=None, buffer_size=1 << 16) as out:
+            some = []
+            for entry in LoserTree([iter(p) for p in pieces]):
+                some.append(entry)
+                if len(some) == 1000:
+                    pickle.dump(some, out)
+                    some = []
+            pickle.dump(some, out)
+
+    for entry in entries:
+        rank = _order(entry)
+        if last is None or rank < last:
+            pieces.append([])
+        pieces[-1].append(entry)
+        last, held = rank, held + 1
+        if held >= memory_rows:
+            put_away()
+            pieces, held, last = [], 0, None
+    yield from LoserTree([_stored(store, f) for f in files] + [iter(p) for p in pieces])
+    if files:
+        store.delete_dir(folder)
 
 
 def merge_index(runs: DataFrame, n_rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs, ordered by URL key, timestamp and page over the whole result."""
+    shared = scratch_path(runs.sparkSession, "runs")
 
     def run(batches):
         rows = (entry for batch in batches for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         some = []
-        for entry in merge_runs(rows):
+        for entry in merge_runs(rows, shared):
             some.append(entry)
             if len(some) == 10_000:
                 yield _table(some)
@@ -303,11 +371,13 @@ def merge_index(runs: DataFrame, n_rows: int, range_rows: int = RANGE_ROWS) -> D
 def capture_histories(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     """Write the archives of ``pages`` to ``path``, read them back, and return their index in global order.
 
-    An empty table gives an empty index. Columns other than page_id, url and html are ignored.
+    An empty table gives an empty index. Rows that repeat a page are captures of their own; a null page_id gives way to any other
+    and stays null. Columns other than page_id, url and html are ignored.
     """
     spark = pages.sparkSession
     write_archives(pages, path, least)
-    return merge_index(read_runs(spark, path), pages.count())
+    n_rows = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest").agg(F.sum("records")).first()[0] or 0
+    return merge_index(materialise(read_runs(spark, path), "captures"), n_rows)
 
 
 def op4_warc(spark, sf_dir):
