@@ -1,16 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Method: the training words become a table of postings, (term, row, ascending word positions), over the terms of the benchmark
+Method: the training words become a positional index of segments of documents, written once: a segment has its terms, each with
+its ascending positions, and a directory (term, segment, number of positions) comes with it. Terms are those of the benchmark
 (postings of other terms can match nothing; a bitmap of fixed size tells them, so what a task holds doesn't grow with the
-benchmark). The table is written once. The test phrases are the distinct runs of ``window`` words of the items, a table too. Of
-each phrase the terms are ranked by how often the corpus has them:
+benchmark). The test phrases are the distinct runs of ``window`` words of the items, a table too. Of each phrase the terms are
+ranked by how often the corpus has them. An equality join of the rarest term with the directory tells the segments that a phrase
+can be in, and there the positions are intersected: those of the rarest term, less its offset, are the candidate starts, the
+offset-adjusted ones of the other terms are looked up from the second rarest on, and a start that all lists have is an exact
+match. With ``slop`` a list also has the starts up to that many words from its own (proximity match).
 
-1. the postings of its rarest term, less the term's offset, are the candidate starts; that is an equality join on the term;
-2. those of the second rarest, joined on row and term, are intersected with them, which leaves little by chance;
-3. those of all others are intersected with what is left. A start that is in all lists is an exact match.
-
-With ``slop`` a list also has the starts up to that many words from its own (proximity match). Phrases and postings are only
-ever joined; neither is sent to the driver or to all tasks by this code.
+Phrases and segments only meet by key, and a task holds one segment and some phrases at a time.
 """
 
 from __future__ import annotations
@@ -20,15 +19,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialise, send
+from ..session import materialise, send
 from .rows import named, without
 
 WINDOW = 13  # words of a test phrase
-SEGMENT_BYTES = 8 << 20  # text whose postings are made at once
+SEGMENT_BYTES = 1 << 20  # text of a segment of the index; a longer document makes one by itself
+STARTS = 1 << 20  # candidate starts that are looked up at once, about
 FILTER_BITS = 20  # the bitmap of the benchmark's terms has 2^FILTER_BITS bits
 SHARE = 20  # a document is contaminated if 1 / SHARE of its words are hit
 #: ASCII digits, a-z and all bytes of other scripts make words; A-Z are lower-cased first.
@@ -80,39 +80,45 @@ def term_bits(items: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def postings(rows: DataFrame, row: str, text_col: str, bits: np.ndarray) -> DataFrame:
-    """(term, row, positions) of every term whose bit is set, and for each row a null term with its number of words."""
+def segments(rows: DataFrame, row: str, text_col: str, bits: np.ndarray, gap: int) -> DataFrame:
+    """The index: segment (a name), rows, n_words (of each), terms, sizes (positions of each term), places (32-bit positions, term
+    by term). Positions go on over the rows of a segment, ``gap`` parts these."""
     sent = send(rows.sparkSession, bits)
     schema = T.StructType(
         [
-            T.StructField("term", T.StringType()),
-            T.StructField("row", rows.schema[row].dataType),
-            T.StructField("positions", T.ArrayType(T.IntegerType(), False)),
+            T.StructField("segment", T.StringType()),
+            T.StructField("rows", T.ArrayType(rows.schema[row].dataType, False)),
+            T.StructField("n_words", T.ArrayType(T.IntegerType(), False)),
+            T.StructField("terms", T.ArrayType(T.StringType(), False)),
+            T.StructField("sizes", T.ArrayType(T.IntegerType(), False)),
+            T.StructField("places", T.BinaryType()),
         ]
     )
 
-    def segment(keys: pa.Array, texts: list[str | None], bits: np.ndarray):
+    def segment(keys: pa.Array, texts: list[str | None], bits: np.ndarray) -> pa.RecordBatch:
         terms = _Terms(bits)
-        known, counts = [], []
+        known = []
         for text in texts:
             words = words_of(text)
-            counts.append(len(words))
-            known.append(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))
-        counts = np.array(counts, dtype=np.int64)
+            known.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
+        n_words = np.fromiter(map(len, known), np.int64, len(known))
         term = np.concatenate(known)
-        text = np.repeat(np.arange(len(texts)), counts)
-        place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.arange(len(term)) + np.repeat(np.arange(len(texts)) * gap, n_words)
         here = np.flatnonzero(term >= 0)
-        both = text[here] * max(1, len(terms.words)) + term[here]
-        order = np.argsort(both, kind="stable")  # positions stay ascending
-        both, place = both[order], place[here][order].astype(np.int32)
-        cuts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
-        heads = both[cuts]
-        names = pa.array(terms.words, pa.string()).take(pa.array(heads % max(1, len(terms.words))))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, [len(both)]]).astype(np.int32)), pa.array(place))
-        yield pa.RecordBatch.from_arrays([names, keys.take(pa.array(heads // max(1, len(terms.words)))), lists], names=schema.names)
-        sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), pa.array(counts.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.string()), keys, sizes], names=schema.names)
+        term, place = term[here], place[here]
+        order = np.argsort(term, kind="stable")  # positions stay ascending
+        sizes = np.bincount(term, minlength=len(terms.words)).astype(np.int32)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        first = keys[0].as_py()
+        columns = [
+            pa.array([f"{first['file']}:{first['at']}"]),
+            one(keys),
+            one(pa.array(n_words.astype(np.int32))),
+            one(pa.array(terms.words, pa.string())),
+            one(pa.array(sizes)),
+            pa.array([place[order].astype(np.int32).tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches):
         bits = sent()
@@ -122,10 +128,10 @@ def postings(rows: DataFrame, row: str, text_col: str, bits: np.ndarray) -> Data
                 texts.append(text.as_py())
                 size += len(texts[-1] or "")
                 if size >= SEGMENT_BYTES:
-                    yield from segment(batch.column(0).slice(begin, len(texts)), texts, bits)
+                    yield segment(batch.column(0).slice(begin, len(texts)), texts, bits)
                     begin, texts, size = i + 1, [], 0
             if texts:
-                yield from segment(batch.column(0).slice(begin, len(texts)), texts, bits)
+                yield segment(batch.column(0).slice(begin, len(texts)), texts, bits)
 
     return rows.select(row, text_col).mapInArrow(run, schema)
 
@@ -142,48 +148,99 @@ def phrases(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return runs.join(ranked, "phrase").where(F.size("ranked") == F.col("n"))
 
 
-def _starts(positions: Column | str, offset: Column, slop: int) -> Column:
-    """Where a phrase may start whose term stands at these positions."""
-    if not slop:
-        return F.transform(positions, lambda p: p - offset)
-    return F.flatten(F.transform(positions, lambda p: F.sequence(p - offset - slop, p - offset + slop)))
-
-
-def phrase_hits(index: DataFrame, tests: DataFrame, slop: int = 0) -> DataFrame:
-    """(phrase, row, start): all matches of ``tests`` (phrase, n, ranked) in the postings ``index``."""
+class Segment:
+    """One segment of the index, for lookups."""
+
+    def __init__(self, rows: pa.Array, n_words: np.ndarray, terms: list[str], sizes: np.ndarray, places: np.ndarray, gap: int):
+        self.rows, self.places = rows, places.astype(np.int64)
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.sizes, self.ends = sizes.astype(np.int64), np.cumsum(sizes, dtype=np.int64)
+        self.begin = np.cumsum(n_words + gap) - (n_words + gap)
+        self.size = int((n_words + gap).sum()) + 1
+        self.keys = np.repeat(np.arange(len(terms)), sizes) * self.size + self.places  # ascending
+
+    def lookup(self, tests: list[tuple[str, list[int]]], slop: int) -> tuple[np.ndarray, ...]:
+        """(test, row, start) of the matches of tests: phrases and the offsets of their words, rarest word first."""
+        numbers = []
+        for phrase, offsets in tests:
+            words = phrase.split(" ")
+            numbers.append([self.number.get(words[o], -1) for o in offsets])
+        possible = [i for i, found in enumerate(numbers) if min(found) >= 0]
+        parts, at = [], 0
+        while at < len(possible):
+            some, n = [], 0
+            while at < len(possible) and (not some or n < STARTS):
+                some.append(possible[at])
+                n += int(self.sizes[numbers[possible[at]][0]])
+                at += 1
+            parts.append(self._intersected(some, numbers, tests, slop))
+        return tuple(np.concatenate(x) if parts else np.zeros(0, dtype=np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+
+    def _intersected(self, some: list[int], numbers: list[list[int]], tests: list, slop: int) -> tuple[np.ndarray, ...]:
+        longest = max(len(numbers[i]) for i in some)
+        number = np.array([numbers[i] + [-1] * (longest - len(numbers[i])) for i in some], dtype=np.int64)
+        offset = np.array([list(tests[i][1]) + [0] * (longest - len(numbers[i])) for i in some], dtype=np.int64)
+        rarest = number[:, 0]
+        test = np.repeat(np.arange(len(some)), self.sizes[rarest])
+        within = np.arange(len(test)) - np.repeat(np.cumsum(self.sizes[rarest]) - self.sizes[rarest], self.sizes[rarest])
+        anchor = self.places[(self.ends[rarest] - self.sizes[rarest])[test] + within]
+        start = anchor - offset[test, 0]
+        for r in range(1, longest):
+            term = number[test, r]
+            low = np.maximum(start + offset[test, r] - slop, 0)
+            high = np.minimum(start + offset[test, r] + slop, self.size - 1)
+            at = np.searchsorted(self.keys, term * self.size + low)
+            there = self.keys[np.minimum(at, len(self.keys) - 1)]
+            keep = (term < 0) | ((low <= high) & (at < len(self.keys)) & (there <= term * self.size + high))
+            test, anchor, start = test[keep], anchor[keep], start[keep]
+        row = np.searchsorted(self.begin, anchor, side="right") - 1
+        start = start - self.begin[row]
+        fine = (start >= 0) | (slop > 0)
+        return np.array(some, dtype=np.int64)[test[fine]], row[fine], np.maximum(start[fine], 0)
+
+
+def phrase_hits(index: DataFrame, tests: DataFrame, gap: int, slop: int = 0) -> DataFrame:
+    """(phrase, row, start): all matches of ``tests`` (phrase, n, ranked) in the ``index`` of segments."""
+    directory = index.select("segment", F.explode("terms").alias("term"))
+    rarest = tests.select(F.col("ranked")[0]["term"].alias("term"), "phrase", F.col("ranked.offset").alias("offsets"))
+    wanted = directory.join(materialise(rarest.select("term").distinct(), "rarest"), "term", "left_semi")
+    asked = wanted.join(rarest, "term").select("segment", F.lit(1).alias("kind"), "phrase", "offsets")
+    held = ("rows", "n_words", "terms", "sizes", "places")
+    met = asked.unionByName(index.select("segment", F.lit(0).alias("kind"), *held), allowMissingColumns=True)
+    met = met.repartition("segment").sortWithinPartitions("segment", "kind").select("kind", "phrase", "offsets", *held)
+    row = index.schema["rows"].dataType.elementType
+    schema = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("row", row), T.StructField("start", T.IntegerType())])
 
-    def nth(i: int) -> list[Column]:
-        return [F.col("ranked")[i]["term"].alias("term"), F.col("ranked")[i]["offset"].alias("offset")]
-
-    rarest = tests.select("phrase", *nth(0))
-    first = index.join(rarest, "term").select("phrase", "row", F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda s: s >= 0).alias("starts"))
-    first = materialise(first.where("size(starts) > 0"), "first")
-    narrowed = F.array_intersect("starts", _starts("positions", F.col("offset"), slop)).alias("starts")
-    second = tests.where("n > 1").select("phrase", *nth(1))
-    both = first.join(second, "phrase").join(index, ["row", "term"]).select("phrase", "row", narrowed).where("size(starts) > 0")
-    both = materialise(both, "both")
-    rest = tests.where("n > 2").select("phrase", "n", F.explode(F.slice("ranked", F.lit(3), F.col("n") - 2)).alias("r")).select("phrase", "n", "r.term", "r.offset")
-    wanted = materialise(both.select("row").distinct(), "wanted")
-    near = index.join(wanted, "row", "left_semi")
-    inside = both.join(rest, "phrase").join(near, ["row", "term"]).select("phrase", "n", "row", F.explode(narrowed).alias("start"))
-    found = inside.groupBy("phrase", "n", "row", "start").count().where("count = n - 2").select("phrase", "row", "start")
-    one = first.join(tests.where("n = 1"), "phrase").select("phrase", "row", F.explode("starts").alias("start"))
-    two = both.join(tests.where("n = 2"), "phrase").select("phrase", "row", F.explode("starts").alias("start"))
-    found = materialise(found.unionByName(one).unionByName(two), "found")
-    for table in (first, both, wanted):
-        discard(table)
-    return found
+    def run(batches):
+        here = None
+        for batch in batches:
+            kinds = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1], [True]])).tolist() if len(kinds) else []
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if not kinds[begin]:  # of segments that no phrase follows only the last may be asked
+                    rows, n_words, terms, sizes, places = (batch.column(i)[end - 1] for i in range(3, 8))
+                    lists = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (n_words, sizes))
+                    n_words, sizes = lists
+                    here = Segment(rows.values, n_words, terms.as_py(), sizes, np.frombuffer(places.as_py(), np.int32), gap)
+                    continue
+                phrases, offsets = batch.column(1).slice(begin, end - begin).to_pylist(), batch.column(2).slice(begin, end - begin).to_pylist()
+                test, row, start = here.lookup(list(zip(phrases, offsets, strict=True)), slop)
+                if len(test):
+                    columns = [pa.array(phrases, pa.string()).take(pa.array(test)), here.rows.take(pa.array(row)), pa.array(start.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return materialise(met.mapInArrow(run, schema).distinct(), "found")
 
 
 def _matches(rows: DataFrame, row: str, benchmark: DataFrame, window: int, slop: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """(row, n_words, n_hit, begins, lengths, items) of ``rows``, one for each."""
     items = materialise(item_words(benchmark, item_col, item_text_col), "items")
-    index = materialise(postings(rows, row, text_col, term_bits(items)), "postings")
-    known = index.where("term is not null")
-    counts = materialise(known.groupBy("term").agg(F.sum(F.size("positions")).alias("count")), "counts")
-    tests = materialise(phrases(items, counts, window), "tests")
-    hits = phrase_hits(known, tests, slop)
-    sizes = index.where("term is null").select("row", F.col("positions")[0].cast("long").alias("n_words"))
+    gap = window + slop
+    index = materialise(segments(rows, row, text_col, term_bits(items), gap), "index")
+    counts = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.sizes").alias("count"))
+    tests = materialise(phrases(items, materialise(counts, "counts"), window), "tests")
+    hits = phrase_hits(index, tests, gap, slop)
+    sizes = index.select(F.explode(F.arrays_zip("rows", "n_words")).alias("r")).select(F.col("r.rows").alias("row"), F.col("r.n_words").cast("long").alias("n_words"))
     # a phrase that is matched with slop may reach beyond its text
     spans = hits.join(tests.select("phrase", "n"), "phrase").join(sizes, "row").select("row", "start", F.least(F.col("start") + F.col("n"), "n_words").alias("end")).distinct()
     order = Window.partitionBy("row").orderBy("start", "end")
