@@ -99,6 +99,58 @@ def box_of(size=None, low=None, high=None) -> tuple[list[float], list[float]]:
     return [0.0] * len(sides), sides
 
 
+def box_inside(low: Sequence, high: Sequence, outer_low: Sequence, outer_high: Sequence) -> Column:
+    """Whether a box lies in another one, sides included; bounds are Columns or numbers."""
+    test = F.lit(True)
+    for a, b, c, d in zip(low, high, outer_low, outer_high, strict=True):
+        test = test & (col(a) >= col(c)) & (col(b) <= col(d))
+    return test
+
+
+def tripled_box(low: Sequence[float], high: Sequence[float]) -> tuple[list[float], list[float]]:
+    """The box of a periodic box and its images."""
+    sides = [b - a for a, b in zip(low, high, strict=True)]
+    return [a - s for a, s in zip(low, sides, strict=True)], [b + s for b, s in zip(high, sides, strict=True)]
+
+
+def sub_boxes(low: Sequence[float], high: Sequence[float]) -> list[tuple[list[float], list[float]]]:
+    """The 2^d parts that the centre divides a box into, by ``octant``."""
+    middle = [(a + b) / 2 for a, b in zip(low, high, strict=True)]
+    pick = lambda n: [(n >> i) & 1 for i in range(len(low))]
+    return [([m if bit else a for a, m, bit in zip(low, middle, pick(n), strict=True)], [b if bit else m for b, m, bit in zip(high, middle, pick(n), strict=True)]) for n in range(1 << len(low))]
+
+
+def cube(side: float, ndim: int = 3, centred: bool = False) -> tuple[list[float], list[float]]:
+    """A cube from the origin, or around it."""
+    low = -side / 2 if centred else 0.0
+    return [low] * ndim, [low + side] * ndim
+
+
+def box_around(centre: Sequence, radius) -> tuple[list[Column], list[Column]]:
+    """The box around a sphere."""
+    return [col(c) - col(radius) for c in centre], [col(c) + col(radius) for c in centre]
+
+
+def box_measures(low: Sequence, high: Sequence) -> dict[str, Column]:
+    """volume, longest (side), and side_<i> and centre_<i> of each axis; bounds are Columns or numbers."""
+    sides = [col(b) - col(a) for a, b in zip(low, high, strict=True)]
+    volume = sides[0]
+    for s in sides[1:]:
+        volume = volume * s
+    longest = F.greatest(*sides) if len(sides) > 1 else sides[0]
+    centres = [(col(a) + col(b)) / 2 for a, b in zip(low, high, strict=True)]
+    return {"volume": volume, "longest": longest} | {f"side_{i}": s for i, s in enumerate(sides)} | {f"centre_{i}": c for i, c in enumerate(centres)}
+
+
+def encompassing_simplex(low: Sequence[float], high: Sequence[float], margin: float = 0.5) -> np.ndarray:
+    """d + 1 points of a simplex that has the box inside: a corner below it and d far along the axes."""
+    a, b = np.asarray(low, dtype=float), np.asarray(high, dtype=float)
+    side = float((b - a).max()) or 1.0
+    corner = a - margin * side
+    reach = (len(a) + margin) * 2 * side
+    return np.concatenate([corner[None], corner + reach * np.eye(len(a))])
+
+
 def unit_coordinates(point: Sequence[Column], low: Sequence[float], side: float) -> list[Column]:
     """Into [1, 2]."""
     return [1.0 + (c - a) / side for c, a in zip(point, low, strict=True)]

@@ -93,6 +93,20 @@ def key_successor(key: int, bits: int = 3 * BITS_3D) -> int:
     return min(key + 1, (1 << bits) - 1)
 
 
+def key_range(low: tuple, high: tuple, box_low: tuple, side: float, padding: float = 1e-3) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The least and the greatest key (hi, lo) of a box's corners."""
+    start, width = [v - padding * side / 2 for v in box_low], side * (1 + padding)
+    ends = np.array([[(high if (n >> i) & 1 else low)[i] for i in range(3)] for n in range(8)], dtype=float)
+    hi, lo = hilbert3(*((ends[:, i] - start[i]) / width for i in range(3)))
+    keys = sorted(zip(hi.tolist(), lo.tolist(), strict=True))
+    return keys[0], keys[-1]
+
+
+def sorted_by_key(df: DataFrame, low: tuple, side: float, parts: int) -> DataFrame:
+    """``df`` with its key, dealt to ``parts`` ranges of it and sorted inside: neighbours in space are near each other."""
+    return with_key(df, low, side).repartitionByRange(parts, "hi", "lo").sortWithinPartitions("hi", "lo")
+
+
 def with_key(df: DataFrame, low: tuple, side: float, padding: float = 1e-3) -> DataFrame:
     """``df`` (x, y, z) with its key (hi, lo) in the box padded by a share of its side."""
     start, width = [v - padding * side / 2 for v in low], side * (1 + padding)

@@ -216,3 +216,8 @@ def fraction_change(t, x, density, rate, length, volume, dt):
     destroy_dx = nh * recombination(t) - heat * recombination_dt(t)
     jacobian = create_dx - (create + destroy) - x * (create_dx + destroy_dx)
     return dt * (create - x * (create + destroy)) / (1.0 - jacobian * dt)
+
+
+def positive(rate: Column) -> Column:
+    """A photon rate, with rounding below zero taken off."""
+    return F.greatest(rate, F.lit(0.0))

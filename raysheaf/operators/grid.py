@@ -90,6 +90,17 @@ def adjacency_of_edges(edges: DataFrame, ids: DataFrame, external: str = "extern
     return side("cell1", "cell2", -1.0).unionByName(side("cell2", "cell1", 1.0))
 
 
+def with_known_end(edges: DataFrame, ids: DataFrame, external: str = "external_id") -> DataFrame:
+    """The connections (id1, id2, ...) of which at least one end is known, each once; one scan of them."""
+    one, two = (ids.select(F.col(external).alias(c), F.lit(True).alias(f"has_{c}")).distinct() for c in ("id1", "id2"))
+    return edges.join(one, "id1", "left").join(two, "id2", "left").where("has_id1 or has_id2").drop("has_id1", "has_id2")
+
+
+def volume_of_faces(faces: DataFrame) -> DataFrame:
+    """(cell_id, volume, n_faces): a cell's pyramids added up, from the area and height (distance of the face) of each."""
+    return faces.groupBy("cell_id").agg(F.sum(F.col("area") * F.col("height") / 3).alias("volume"), F.count("*").alias("n_faces"))
+
+
 def non_periodic(faces: DataFrame) -> DataFrame:
     """Periodic faces as boundaries."""
     turned = F.col("kind") == "periodic"
@@ -118,6 +129,18 @@ def upwind_count(faces: DataFrame, dirs: DataFrame, levels: DataFrame | None = N
     return rows.groupBy("cell_id", "dir").agg(F.count("*").alias("n"))
 
 
+def remote_dependencies(faces: DataFrame, owners: DataFrame, levels: DataFrame | None = None, level: int = 0) -> DataFrame:
+    """(a, b) with a < b: parts that wait for each other's cells. ``owners``: cell_id, owner; with ``levels`` (cell_id, level) of
+    active cells on both sides only."""
+    cells = owners
+    if levels is not None:
+        cells = cells.join(levels.where(F.col("level") >= level), "cell_id", "left_semi")
+    one = cells.select("cell_id", F.col("owner").alias("o1"))
+    two = cells.select(F.col("cell_id").alias("neighbour_id"), F.col("owner").alias("o2"))
+    met = faces.where("kind <> 'boundary'").join(one, "cell_id").join(two, "neighbour_id").where("o1 <> o2")
+    return met.select(F.least("o1", "o2").alias("a"), F.greatest("o1", "o2").alias("b")).distinct()
+
+
 def asymmetric_pairs(faces: DataFrame) -> DataFrame:
     """Interior pairs (a, b) that lack (b, a), and such pairs reversed: empty for a sound grid."""
     pairs = faces.where("kind = 'interior'").select(F.col("cell_id").alias("a"), F.col("neighbour_id").alias("b")).distinct()

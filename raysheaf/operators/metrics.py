@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import HUBBLE, Cosmology
+from ..sources.scan import in_ranges
 
 
 def weighted(value, weight) -> Column:
@@ -83,16 +84,16 @@ def cyclic_pairs(df: DataFrame, group: str, order: str, value: str) -> DataFrame
     return df.withColumn("next", F.coalesce(F.lead(value).over(w), F.first(value).over(w)))
 
 
-def exclusive_prefix(df: DataFrame, order: str, value: str, block: int = 4096) -> DataFrame:
-    """The sum of the values before each row, in order of a unique non-negative integer. In two levels: within blocks of the
-    order, then over block totals, so that no task walks all rows."""
-    blocked = df.withColumn("__block", F.floor(F.col(order) / block))
-    totals = blocked.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = blocked.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, "__block")
-    return out.withColumn("prefix", F.col("__in") + F.col("__shift")).drop("__block", "__in", "__shift")
+def exclusive_prefix(df: DataFrame, order: str, value: str, rows: int = 1_000_000) -> DataFrame:
+    """The sum of the values before each row, in order of a unique key. In two levels: within ranges of about ``rows`` rows, then
+    over the ranges' totals, so that no task walks all rows, whatever the keys' values are."""
+    ranged = in_ranges(df, order, rows)
+    totals = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, "__part")
+    return out.withColumn("prefix", F.col("__in") + F.col("__shift")).drop("__part", "__in", "__shift")
 
 
 def attenuated_along(cells: DataFrame, ray: Sequence[str], order: str, tau: str) -> DataFrame:
@@ -160,3 +161,18 @@ def stellar_rates(stars: DataFrame, table: DataFrame, ages: Sequence[float], met
     aged = formed.withColumn("age", F.lit(cosmology.age(cosmology.a)) - age(F.col("formation_a"), cosmology))
     out = interpolated(table, aged, "age", "metallicity", ages, metallicities)
     return out.withColumn("rate", F.col("value") * F.col("mass") * escape_fraction).drop("value")
+
+
+class Registry:
+    """Metrics of a time series by name: functions from the cells to a number, evaluated in the order they were registered."""
+
+    def __init__(self):
+        self.metrics: dict[str, Callable[[DataFrame], float | None]] = {}
+
+    def register(self, name: str, metric: Callable[[DataFrame], float | None]) -> None:
+        if name in self.metrics:
+            raise ValueError(f"metric {name} is registered already")
+        self.metrics[name] = metric
+
+    def values(self, cells: DataFrame) -> dict[str, float | None]:
+        return {name: metric(cells) for name, metric in self.metrics.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +131,14 @@ def owner_of(key, cuts: Sequence[float]):
     return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= key))
 
 
+def owner_of_pair(hi, lo, cuts: Sequence[tuple[int, int]]):
+    """The same for keys of two columns, compared one after the other."""
+    if not cuts:
+        return F.lit(0)
+    pairs = F.array(*(F.struct(F.lit(a).cast("long").alias("hi"), F.lit(b).cast("long").alias("lo")) for a, b in cuts))
+    return F.size(F.filter(pairs, lambda c: (c["hi"] < hi) | ((c["hi"] == hi) & (c["lo"] <= lo))))
+
+
 def imbalance(df: DataFrame, owner: str) -> DataFrame:
     """max_load, min_load and (max - min) / max over the parts."""
     counts = df.groupBy(owner).agg(F.count("*").alias("n"))
@@ -143,6 +151,29 @@ def partition_boxes(df: DataFrame, owner: str, axes: Sequence[str] = AXES) -> Da
 
 
 
+def periodic_haloes(points: DataFrame, radius: float, sides: Sequence[float], id_col: str, axes: Sequence[str] = AXES, provider: Callable = radius_join) -> DataFrame:
+    """Pairs of a point and a periodic image, not the point itself, of another or the same one closer than ``radius``: l_*, r_*
+    (with its wraps r_w<axis>) and dist. ``provider`` finds pairs, as ``radius_join`` does."""
+    wrapped = G.images(points.select(id_col, *axes), sides, axes)
+    moved = F.lit(False)
+    for a in axes:
+        moved = moved | (F.col(f"w{a}") != 0)
+    return provider(points.select(id_col, *axes), wrapped.where(moved), radius, None, axes)
+
+
+def wrapped_image(points: DataFrame, radius: float, sides: Sequence[float], id_col: str, axes: Sequence[str] = AXES) -> DataFrame:
+    """(l_id, r_id, wraps, dist): the one periodic image of each other point within the radius; two of one point are an error."""
+    found = periodic_haloes(points, radius, sides, id_col, axes)
+    one = found.groupBy(f"l_{id_col}", f"r_{id_col}").agg(F.count("*").alias("n"), *(F.min(f"r_w{a}").alias(f"w{a}") for a in axes), F.min("dist").alias("dist"))
+    single = F.when(F.col("n") == 1, F.col("dist")).otherwise(F.raise_error(F.lit("two images of a point are within the radius")).cast("double"))
+    return one.withColumn("dist", single).drop("n")
+
+
+def relevant_haloes(haloes: DataFrame, faces: DataFrame, halo_id: str = "cell_id") -> DataFrame:
+    """The haloes that some local cell has a face with."""
+    return haloes.join(faces.select(F.col("neighbour_id").alias(halo_id)), halo_id, "left_semi")
+
+
 def sphere_owners(queries: DataFrame, boxes: DataFrame, radius, axes: Sequence[str] = AXES) -> DataFrame:
     """``queries`` once for each part whose box (as of ``partition_boxes``, a row a part) their search sphere touches."""
     gap = F.lit(0.0)

@@ -176,9 +176,11 @@ def rebin(values: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return values.join(F.broadcast(to), "dir").groupBy("cell_id", F.col("to").alias("dir")).agg(F.sum("value").alias("value"))
 
 
-def aligned(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(dir, to): for each old direction the new one with the largest cosine, the last of equals."""
+def aligned(old: DataFrame, new: DataFrame, digits: int | None = None) -> DataFrame:
+    """(dir, to): for each old direction the new one with the largest cosine, the last of equals; with ``digits`` cosines that
+    agree to so many count as equal."""
     o = old.select("dir", *(F.col(f"d{a}").alias(f"o{a}") for a in "xyz"))
     n = new.select(F.col("dir").alias("to"), *(F.col(f"d{a}").alias(f"n{a}") for a in "xyz"))
     cos = sum((F.col(f"o{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0))
+    cos = cos if digits is None else F.round(cos, digits)
     return o.crossJoin(F.broadcast(n)).groupBy("dir").agg(F.max_by("to", F.struct(cos, "to")).alias("to"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry as G
 from ..session import materialise
 
 #: Neighbours a cell has on average in three dimensions.
@@ -129,9 +130,10 @@ def faces_of(body: Polyhedron, generator: np.ndarray, positions: dict[int, np.nd
     return volume, out
 
 
-def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float], id_col: str = "particle_id", max_rounds: int = 40) -> DataFrame:
+def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float], id_col: str = "particle_id", max_rounds: int = 40, wanted: DataFrame | None = None) -> DataFrame:
     """(cell_id, x, y, z, volume, size, infinite, faces) of points (id >= 0, x, y, z) in a box; infinite: a side of the box
-    bounds the cell. Coincident points share a cell, each as if the other were not there."""
+    bounds the cell. Coincident points share a cell, each as if the other were not there. ``wanted`` (points too) restricts the
+    cells that are built."""
     rows = points.select(F.col(id_col).cast("long").alias("cell_id"), "x", "y", "z")
     n = rows.count()
     volume = math.prod(h - lo for lo, h in zip(low, high, strict=True))
@@ -142,7 +144,7 @@ def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float]
         + [T.StructField("infinite", T.BooleanType()), T.StructField("final", T.BooleanType()), T.StructField("faces", T.ArrayType(FACE))]
     )
     low, high, longest = list(low), list(high), max(h - lo for lo, h in zip(low, high, strict=True))
-    done, todo = [], rows
+    done, todo = [], rows if wanted is None else wanted.select(F.col(id_col).cast("long").alias("cell_id"), "x", "y", "z")
     names = ["bx", "by", "bz"]
     for _ in range(max_rounds):
         everything = width >= 2 * longest
@@ -184,8 +186,40 @@ def voronoi_cells(points: DataFrame, low: Sequence[float], high: Sequence[float]
     return out.withColumn("size", F.cbrt(F.col("volume") * (3 / (4 * math.pi))))
 
 
+def periodic_cells(points: DataFrame, low: Sequence[float], high: Sequence[float], id_col: str = "particle_id") -> DataFrame:
+    """``voronoi_cells`` of a periodic box: the images of all points are haloes, and a face to an image leads to its point. The
+    cells have a further column, faces_kind, with the kind of each face."""
+    sides = [b - a for a, b in zip(low, high, strict=True)]
+    images = G.images(points.select(F.col(id_col).alias("own"), "x", "y", "z"), sides)
+    number = (F.col("wx") + 1) * 9 + (F.col("wy") + 1) * 3 + F.col("wz") + 1
+    images = materialise(images.select((F.col("own") * 27 + number).alias(id_col), "x", "y", "z"), "images")
+    centre = images.where(F.col(id_col) % 27 == 13)
+    cells = voronoi_cells(images, *G.tripled_box(low, high), id_col, wanted=centre)
+    kinds = F.transform("faces", lambda f: F.when(f["neighbour_id"].isNull(), "boundary").when(f["neighbour_id"] % 27 == 13, "interior").otherwise("periodic"))
+    faces = F.transform("faces", lambda f: F.struct(F.floor(f["neighbour_id"] / 27).alias("neighbour_id"), *(f[c].alias(c) for c in ("area", "nx", "ny", "nz"))))
+    return cells.withColumns({"faces_kind": kinds, "faces": faces, "cell_id": F.floor(F.col("cell_id") / 27)})
+
+
+def planar_cells(points: DataFrame, low: Sequence[float], high: Sequence[float], id_col: str = "particle_id") -> DataFrame:
+    """(cell_id, x, y, area, size, infinite, faces) of points (id, x, y) in a rectangle: the cells of a flat slab, in which face
+    areas are edge lengths."""
+    n = points.count()
+    area = (high[0] - low[0]) * (high[1] - low[1])
+    depth = (area / max(1, n)) ** 0.5
+    flat = points.select(id_col, "x", "y", F.lit(depth / 2).alias("z"))
+    cells = voronoi_cells(flat, [*low, 0.0], [*high, depth], id_col)
+    sides = F.filter("faces", lambda f: F.abs(f["nz"]) < 0.5)
+    edges = F.transform(sides, lambda f: F.struct(f["neighbour_id"].alias("neighbour_id"), (f["area"] / depth).alias("area"), *(f[c].alias(c) for c in ("nx", "ny", "nz"))))
+    return cells.select(
+        "cell_id", "x", "y", (F.col("volume") / depth).alias("area"), F.sqrt(F.col("volume") / depth / math.pi).alias("size"), F.exists(edges, lambda f: f["neighbour_id"].isNull()).alias("infinite"), edges.alias("faces")
+    )
+
+
 def faces_table(cells: DataFrame) -> DataFrame:
     """FACES of Voronoi cells."""
+    if "faces_kind" in cells.columns:
+        f = cells.select("cell_id", F.explode(F.arrays_zip("faces", "faces_kind")).alias("z")).select("cell_id", "z.faces.*", F.col("z.faces_kind").alias("kind"))
+        return f.select("cell_id", "neighbour_id", "kind", "area", "nx", "ny", "nz")
     f = cells.select("cell_id", F.explode("faces").alias("f")).select("cell_id", "f.*")
     return f.select("cell_id", "neighbour_id", F.when(F.col("neighbour_id").isNull(), "boundary").otherwise("interior").alias("kind"), "area", "nx", "ny", "nz")
 

@@ -166,10 +166,7 @@ SELECT count(*) AS n, round(sum(area), 3) AS area FROM good WHERE id1 IN (SELECT
 def known_endpoint_semijoin(spark, d):
     edges = scan.decode_connections(_edges(spark, d))
     known = T.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("external_id"), F.col("p_partkey").alias("cell_id"))
-    one, two = (edges.join(known, edges[c] == known["external_id"], "left_semi") for c in ("id1", "id2"))
-    both = edges.join(known, edges["id1"] == known["external_id"], "left_semi").join(known.select(F.col("external_id").alias("e2")), F.col("id2") == F.col("e2"), "left_semi")
-    sums = [x.agg(F.count("*").alias("n"), F.sum("area").alias("area")).withColumn("sign", F.lit(s)) for x, s in ((one, 1), (two, 1), (both, -1))]
-    return sums[0].unionByName(sums[1]).unionByName(sums[2]).agg(F.sum(F.col("n") * F.col("sign")).alias("n"), r(F.sum(F.coalesce("area", F.lit(0.0)) * F.col("sign")), 3).alias("area"))
+    return grid.with_known_end(edges, known).agg(F.count("*").alias("n"), r(F.sum("area"), 3).alias("area"))
 
 
 @query(f"""WITH {_EDGES}, ids AS (SELECT p_partkey AS id, p_partkey + 1000000 AS cell FROM part WHERE p_partkey % 3 = 0),
@@ -184,13 +181,12 @@ def symmetrize_edges(spark, d):
     return faces.groupBy("cell_id", "kind").agg(F.count("*").alias("n"), F.count("neighbour_id").alias("known"), r(F.sum("area"), 3).alias("area"), r(F.sum("nx"), 6).alias("nx"))
 
 
-@query("""WITH pairs AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 50 <> l_suppkey % 50 AND l_orderkey % 7 = 0)
-SELECT a, b, 'reverse' AS missing FROM pairs WHERE (b, a) NOT IN (SELECT (a, b) FROM pairs)
-UNION ALL SELECT b, a, 'forward' FROM pairs WHERE (b, a) NOT IN (SELECT (a, b) FROM pairs)""")
+@query("""WITH pairs AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem),
+lone AS (SELECT a, b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.a = p.b AND q.b = p.a))
+SELECT a, b, 'reverse' AS missing FROM lone UNION ALL SELECT b, a, 'forward' FROM lone""")
 def dependency_symmetric_diff(spark, d):
-    line = T.table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 7 = 0")
-    faces = line.select((F.col("l_partkey") % 50).alias("cell_id"), (F.col("l_suppkey") % 50).alias("neighbour_id"), F.lit("interior").alias("kind"))
-    return grid.asymmetric_pairs(faces.where("cell_id <> neighbour_id"))
+    faces = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("cell_id"), F.col("l_suppkey").alias("neighbour_id"), F.lit("interior").alias("kind"))
+    return grid.asymmetric_pairs(faces)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -207,11 +203,11 @@ def sync_full_outer(spark, d):
     return metrics.synchronise(old, new, "doc_id", "v").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s_suppkey AS id, s_acctbal AS val FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)""")
+@query("""SELECT s_suppkey AS id, s_acctbal AS val FROM supplier
+UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def map_extend(spark, d):
     old = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("val"))
-    new = T.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("val"))
+    new = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("val"))
     return metrics.extend(old, new, "id")
 
 
@@ -349,9 +345,9 @@ def upwind_indegree(spark, d):
 SELECT vec_id, max(struct_pack(c := round(cos, 9), d := dir)).d AS dir FROM c GROUP BY 1""")
 def aligned_direction(spark, d):
     v = T.vectors(spark, d)
-    cos = (F.col("x") * F.col("dx") + F.col("y") * F.col("dy") + F.col("z") * F.col("dz")) / G.length([F.col(a) for a in "xyz"])
-    rows = v.crossJoin(F.broadcast(grid.directions(spark, _DIRS)))
-    return rows.groupBy("vec_id").agg(F.max(F.struct(r(cos).alias("c"), "dir")).alias("m")).select("vec_id", "m.dir")
+    unit = dict(zip(("dx", "dy", "dz"), G.normalised([F.col(a) for a in "xyz"]), strict=True))
+    old = v.select(F.col("vec_id").alias("dir"), *(c.alias(n) for n, c in unit.items()))
+    return sweep.aligned(old, grid.directions(spark, _DIRS), 9).select(F.col("dir").alias("vec_id"), F.col("to").alias("dir"))
 
 
 # ---- aggregates
@@ -413,12 +409,13 @@ def performance_stats(spark, d):
     return out.select("event_type", r(F.col("average")).alias("average"), r(F.col("total"), 4).alias("total"), "num_calls")
 
 
-@query(f"""WITH {C_SQL} SELECT iz, round(sum(0.001::DOUBLE * 6 * 0.5 / 3 / 6), 12) AS volume, count(DISTINCT ix) AS columns FROM cells GROUP BY 1""")
+@query(f"""WITH {C_SQL}, {_FACE_SQL}, v AS (SELECT cell_id, sum(area * 0.5 / 3) AS volume, count(*) AS n FROM faces GROUP BY 1)
+SELECT iz, round(sum(volume), 9) AS volume, sum(n)::BIGINT AS pyramids, count(DISTINCT ix) AS columns FROM v JOIN cells USING (cell_id) GROUP BY 1""")
 def distinct_and_volume(spark, d):
-    area, height = 0.01, 0.05
-    part = F.lit(0.001 * 6 * 0.5 / 3 / 6)
-    assert abs(area * height * 6 / 3 - 0.001) < 1e-12  # a cube of side 0.1 is six pyramids
-    return T.cells(spark, d).groupBy("iz").agg(r(F.sum(part), 12).alias("volume"), F.count_distinct("ix").alias("columns"))
+    cells, faces, _ = _grid(spark, d)
+    volumes = grid.volume_of_faces(faces.withColumn("height", F.lit(0.5)))
+    out = cells.join(volumes, "cell_id").groupBy("iz")
+    return out.agg(r(F.sum("volume")).alias("volume"), F.sum("n_faces").alias("pyramids"), F.count_distinct("ix").alias("columns"))
 
 
 # ---- windows
@@ -596,9 +593,8 @@ _AGE = f"2 / (3 * sqrt(0.6911::DOUBLE)) * ln(sqrt(0.6911::DOUBLE / 0.308983 * a
 
 @query(f"SELECT o_orderkey, round(1 / a - 1, 9) AS redshift, round({_AGE}, 9) AS age FROM (SELECT o_orderkey, 0.05 + o_totalprice / 600000 AS a FROM orders)")
 def cosmic_age(spark, d):
-    c = U.Cosmology()
     a = 0.05 + F.col("o_totalprice") / 600000
-    age = F.asinh(F.sqrt(c.omega_lambda / c.omega_0 * a * a * a)) * (2 / (3 * c.omega_lambda**0.5) / (U.HUBBLE * c.h) / 3.15576e16)
+    age = metrics.age(a, U.Cosmology()) / 3.15576e16
     return T.table(spark, d, "orders").select("o_orderkey", r(1 / a - 1).alias("redshift"), r(age).alias("age"))
 
 
@@ -680,3 +676,6 @@ def halo_fraction(spark, d):
 def ids_within_part(spark, d):
     w = Window.partitionBy(F.floor(F.col("x") * 4)).orderBy("x", "source_id")
     return T.stars(spark, d).select("source_id", (F.row_number().over(w) - 1).cast("long").alias("position"))
+
+
+from . import row_queries  # noqa: E402, F401  registers more queries

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units as U
 from ..schema import check_schema
+from ..session import materialise
 
 
 def resolve_paths(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
@@ -71,16 +72,22 @@ def chunk_bounds(spark: SparkSession, start: int, end: int, size: int) -> DataFr
     return rows.select("chunk", begin.alias("chunk_start"), F.least(begin + size, F.lit(end)).alias("chunk_end"))
 
 
-def with_row_index(df: DataFrame, key: str, block: int = 4096, name: str = "row_index") -> DataFrame:
-    """0-based position in order of a unique non-negative integer key. Blocks of keys are numbered by themselves and shifted by
-    the rows of the blocks before, so no task orders more than a block or the block totals."""
-    blocked = df.withColumn("__block", F.floor(F.col(key) / block))
-    totals = blocked.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy("__block").orderBy(key)
-    numbered = blocked.withColumn("__nth", F.row_number().over(inside) - 1).join(totals, "__block")
-    return numbered.withColumn(name, F.col("__nth") + F.col("__shift")).drop("__block", "__nth", "__shift")
+def in_ranges(df: DataFrame, order: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` dealt to ranges of the key that hold about ``rows`` rows each, with the range's number in ``__part``; written once, so
+    that what is derived from it sees the same ranges."""
+    parts = max(1, -(-df.count() // rows))
+    return materialise(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def with_row_index(df: DataFrame, key: str, rows: int = 1_000_000, name: str = "row_index") -> DataFrame:
+    """0-based position in order of a unique key. Ranges of about ``rows`` rows are numbered by themselves and shifted by the rows
+    of the ranges before, whatever the keys' values are, so no task orders more than a range; there are few ranges."""
+    ranged = in_ranges(df, key, rows)
+    totals = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    numbered = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1).join(totals, "__part")
+    return numbered.withColumn(name, F.col("__nth") + F.col("__shift")).drop("__part", "__nth", "__shift")
 
 
 def zip_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -88,6 +95,34 @@ def zip_by_index(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return with_row_index(left, left_key).join(with_row_index(right, right_key), "row_index")
 
 
+def spawned(tables: dict[str, DataFrame], key: str) -> tuple[DataFrame, int]:
+    """One table of columns that come as tables of their own (key and values), and its number of rows; tables of unequal length
+    or with other keys raise."""
+    counts = {name: t.count() for name, t in tables.items()}
+    if len(set(counts.values())) > 1:
+        raise ValueError(f"columns have unequal lengths: {counts}")
+    frames = list(tables.values())
+    out = frames[0]
+    for t in frames[1:]:
+        out = out.join(t, key)
+    out = materialise(out, "spawned")
+    n = out.count()
+    if frames and n != next(iter(counts.values())):
+        raise ValueError(f"columns have other keys: {n} rows of {next(iter(counts.values()))} match")
+    return out, n
+
+
+#: Names of the gas columns in snapshots of the other code.
+GAS = {"PartType0/Coordinates": "position", "PartType0/Density": "density", "PartType0/InternalEnergy": "internal_energy", "PartType0/ElectronAbundance": "electron_abundance", "PartType0/ParticleIDs": "particle_id", "PartType0/Masses": "mass"}
+
+
+def gas_columns(df: DataFrame, initial_fraction: float | None = None) -> DataFrame:
+    """Gas columns under the engine's names; the electron abundance is not read where an initial fraction is given."""
+    names = {k: v for k, v in GAS.items() if k in df.columns and not (initial_fraction is not None and v == "electron_abundance")}
+    out = df.select(*(F.col(f"`{k}`").alias(v) for k, v in names.items()))
+    return out if initial_fraction is None else out.withColumn("xhii", F.lit(float(initial_fraction)))
+
+
 def formed_stars(stars: DataFrame, column: str = "formation_a") -> DataFrame:
     """Stars only: wind particles carry a formation scale factor of 0 or less."""
     return stars.where(F.col(column) > 0)
