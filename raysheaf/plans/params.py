@@ -23,6 +23,7 @@ class Sweep:
     prevent_cooling: bool = True
     periodic: bool = False
     rotate_directions: bool = False
+    check_deadlock: bool = True
 
 
 @dataclass

@@ -122,3 +122,60 @@ def test_streams_equal_batches(spark, tmp_path):
     stream.run_available(stream.first_crossings(states, "cell_id", "t", "xhii"), keep("first"), str(tmp_path / "c2"))
     want = {r.cell_id: r.t for r in df.where("xhii > 0.5").groupBy("cell_id").agg(F.min("t").alias("t")).collect()}
     assert {k: int(t) for k, t, _ in got["first"]} == want
+
+
+RUN = """
+sweep: {directions: 6, max_timestep: 1 kyr, num_timestep_levels: 2, periodic: true, rotate_directions: true}
+output: {time_between_snapshots: 1 kyr, output_dir: %s, fields: [temperature, xhii]}
+simulation: {final_time: 2 kyr}
+postprocess: {sources: [{pos: [0.5 kpc, 0.5 kpc, 0.5 kpc], rate: 1e49 s^-1}], grid: %s, initial_fraction_ionized_hydrogen: 1e-5}
+box: {size: 1 kpc}
+visualization: {}
+"""
+
+
+@pytest.mark.parametrize("spec", ["{cartesian: [3, 3, 3]}", "construct"])
+def test_run_from_parameters(spark, tmp_path, spec):
+    import numpy as np
+    import yaml
+
+    from raysheaf.functions import units as U
+    from raysheaf.operators.snapshots import read_snapshot
+    from raysheaf.plans import run
+
+    kpc = 1e3 * U.PARSEC
+    jitter = np.random.default_rng(4).uniform(-0.05, 0.05, (27, 3)) * kpc
+    rows = [(i, *(float(((i // 3**a) % 3 + 0.5) / 3 * kpc + jitter[i][a]) for a in range(3)), 1.7e-24, 1e4) for i in range(27)]
+    particles = spark.createDataFrame(rows, "particle_id long, x double, y double, z double, density double, temperature double")
+    out = run.run(RUN % (tmp_path / "out", spec), particles, overrides=["sweep/num_timestep_levels:1"])
+    assert yaml.safe_load((tmp_path / "out" / "parameters.yml").read_text())["sweep"]["num_timestep_levels"] == 1
+    assert yaml.safe_load((tmp_path / "out" / "performance.yml").read_text())["cells"] == 27
+    last = read_snapshot(spark, out, key="cell_id").collect()
+    assert len(last) == 27 and max(r.xhii for r in last) > 1e-4  # the source ionizes
+    series = spark.read.parquet(f"{out}/time_series")
+    values = {(r.metric, r.step): r.val for r in series.collect()}
+    assert values["luminosity", 0] == pytest.approx(1e49) and values["cells_level_0", 2] == 27
+    assert values["xhii_mass_average", 2] > values["xhii_mass_average", 0]
+    with pytest.raises(ValueError, match="nothing uses"):
+        run.run((RUN % (tmp_path / "other", spec)) + "more: {}", particles)
+
+
+def test_turned_directions_keep_rates(spark):
+    from raysheaf.operators import grid
+    from raysheaf.plans.simulation import Simulation
+
+    cells = grid.cartesian_cells(spark, (3, 3, 3), 1e18).selectExpr("cell_id", "1e-22D density", "volume", "size", "1e4D temperature", "1e-3D xhii", "if(cell_id = 13, 1e48D, 0D) source")
+    faces = grid.cartesian_faces(grid.cartesian_cells(spark, (3, 3, 3), 1e18), (3, 3, 3), 1e18, True)
+    sim = Simulation(cells, faces, grid.directions(spark, 7), 1e9)
+    sim.run_round()
+    sums = lambda: sim.rates.selectExpr("sum(incoming) a", "sum(outgoing) b").first()
+    before, old = sums(), sim.directions.collect()
+    sim.turn_directions()
+    after = sums()
+    assert after.a == pytest.approx(before.a) and after.b == pytest.approx(before.b) and sim.rates.count() == 7 * 27 and sim.directions.collect() != old
+    calls = []
+    sim.add("after_round", "note", lambda s: calls.append(s.step))
+    sim.run_round()
+    assert calls == [2]
+    with pytest.raises(ValueError):
+        sim.add("after_round", "note", print)
