@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units as U
-from ..session import discard, materialise
+from ..session import discard, materialise, scratch_path
 from .grid import downwind
 
 GROUPED_FACES = 4_000_000  # faces of a grid that one task holds: about 0.5 GB
@@ -89,16 +89,16 @@ def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: f
     state = active.join(waiting, ["dir", "cell_id"], "left").join(given, ["dir", "cell_id"], "left").select(
         "dir", "cell_id", "tau", "own", (F.col("inflow") + F.coalesce("given", F.lit(0.0))).alias("incoming"), F.coalesce("waiting", F.lit(0)).alias("waiting")
     )
-    state, done, left = materialise(state, "wave"), [], active.count()
-    for _ in range(max_waves if left else 0):
+    state, left, path = materialise(state, "wave"), active.count(), scratch_path(cells.sparkSession, "swept")
+    for wave in range(max_waves if left else 0):
         ready = state.where("waiting = 0")
         total = F.col("incoming") + F.col("own")
         out = ready.select("dir", "cell_id", "incoming", F.when(total < threshold, 0.0).otherwise(total * F.exp(-F.col("tau"))).alias("outgoing"))
-        out = materialise(out, "swept")
+        out.write.parquet(f"{path}/wave={wave}")  # all waves are one table in the end
+        out = cells.sparkSession.read.schema(out.schema).parquet(f"{path}/wave={wave}")
         n = out.count()
         if not n:
             raise ValueError(f"{left} cells wait for each other: the grid has a cycle")
-        done.append(out)
         left -= n
         if not left:
             break
@@ -111,9 +111,10 @@ def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: f
         following = materialise(rest, "wave")
         discard(state)
         state = following
-    result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
-    for swept in done:
-        result = result.unionByName(swept)
+    if active.isEmpty():
+        result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
+    else:
+        result = cells.sparkSession.read.schema(STATE).parquet(path).select("dir", "cell_id", "incoming", "outgoing")
     if idle.isEmpty():
         return result
     rates = result.select("dir", "cell_id", "outgoing").unionByName(idle)

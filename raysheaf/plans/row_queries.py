@@ -392,6 +392,21 @@ def periodic_inflow(spark, d):
     return out.select("cell_id", r(F.col("inflow"), 6).alias("inflow"))
 
 
+_LINES = """
+SELECT a.cell_id, b.src / 6 * exp(-abs(a.before - b.before) + CASE WHEN sgn < 0 THEN a.tau - b.tau ELSE 0 END) AS part
+FROM l a JOIN l b ON a.axis = b.axis AND a.line = b.line, (VALUES (1), (-1)) s(sgn) WHERE (a.i - b.i) * sgn > 0"""
+
+
+@query(f"""WITH {C_SQL}, x AS (SELECT *, 0 AS axis, ix AS i, iy * 1000000 + iz AS line FROM cells UNION ALL SELECT *, 1, iy, ix * 1000000 + iz FROM cells UNION ALL SELECT *, 2, iz, ix * 1000000 + iy FROM cells),
+l AS (SELECT cell_id, src, tau, axis, i, line, coalesce(sum(tau) OVER (PARTITION BY axis, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+p AS ({_LINES}) SELECT c.cell_id, round(coalesce(sum(part), 0), 6) AS rate FROM cells c LEFT JOIN p USING (cell_id) GROUP BY 1""")
+def photon_rate_along_axes(spark, d):
+    cells, faces, _ = _grid(spark, d)
+    dirs = grid.directions(spark, [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)])
+    out = sweep.photon_rate(sweep.sweep(cells.select("cell_id", "tau", F.col("src").alias("source")), faces, dirs))
+    return out.select("cell_id", r(F.col("rate"), 6).alias("rate"))
+
+
 @query(f"""WITH {S_SQL}, v AS (SELECT source_id, CASE WHEN x > 0.5 THEN 0 WHEN y > 0.5 THEN 1 ELSE 2 END AS dir, rate FROM stars)
 SELECT source_id AS cell_id, CASE dir WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS dir, rate AS value FROM v""")
 def rotated_directions(spark, d):
@@ -503,6 +518,12 @@ def periodic_voronoi(spark, d):
     return cells.agg(F.count("*").alias("cells"), r(F.sum("volume"), 6).alias("volume"), F.sum(F.col("infinite").cast("int")).cast("int").alias("infinite")).withColumn("asymmetric", F.lit(grid.asymmetric_pairs(faces).count()))
 
 
+@query("SELECT count(*) AS cells, 1728.0::DOUBLE AS volume FROM embeddings")
+def voronoi_volume(spark, d):
+    points = T.vectors(spark, d).select(F.col("vec_id").alias("particle_id"), "x", "y", "z")
+    return V.voronoi_cells(points, (-6.0,) * 3, (6.0,) * 3).agg(F.count("*").alias("cells"), r(F.sum("volume"), 6).alias("volume"))
+
+
 @query("SELECT count(*) AS cells, 1.0::DOUBLE AS area, 4.0::DOUBLE AS border FROM supplier")
 def planar_voronoi(spark, d):
     points = T.stars(spark, d).select(F.col("source_id").alias("particle_id"), "x", "y")
