@@ -441,9 +441,9 @@ def repeated_spans(docs: DataFrame, row: str, group: int = GROUP) -> DataFrame:
     spot = F.xxhash64("key", "place")  # compared within a run or class only, where two have one hash by chance once in 2^64
     again = anchors.groupBy("run").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("run")
     again = materialise(again, "again")  # so that the join reads both sides from a shuffle, which AQE can split at a hot run
-    dups = anchors.join(again, "run", "left_semi").distinct()
+    dups = anchors.join(again, "run", "left_semi")
     firsts = long.groupBy("key").agg(F.min(row).alias(row))
-    wanted = dups.groupBy("key").agg(F.collect_list(F.struct("run", "place")).alias("places")).join(firsts, "key").drop("key")
+    wanted = dups.groupBy("key").agg(F.collect_set(F.struct("run", "place")).alias("places")).join(firsts, "key").drop("key")
     contexts = materialise(_contexts(long, wanted, row), "contexts")
     discard(anchors)
     discard(again)
