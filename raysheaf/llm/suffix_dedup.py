@@ -37,7 +37,7 @@ from .rows import named
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM  # bytes that an anchor may be into a string, at most
 BLOCK = 1 << 19  # bytes whose anchors are found at once
-GROUP = 1_000  # classes of a run that are sorted together, at most
+GROUP = 256  # classes of a run that are sorted together, at most
 WIDTHS = (26, 1)  # anchor offsets in a range when a run is split, and split again
 PAIRS = 12  # up to so many classes are compared in pairs, by their common prefixes
 SHALLOW = 12  # bytes that multikey quicksort looks at beyond the common run
