@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise
 
 
-def _stars(links: DataFrame, both: bool) -> DataFrame:
-    """One half round over links (a, b): large star (``both``) or small star."""
+def _stars(links: DataFrame, both: bool, written: list[DataFrame]) -> DataFrame:
+    """One half round over links (a, b): large star (``both``) or small star; what it writes is added to ``written``."""
     if both:
         sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).withColumnRenamed("a", "node")
     least = materialise(least, "least")  # so that the join reads both sides from a shuffle and AQE can split a hot node
+    written.append(least)
     joined = sides.join(least, F.col("a") == F.col("node"))
     if both:  # neighbours above the node go to the least
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -39,7 +40,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                 current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before = state
-        following = materialise(_stars(_stars(current, True), False), "links")
-        discard(current)
+        written = [current]
+        following = materialise(_stars(_stars(current, True, written), False, written), "links")
+        for table in written:
+            discard(table)
         current = following
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise, send
+from ..session import discard, materialise, release_shuffles, send
 from .components import components
 from .rows import named, without
 from .simhash import HOT, SEGMENTS, dealt, variant_keys
@@ -239,11 +239,13 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts (node, text; one a node) have that Jaccard similarity over their sets of shingles."""
+def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
+    and one row that has its text."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    ends = materialise(ends, "ends")
-    sets = materialise(_shingle_sets(texts.join(ends, "node", "left_semi"), shingle), "shingles")
+    wanted = materialise(ends.join(firsts, "node").select("node", F.col("row").alias("first")), "ends")
+    texts = docs.join(wanted, F.col("row") == F.col("first")).select("node", "text")
+    sets = materialise(_shingle_sets(texts, shingle), "shingles")
     both = edges.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
 
     def run(batches):
@@ -325,31 +327,45 @@ def links_apart(nodes: DataFrame, groups: DataFrame, similarity: float, hot: int
     return _apart(dealt(index, "node", hot).repartition("key").sortWithinPartitions("key", "size"), similarity)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per row: doc_id and component_id, the smallest id reachable over links (its own included).
-
-    Ids are unique integers. Null, empty and blank texts have the same signature and are one. Rows without an id share the result
-    of rows with the same text, and link to nothing else. Repeated rows give repeated results; of an id that is repeated with
-    another text either text may be compared. An empty table gives an empty result; other columns are ignored.
-    """
-    marked = materialise(signatures(docs, shingle, id_col, text_col, similarity), "signatures")
-    nodes = marked.groupBy("node", *NAMES).agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+def _groups(rows: DataFrame, row: str, shingle: int, similarity: float, text_col: str, hot: int) -> DataFrame:
+    """(row, component): every row with the least row that it reaches over links."""
+    spark = rows.sparkSession
+    marked = materialise(signatures(rows, shingle, row, text_col, similarity).withColumnRenamed("doc_id", "row"), "signatures")
+    nodes = marked.groupBy("node", *NAMES).agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes, "nodes")
+    firsts, docs = nodes.select("node", "row"), rows.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
     edges = materialise(similar_links(nodes.select("node", *NAMES), similarity, hot).distinct(), "edges")
-    first = nodes.select(F.col("least").alias("__id"), "node")
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(first, F.col("__doc") == F.col("__id")).select("node", "text")
-    near = materialise(verified(edges, texts, shingle, similarity), "near")
+    release_shuffles(spark)
+    near = materialise(verified(edges, docs, firsts, shingle, similarity), "near")
     found = components(near)
+    release_shuffles(spark)
     apart = materialise(links_apart(nodes, found, similarity, hot).distinct(), "apart")
-    missed = materialise(verified(apart, texts, shingle, similarity), "missed")
+    release_shuffles(spark)
+    missed = materialise(verified(apart, docs, firsts, shingle, similarity), "missed")
     if not missed.isEmpty():
         found = components(near.unionByName(missed))
-    linked = found.join(nodes.select("node", "least"), "node")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(linked.join(least, "component").select("node", "component_id"), "classes")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    linked = found.join(firsts, "node")
+    least = linked.groupBy("component").agg(F.min("row").alias("least"))
+    members = materialise(linked.join(least, "component").select("node", "least"), "classes")
+    own = firsts.join(members, "node", "left").select("node", F.coalesce("least", "row").alias("component"))
     own = materialise(own, "own")
-    return marked.select("doc_id", "node").join(own, "node").select("doc_id", "component_id")
+    out = materialise(marked.select("row", "node").join(own, "node").select("row", "component"), "groups")
+    for table in (marked, nodes, edges, near, apart, missed, members, own):
+        discard(table)
+    release_shuffles(spark)
+    return out
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row per row: doc_id and component_id, the smallest id reachable over links (its own included).
+
+    Null, empty and blank texts have the same signature and are one. Rows are told apart by their place: an id with two texts is
+    in two groups, repeated rows give repeated results, rows without an id take part and give way to any id. An empty table gives
+    an empty result; other columns are ignored.
+    """
+    rows, row = named(docs, F.col(id_col).isNull(), F.col(id_col))
+    out = _groups(rows, row, shingle, similarity, text_col, hot)
+    return out.select(F.col("row.rank1").alias("doc_id"), F.col("component.rank1").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,5 +374,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     Rows are told apart by their place, so repeated ids are no harm; a row without an id gives way to any other.
     """
     rows, row = named(docs, F.col(id_col).isNull(), F.col(id_col))
-    gone = similar_groups(rows, shingle, similarity, row, text_col).where("doc_id <> component_id").select("doc_id")
+    gone = _groups(rows, row, shingle, similarity, text_col, HOT).where("row <> component").select("row")
     return without(rows, row, gone, docs.columns)
