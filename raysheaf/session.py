@@ -102,6 +102,26 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` (batches to batches), after which the worker gives memory that it no longer needs back to the system: workers are
+    used again, and what one task took would else add to what the next one needs."""
+
+    def runs(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return runs
+
+
 def send(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcast a value of bounded size, objects of this package included; tasks get it by calling the result."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
