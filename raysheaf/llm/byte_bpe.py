@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..session import send
+from ..session import lean, send
 
 BLOCK_BYTES = 4 << 20  # text handled at once in a task
 MAX_WORDS = 400_000  # distinct words that a task keeps between blocks
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 own = batch.column(0).slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(offsets), pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def _by_id(values: dict[int, object]) -> np.ndarray:
@@ -254,7 +254,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
             decoded = [b"".join(found) if ok else None for found, ok in zip(_lists(column, by_id), known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return tokens.drop("decoded").mapInArrow(run, schema)
+    return tokens.drop("decoded").mapInArrow(lean(run), schema)
 
 
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -276,7 +276,7 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(back, pa.string())], names=schema.names
             )
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(run), schema)
 
 
 def op3_byte_bpe(spark, sf_dir):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise, send
+from ..session import lean, materialise, send
 from .rows import named, without
 
 WINDOW = 13  # words of a test phrase
@@ -68,7 +68,7 @@ def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["item", "words"])
 
     named_items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_col)
-    return named_items.mapInArrow(run, "item string, words array<string>").where("size(words) > 0")
+    return named_items.mapInArrow(lean(run), "item string, words array<string>").where("size(words) > 0")
 
 
 def term_bits(items: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def segments(rows: DataFrame, row: str, text_col: str, bits: np.ndarray, gap: in
             if texts:
                 yield segment(batch.column(0).slice(begin, len(texts)), texts, bits)
 
-    return rows.select(row, text_col).mapInArrow(run, schema)
+    return rows.select(row, text_col).mapInArrow(lean(run), schema)
 
 
 def phrases(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -229,7 +229,7 @@ def phrase_hits(index: DataFrame, tests: DataFrame, gap: int, slop: int = 0) ->
                     columns = [pa.array(phrases, pa.string()).take(pa.array(test)), here.rows.take(pa.array(row)), pa.array(start.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return materialise(met.mapInArrow(run, schema).distinct(), "found")
+    return materialise(met.mapInArrow(lean(run), schema).distinct(), "found")
 
 
 def _matches(rows: DataFrame, row: str, benchmark: DataFrame, window: int, slop: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import lean
+
 BITS = 14
 GRAM = 4  # bytes
 UNIT = 6  # words
@@ -73,7 +75,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], names=["lang", "bucket", "n"])
 
     known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(lang_col, text_col)
-    counted = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row a language, a histogram of 2^BITS counts at most
     packed = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).orderBy("lang").collect()
     langs, logs = [], []
@@ -161,7 +163,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text_col: str =
             arrays = [pa.array(said, pa.string()), pa.array(np.clip(sure, 0, 1), pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *arrays], names=schema.names)
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import send
+from ..session import lean, send
 
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their ids
@@ -383,7 +383,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     )
                     begin, texts, size = i + 1, [], 0
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def op1_license_scan(spark, sf_dir):

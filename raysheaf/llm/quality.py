@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise, send
+from ..session import lean, materialise, send
 from .rows import unused
 
 BITS = 16
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, target_ids: set, id_col: str = "doc_id", text_col: str
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
 
-    counted = docs.select(id_col, text_col).mapInArrow(count, "bucket long, raw long, good long")
+    counted = docs.select(id_col, text_col).mapInArrow(lean(count), "bucket long, raw long, good long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # BUCKETS rows at most
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in rows:

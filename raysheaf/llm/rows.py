@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,17 @@ def named(docs: DataFrame, *rank: Column) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.struct(*ranks, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))), name
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``limit`` bytes of a text column; a longer text is a slice by itself."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(sizes[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column)."""
     gone = gone.toDF(unused(docs, "__gone"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import lean, materialise
 from .components import components
 from .rows import named, without
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def variant_keys(column: str = "fp", first: int = 0) -> list[Column]:
@@ -149,7 +149,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
 
     index = nodes.select(F.explode(F.array(*variant_keys())).alias("key"), "fp")
     met = dealt(index, "fp", hot).repartition("key").sortWithinPartitions("key")
-    return met.select("key", "fp").mapInArrow(run, "a long, b long")
+    return met.select("key", "fp").mapInArrow(lean(run), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialise, release_shuffles, send
+from ..session import discard, lean, materialise, release_shuffles, send
 from .components import components
-from .rows import named, without
+from .rows import named, pieces, without
 from .simhash import HOT, SEGMENTS, dealt, variant_keys
 
 BITS = 256
 NAMES = ("fp", "fp2", "f0", "f1", "f2", "f3")
 SLACK = 14  # bits beyond the expected distance of the threshold: two and a half standard deviations
-HELD = 200_000  # links that a task holds before it passes them on
+HELD = 100_000  # links that a task holds before it passes them on
 SAMPLE_DOCS = 10_000  # documents whose shingles are counted for the order: those with the smallest hashes of their ids
 COMMON = 1 << 17  # shingles that the order puts last
 
@@ -86,13 +86,13 @@ def common_shingles(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_
     """(hashes in ascending order, how many documents of a bounded sample hold each), of the most frequent ones."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             found = [signature(t.as_py(), shingle)[1] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
 
     rank = F.xxhash64(id_col)
     last = docs.select(rank.alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).agg(F.max("rank")).first()[0]
-    some = docs.where(rank <= F.lit(last)).limit(SAMPLE_DOCS).select(id_col, text_col).mapInArrow(run, "shingle long")
+    some = docs.where(rank <= F.lit(last)).limit(SAMPLE_DOCS).select(id_col, text_col).mapInArrow(lean(run), "shingle long")
     counts = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     hashes, count = (counts.column(i).to_numpy() for i in range(2))
     hashes = hashes.astype(np.int64).view(np.uint64)
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_c
         import xxhash
 
         common = sent()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             found = [signature(t.as_py(), shingle) for t in batch.column(1)]
             bits = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, len(NAMES))
             nodes = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for _, h in found], dtype=np.uint64).view(np.int64)
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_c
                 names=schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def _meeting(differ: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def _linked(rows: DataFrame, most: int) -> DataFrame:
                 x, y = int(node[i + j]), int(node[i + k])
                 found.add((min(x, y), max(x, y)))
 
-    return rows.select("key", "at", "node", "words", "f0", "f1", "f2", "f3").mapInArrow(run, "a long, b long")
+    return rows.select("key", "at", "node", "words", "f0", "f1", "f2", "f3").mapInArrow(lean(run), "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -229,14 +229,14 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             packed = []
             for text in batch.column(1):
                 parts = shingles_of(text.as_py(), shingle)
                 packed.append(np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node long, shingles binary")
 
 
 def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -257,7 +257,7 @@ def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "one", "two").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
@@ -316,7 +316,7 @@ def _apart(rows: DataFrame, similarity: float) -> DataFrame:
             if len(x):
                 yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
 
-    return rows.select("key", "size", "left", "component", "node").mapInArrow(run, "a long, b long")
+    return rows.select("key", "size", "left", "component", "node").mapInArrow(lean(run), "a long, b long")
 
 
 def links_apart(nodes: DataFrame, groups: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:

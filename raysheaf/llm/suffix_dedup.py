@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialise, release_shuffles
+from ..session import discard, lean, materialise, release_shuffles
 from .rows import named
 
 LENGTH, GRAM = 400, 200
@@ -128,7 +128,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if texts:
             yield found()
 
-    return docs.select("key", "text").mapInArrow(run, "run long, key binary, place long")
+    return docs.select("key", "text").mapInArrow(lean(run), "run long, key binary, place long")
 
 
 # ---- sorting
@@ -351,7 +351,7 @@ def _sorted_covers(classes: DataFrame) -> DataFrame:
 
     covers = pa.schema([("part", pa.int64()), ("id", pa.binary()), ("begin", pa.int64()), ("end", pa.int64())])
     ordered = classes.repartition("part").sortWithinPartitions("part")
-    return ordered.select("part", "id", "content", "offset", "number", "many").mapInArrow(run, "part long, id binary, begin long, end long")
+    return ordered.select("part", "id", "content", "offset", "number", "many").mapInArrow(lean(run), "part long, id binary, begin long, end long")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -382,7 +382,7 @@ def _ranges(classes: DataFrame, width: int) -> DataFrame:
                 yield _batch(rows, schema)
 
     return classes.select("part", "id", "content", "offset", "number", "many").mapInArrow(
-        run, "whole_part long, whole_id binary, part long, id binary, content binary, offset int, number int, many boolean"
+        lean(run), "whole_part long, whole_id binary, part long, id binary, content binary, offset int, number int, many boolean"
     )
 
 
@@ -427,7 +427,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, row: str) -> DataFrame:
                 yield _batch(rows, schema)
 
     joined = docs.join(wanted.select(F.col(row).alias("__wanted"), "places"), F.col(row) == F.col("__wanted"))
-    return joined.select("key", "text", "places").mapInArrow(run, "part long, id binary, key binary, place long, content binary, offset int, number int")
+    return joined.select("key", "text", "places").mapInArrow(lean(run), "part long, id binary, key binary, place long, content binary, offset int, number int")
 
 
 def repeated_spans(docs: DataFrame, row: str, group: int = GROUP) -> DataFrame:
@@ -511,7 +511,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         [T.StructField("doc_id", docs.schema[id_col].dataType)]
         + [T.StructField(c, k) for c, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", span), ("kept", T.BinaryType()))]
     )
-    cut = rows.join(spans, "key").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    cut = rows.join(spans, "key").select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
     size = F.octet_length("text").cast("long")
     narrow = rows.select("doc_id", "key", size.alias("n_bytes"))
     gone = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))

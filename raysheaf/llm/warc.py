@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, scratch_path
+from ..session import lean, materialise, scratch_path
 
 BREAK = "\r\n\r\n"
 FILE_BYTES = 256 << 20  # of an archive, compressed; a record that begins below it is written whole
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int
             out.close()
             yield entry()
 
-    rows.mapInArrow(run, "file string, records long, bytes long").write.parquet(f"{path}/manifest")
+    rows.mapInArrow(lean(run), "file string, records long, bytes long").write.parquet(f"{path}/manifest")
     return path
 
 
@@ -265,7 +265,7 @@ def read_runs(spark, path: str) -> DataFrame:
                     yield _table(rows[i : i + 10_000])
 
     files = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest").select("file")
-    return files.repartition(4 * spark.sparkContext.defaultParallelism, "file").mapInArrow(run, INDEX)
+    return files.repartition(4 * spark.sparkContext.defaultParallelism, "file").mapInArrow(lean(run), INDEX)
 
 
 class LoserTree:
@@ -365,7 +365,7 @@ def merge_index(runs: DataFrame, n_rows: int, range_rows: int = RANGE_ROWS) -> D
             yield _table(some)
 
     ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-n_rows // range_rows))
-    return runs.repartitionByRange(ranges, "url_key", "ts", "page_id", "file", "offset").mapInArrow(run, INDEX)
+    return runs.repartitionByRange(ranges, "url_key", "ts", "page_id", "file", "offset").mapInArrow(lean(run), INDEX)
 
 
 def capture_histories(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
