@@ -257,7 +257,11 @@ def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "one", "two").mapInArrow(lean(run), "a long, b long")
+    kept = materialise(both.select("a", "b", "one", "two").mapInArrow(lean(run), "a long, b long"), "verified")
+    for table in (wanted, sets):
+        discard(table)
+    release_shuffles(docs.sparkSession)
+    return kept
 
 
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
@@ -333,24 +337,27 @@ def _groups(rows: DataFrame, row: str, shingle: int, similarity: float, text_col
     marked = materialise(signatures(rows, shingle, row, text_col, similarity).withColumnRenamed("doc_id", "row"), "signatures")
     nodes = marked.groupBy("node", *NAMES).agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes, "nodes")
-    firsts, docs = nodes.select("node", "row"), rows.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    firsts, members = materialise(nodes.select("node", "row"), "firsts"), materialise(marked.select("row", "node"), "members")
+    discard(marked)  # what is wide goes as soon as it has been read
+    release_shuffles(spark)
+    docs = rows.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
     edges = materialise(similar_links(nodes.select("node", *NAMES), similarity, hot).distinct(), "edges")
     release_shuffles(spark)
-    near = materialise(verified(edges, docs, firsts, shingle, similarity), "near")
+    near = verified(edges, docs, firsts, shingle, similarity)
     found = components(near)
-    release_shuffles(spark)
     apart = materialise(links_apart(nodes, found, similarity, hot).distinct(), "apart")
+    discard(nodes)
     release_shuffles(spark)
-    missed = materialise(verified(apart, docs, firsts, shingle, similarity), "missed")
+    missed = verified(apart, docs, firsts, shingle, similarity)
     if not missed.isEmpty():
         found = components(near.unionByName(missed))
     linked = found.join(firsts, "node")
     least = linked.groupBy("component").agg(F.min("row").alias("least"))
-    members = materialise(linked.join(least, "component").select("node", "least"), "classes")
-    own = firsts.join(members, "node", "left").select("node", F.coalesce("least", "row").alias("component"))
+    classes = materialise(linked.join(least, "component").select("node", "least"), "classes")
+    own = firsts.join(classes, "node", "left").select("node", F.coalesce("least", "row").alias("component"))
     own = materialise(own, "own")
-    out = materialise(marked.select("row", "node").join(own, "node").select("row", "component"), "groups")
-    for table in (marked, nodes, edges, near, apart, missed, members, own):
+    out = materialise(members.join(own, "node").select("row", "component"), "groups")
+    for table in (firsts, members, edges, near, apart, missed, classes, own):
         discard(table)
     release_shuffles(spark)
     return out
