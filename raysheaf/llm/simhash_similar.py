@@ -223,47 +223,56 @@ def _linked(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("key", "at", "node", "words", "f0", "f1", "f2", "f3").mapInArrow(lean(run), "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of texts (node, text): the sorted distinct 64-bit hashes of the shingles, packed."""
+def _shingle_sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(node, n, shingles) of texts (node, text): how many distinct shingles, and the sorted distinct ``bits``-bit hashes, packed."""
+    kind = np.dtype(f"u{bits // 8}")
 
     def run(batches):
         import xxhash
 
         for batch in (part for whole in batches for part in pieces(whole, 1)):
-            packed = []
+            sizes, packed = [], []
             for text in batch.column(1):
-                parts = shingles_of(text.as_py(), shingle)
-                packed.append(np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
+                hashes = np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingles_of(text.as_py(), shingle)], dtype=np.uint64))
+                sizes.append(len(hashes))
+                packed.append((hashes if bits == 64 else np.unique(hashes.astype(kind))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(lean(run), "node long, shingles binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node long, n long, shingles binary")
 
 
-def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
-    and one row that has its text."""
+def _checked(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
+    """The edges (a, b) whose sets of shingles, known by ``bits``-bit hashes, can have that similarity; with 64 bits, that have it."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(ends.join(firsts, "node").select("node", F.col("row").alias("first")), "ends")
     texts = docs.join(wanted, F.col("row") == F.col("first")).select("node", "text")
-    sets = materialise(_shingle_sets(texts, shingle), "shingles")
-    both = edges.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+    sets = materialise(_shingle_sets(texts, shingle, bits), "shingles")
+    release_shuffles(docs.sparkSession)
+    both = edges.join(sets.toDF("a", "n", "one"), "a").join(sets.toDF("b", "m", "two"), "b")
+    kind = np.dtype(f"u{bits // 8}")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            for n, one, m, two in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                x, y = np.frombuffer(one.as_py(), kind), np.frombuffer(two.as_py(), kind)
+                shared = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))  # what one hash stands for twice may be shared
+                keep.append(shared >= similarity * (n + m - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kept = materialise(both.select("a", "b", "one", "two").mapInArrow(lean(run), "a long, b long"), "verified")
+    kept = materialise(both.select("a", "b", "n", "one", "m", "two").mapInArrow(lean(run), "a long, b long"), "verified")
     for table in (wanted, sets):
         discard(table)
     release_shuffles(docs.sparkSession)
     return kept
 
 
+def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
+    and one row that has its text. Short hashes rule out most edges with half the bytes, whole ones decide on the others."""
+    return _checked(_checked(edges, docs, firsts, shingle, similarity, 32), docs, firsts, shingle, similarity, 64)
+
+
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
     """(a, b): links between nodes (node, fp, fp2, f0 .. f3) whose words meet in a variant and whose shingles look that similar."""
     half = F.col("key") >= F.lit(64 << 32)
