@@ -47,6 +47,8 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column)."""
-    gone = gone.toDF(unused(docs, "__gone"))
-    return docs.join(gone, docs[row] == gone[gone.columns[0]], "left_anti").select(*columns)
+    """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column); joined by place alone."""
+    file, at = unused(docs, "__file"), unused(docs, "__at")
+    gone = gone.toDF("row").select(F.col("row.file").alias(file), F.col("row.at").alias(at))
+    same = (docs[row]["file"] == gone[file]) & (docs[row]["at"] == gone[at])
+    return docs.join(gone, same, "left_anti").select(*columns)

@@ -267,10 +267,12 @@ def _checked(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
     return kept
 
 
-def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, short: bool = False) -> DataFrame:
     """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
-    and one row that has its text. Short hashes rule out most edges with half the bytes, whole ones decide on the others."""
-    return _checked(_checked(edges, docs, firsts, shingle, similarity, 32), docs, firsts, shingle, similarity, 64)
+    and one row that has its text. ``short`` hashes first rule out edges with half the bytes, for edges of which few are right."""
+    if short:
+        edges = _checked(edges, docs, firsts, shingle, similarity, 32)
+    return _checked(edges, docs, firsts, shingle, similarity, 64)
 
 
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
@@ -357,7 +359,7 @@ def _groups(rows: DataFrame, row: str, shingle: int, similarity: float, text_col
     apart = materialise(links_apart(nodes, found, similarity, hot).distinct(), "apart")
     discard(nodes)
     release_shuffles(spark)
-    missed = verified(apart, docs, firsts, shingle, similarity)
+    missed = verified(apart, docs, firsts, shingle, similarity, short=True)
     if not missed.isEmpty():
         found = components(near.unionByName(missed))
     linked = found.join(firsts, "node")
