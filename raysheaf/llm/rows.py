@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
+WORDS = 1 << 18  # of 64 bits; a bitmap of rows has that many at most
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, or that name with underscores if a column of ``docs`` has it."""
@@ -46,9 +48,32 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator
         begin = end
 
 
+def _place(row: Column) -> tuple[Column, Column]:
+    """A word of the bitmap of ``likely`` and a bit in it, for a row's name."""
+    spot = F.xxhash64(row["file"], row["at"])
+    return F.pmod(spot, F.lit(WORDS)), F.shiftrightunsigned(spot, 40).bitwiseAND(63).cast("int")
+
+
+def likely(docs: DataFrame, row: str, wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` with columns more, and a condition that holds for all rows whose ``row`` is in ``wanted`` (one column, written).
+
+    For most others it doesn't hold, so that a join need not move them. What is sent to the tasks is a bitmap of ``WORDS`` words,
+    whatever it stands for: as it fills, more rows are moved and the join after it is what decides.
+    """
+    word, bits = unused(docs, "__word"), unused(docs, "__bits")
+    at, bit = _place(F.col("row"))
+    bitmap = wanted.toDF("row").select(at.alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias(bits))
+    at, bit = _place(docs[row])
+    return docs.withColumn(word, at).join(F.broadcast(bitmap), word, "left"), F.coalesce(F.bit_get(F.col(bits), bit) == 1, F.lit(False))
+
+
 def without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column); joined by place alone."""
-    file, at = unused(docs, "__file"), unused(docs, "__at")
+    """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column); joined by place alone. Rows that
+    the bitmap of ``gone`` tells to stay aren't moved."""
+    gone = materialise(gone, "gone")
+    marked, perhaps = likely(docs, row, gone)
+    file, at = unused(marked, "__file"), unused(marked, "__at")
     gone = gone.toDF("row").select(F.col("row.file").alias(file), F.col("row.at").alias(at))
-    same = (docs[row]["file"] == gone[file]) & (docs[row]["at"] == gone[at])
-    return docs.join(gone, same, "left_anti").select(*columns)
+    some = marked.where(perhaps)
+    same = (some[row]["file"] == gone[file]) & (some[row]["at"] == gone[at])
+    return marked.where(~perhaps).select(*columns).unionByName(some.join(gone, same, "left_anti").select(*columns))

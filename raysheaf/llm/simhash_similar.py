@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..session import discard, lean, materialise, release_shuffles, send
 from .components import components
-from .rows import named, pieces, without
+from .rows import likely, named, pieces, without
 from .simhash import HOT, SEGMENTS, dealt, variant_keys
 
 BITS = 256
@@ -245,7 +245,8 @@ def _checked(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
     """The edges (a, b) whose sets of shingles, known by ``bits``-bit hashes, can have that similarity; with 64 bits, that have it."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(ends.join(firsts, "node").select("node", F.col("row").alias("first")), "ends")
-    texts = docs.join(wanted, F.col("row") == F.col("first")).select("node", "text")
+    marked, perhaps = likely(docs, "row", wanted.select("first"))
+    texts = marked.where(perhaps).join(wanted, F.col("row") == F.col("first")).select("node", "text")
     sets = materialise(_shingle_sets(texts, shingle, bits), "shingles")
     release_shuffles(docs.sparkSession)
     both = edges.join(sets.toDF("a", "n", "one"), "a").join(sets.toDF("b", "m", "two"), "b")
