@@ -9,7 +9,8 @@ Signatures alone miss pairs, above all those that differ by a passage. So a seco
 first has left apart: two sets of that similarity share one of the first shingles of each in any common order (prefix filter),
 so an equality join on these shingles meets every such pair. Sizes and places in the order rule out pairs that can't reach the
 similarity; all others that are still apart are verified. The order puts shingles that are frequent in a sample last, which
-decides how many pairs meet but not which of them link.
+decides how many pairs meet but not which of them link. Before texts are read for a pair that meets, a sketch of each set bounds
+what two can share: the parities of how many hashes fall on each of some bits differ in no more bits than the sets in elements.
 
 Rows of a variant are compared where they meet, and only the edges of a minimum spanning tree leave the task: every row's
 closest links among the pairs that count there (a pair counts at one of the variants it shares), so a group of n near copies
@@ -111,14 +112,27 @@ def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     return hashes[np.lexsort((hashes, rank))][:most]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Bits, whether an odd number of the hashes falls on each: a power of two of them, 64 or more and one a hash or more."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def apart_at_least(one: bytes, two: bytes) -> int:
+    """How many elements two sets differ in at least, by their sketches; the longer one is folded to the shorter one's bits."""
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum(dtype=np.int64))
+
+
 def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per row: doc_id, fp and fp2 (of the words), f0 .. f3 (of the shingles), node (of the set of shingles), size (of
-    that set) and prefix (its first shingles)."""
+    that set), prefix (its first shingles) and sketch."""
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_col].dataType),
             *(T.StructField(c, T.LongType()) for c in (*NAMES, "node", "size")),
             T.StructField("prefix", T.ArrayType(T.LongType())),
+            T.StructField("sketch", T.BinaryType()),
         ]
     )
     sent = send(docs.sparkSession, common_shingles(docs, shingle, id_col, text_col))
@@ -139,6 +153,7 @@ def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_c
                     pa.array(nodes),
                     pa.array([len(h) for _, h in found], pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array([sketch_of(h) for _, h in found], pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -223,57 +238,59 @@ def _linked(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("key", "at", "node", "words", "f0", "f1", "f2", "f3").mapInArrow(lean(run), "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """(node, n, shingles) of texts (node, text): how many distinct shingles, and the sorted distinct ``bits``-bit hashes, packed."""
-    kind = np.dtype(f"u{bits // 8}")
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of texts (node, text): the sorted distinct 64-bit hashes of the shingles, packed."""
 
     def run(batches):
         import xxhash
 
         for batch in (part for whole in batches for part in pieces(whole, 1)):
-            sizes, packed = [], []
-            for text in batch.column(1):
-                hashes = np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingles_of(text.as_py(), shingle)], dtype=np.uint64))
-                sizes.append(len(hashes))
-                packed.append((hashes if bits == 64 else np.unique(hashes.astype(kind))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "shingles"])
+            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingles_of(t.as_py(), shingle)], dtype=np.uint64)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(lean(run), "node long, n long, shingles binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node long, shingles binary")
 
 
-def _checked(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
-    """The edges (a, b) whose sets of shingles, known by ``bits``-bit hashes, can have that similarity; with 64 bits, that have it."""
+def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
+    and one row that has its text."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(ends.join(firsts, "node").select("node", F.col("row").alias("first")), "ends")
     marked, perhaps = likely(docs, "row", wanted.select("first"))
     texts = marked.where(perhaps).join(wanted, F.col("row") == F.col("first")).select("node", "text")
-    sets = materialise(_shingle_sets(texts, shingle, bits), "shingles")
+    sets = materialise(_shingle_sets(texts, shingle), "shingles")
     release_shuffles(docs.sparkSession)
-    both = edges.join(sets.toDF("a", "n", "one"), "a").join(sets.toDF("b", "m", "two"), "b")
-    kind = np.dtype(f"u{bits // 8}")
+    both = edges.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for n, one, m, two in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                x, y = np.frombuffer(one.as_py(), kind), np.frombuffer(two.as_py(), kind)
-                shared = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))  # what one hash stands for twice may be shared
-                keep.append(shared >= similarity * (n + m - shared))
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kept = materialise(both.select("a", "b", "n", "one", "m", "two").mapInArrow(lean(run), "a long, b long"), "verified")
+    kept = materialise(both.select("a", "b", "one", "two").mapInArrow(lean(run), "a long, b long"), "verified")
     for table in (wanted, sets):
         discard(table)
     release_shuffles(docs.sparkSession)
     return kept
 
 
-def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, short: bool = False) -> DataFrame:
-    """The edges (a, b) whose texts have that Jaccard similarity over their sets of shingles. ``docs``: row, text; ``firsts``: node
-    and one row that has its text. ``short`` hashes first rule out edges with half the bytes, for edges of which few are right."""
-    if short:
-        edges = _checked(edges, docs, firsts, shingle, similarity, 32)
-    return _checked(edges, docs, firsts, shingle, similarity, 64)
+def possible(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets can have that similarity by the sketches and sizes of ``nodes`` (node, size, sketch)."""
+    sketches = nodes.select("node", "size", "sketch")
+    both = edges.join(sketches.toDF("a", "n", "one"), "a").join(sketches.toDF("b", "m", "two"), "b")
+
+    def run(batches):
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            differ = [apart_at_least(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(5), strict=True)]
+            shared = (both - np.array(differ, dtype=np.int64)) / 2  # at most
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(shared >= similarity * (both - shared) - 1e-9))
+
+    return both.select("a", "b", "n", "one", "m", "two").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_links(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
@@ -347,7 +364,7 @@ def _groups(rows: DataFrame, row: str, shingle: int, similarity: float, text_col
     """(row, component): every row with the least row that it reaches over links."""
     spark = rows.sparkSession
     marked = materialise(signatures(rows, shingle, row, text_col, similarity).withColumnRenamed("doc_id", "row"), "signatures")
-    nodes = marked.groupBy("node", *NAMES).agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node", *NAMES).agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
     firsts, members = materialise(nodes.select("node", "row"), "firsts"), materialise(marked.select("row", "node"), "members")
     discard(marked)  # what is wide goes as soon as it has been read
@@ -357,10 +374,13 @@ def _groups(rows: DataFrame, row: str, shingle: int, similarity: float, text_col
     release_shuffles(spark)
     near = verified(edges, docs, firsts, shingle, similarity)
     found = components(near)
-    apart = materialise(links_apart(nodes, found, similarity, hot).distinct(), "apart")
+    met = materialise(links_apart(nodes, found, similarity, hot).distinct(), "met")
+    release_shuffles(spark)
+    apart = materialise(possible(met, nodes, similarity), "apart")
+    discard(met)
     discard(nodes)
     release_shuffles(spark)
-    missed = verified(apart, docs, firsts, shingle, similarity, short=True)
+    missed = verified(apart, docs, firsts, shingle, similarity)
     if not missed.isEmpty():
         found = components(near.unionByName(missed))
     linked = found.join(firsts, "node")

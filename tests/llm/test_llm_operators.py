@@ -55,6 +55,27 @@ def test_removal_decides_on_rows(spark):
     assert kept(decontaminate.drop_contaminated(docs, bench)) == [(0, "solo one"), (1, "unique text"), (3, ""), (3, "")]
 
 
+def test_full_bitmaps_remove_the_same_rows(spark, tmp_path, monkeypatch):
+    spark.range(500).selectExpr("id AS doc_id", "concat('t', id % 170) AS text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for words in (rows.WORDS, 1):  # with one word nearly every row goes on to the join
+        monkeypatch.setattr(rows, "WORDS", words)
+        assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == list(range(330, 500))
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 64, 65, 700, 3000):
+        for part in (0.5, 0.8, 0.9, 1.0):
+            one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            two = np.unique(np.concatenate([one[: int(n * part)], rng.integers(0, 1 << 63, n - int(n * part)).astype(np.uint64)]))
+            differ = len(np.setxor1d(one, two))
+            least = simhash_similar.apart_at_least(simhash_similar.sketch_of(one), simhash_similar.sketch_of(two))
+            assert least <= differ and (least - differ) % 2 == 0
+            if part == 0.5 and n >= 700:
+                assert least > (len(one) + len(two)) / 9  # too far for a similarity of 0.8
+
+
 def test_rows_have_one_name_each(spark, tmp_path):
     df = spark.range(1000).selectExpr("id % 7 AS id", "'x' AS __row", "'y' AS _metadata")
     df.repartition(5).write.parquet(str(tmp_path / "t"))
