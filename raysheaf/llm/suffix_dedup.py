@@ -386,6 +386,21 @@ def _ranges(classes: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _one_cover(covers: DataFrame) -> DataFrame:
+    """Covers (part, id, begin, end) with those of a class that overlap or touch made one, so that its places meet each byte once.
+    A class has at most one cover a range and string, within fewer than two lengths of bytes."""
+    each = covers.groupBy("part", "id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+
+    def add(done, span):
+        last = F.element_at(done, -1)
+        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
+        return F.when(span["begin"] <= last["end"], joined).otherwise(F.concat(done, F.array(span)))
+
+    spans = F.aggregate(F.slice("spans", 2, F.size("spans")), F.slice("spans", 1, 1), add)
+    return each.select("part", "id", F.explode(spans).alias("span")).select("part", "id", "span.begin", "span.end")
+
+
 def _covers(classes: DataFrame, group: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``_sorted_covers`` of classes in parts of any size: those of more than ``group`` are cut into ranges first."""
     if not widths:
@@ -399,7 +414,7 @@ def _covers(classes: DataFrame, group: int, widths: tuple[int, ...] = WIDTHS) ->
     merged = materialise(merged, "merged")
     found = _covers(merged, group, widths[1:])
     back = cut.select("whole_part", "whole_id", "part", "id").join(found, ["part", "id"])
-    back = back.select(F.col("whole_part").alias("part"), F.col("whole_id").alias("id"), "begin", "end")
+    back = _one_cover(back.select(F.col("whole_part").alias("part"), F.col("whole_id").alias("id"), "begin", "end"))
     covers = materialise(_sorted_covers(classes.join(hot, "part", "left_anti")).unionByName(back), "covers")
     for table in (hot, cut, merged, found):
         discard(table)
