@@ -15,6 +15,9 @@ _MODULES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_decontaminate": "decontaminate",
     "op10_language_id": "language_id",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_line_dedup": "line_dedup",
+    "op13_fill_in_middle": "fill_in_middle",
 }
 
 QUERIES = {}
