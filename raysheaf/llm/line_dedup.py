@@ -205,7 +205,8 @@ def drop_shared_lines(
     names = [F.col(row), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     some = marked.where(perhaps).select(*names)
     found = hits.select(F.col("row.file").alias("h_file"), F.col("row.at").alias("h_at"), "gone")
-    moved = some.join(found, (some[row]["file"] == F.col("h_file")) & (some[row]["at"] == F.col("h_at")), "left").select("doc_id", "text", "gone")
+    # by merging at every size: what is sent to all tasks at a small one is moved at a large one
+    moved = some.hint("merge").join(found, (some[row]["file"] == F.col("h_file")) & (some[row]["at"] == F.col("h_at")), "left").select("doc_id", "text", "gone")
     rest = marked.where(~perhaps).select(*names[1:], F.lit(None).cast("array<binary>").alias("gone"))
     return _rewritten(moved.unionByName(rest), min_chars)
 
