@@ -1,15 +1,19 @@
 """Space-filling curve keys.
 
-3-D keys have 42 bits an axis and are returned as (hi, lo), two non-negative longs of 63 bits whose order is the key's. They
-are Hilbert keys by Skilling's transform (AIP Conf. Proc. 707, 2004): the curve differs from table-driven ones by a rotation,
-which changes no neighbourhood and no balance.
+3-D keys have 42 bits an axis and are returned as (hi, lo), two non-negative longs of 63 bits whose order is the key's.
+``with_curve_key`` walks the Peano-Hilbert automaton in the JVM. ``with_key`` gives Hilbert keys by Skilling's transform (AIP Conf.
+Proc. 707, 2004), whose curve differs by a rotation, which changes no neighbourhood and no balance. ``morton`` interleaves bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS_3D, BITS_2D = 42, 32
@@ -85,6 +89,94 @@ def hilbert2_inverse(key: np.ndarray, bits: int = BITS_2D) -> tuple[np.ndarray,
     return x[0], x[1]
 
 
+def morton(cells: Sequence[Column], bits: int) -> Column:
+    """The bits of whole numbers of ``bits`` bits interleaved, the first number's bits lowest; 62 bits in all at most."""
+    d = len(cells)
+    terms = [F.shiftleft(F.shiftright(c.cast("long"), b).bitwiseAND(1), d * b + i) for b in range(bits) for i, c in enumerate(cells)]
+    return reduce(lambda x, y: x.bitwiseOR(y), terms)
+
+
+def with_morton_pair(df: DataFrame, axes: Sequence[str], low: Sequence[float], side: float, bits: int, hi: str, lo: str) -> DataFrame:
+    """``df`` with a key of 2 x ``bits`` bits an axis in two columns, compared one after the other; what is outside counts to the rim."""
+    top, cells = (1 << bits) - 1, {}
+    for i, (a, start) in enumerate(zip(axes, low, strict=True)):
+        unit = F.least(F.greatest((F.col(a) - start) / side, F.lit(0.0)), F.lit(1.0)) * (1 << bits)
+        cells[f"__h{i}"] = F.least(F.floor(unit), F.lit(top))
+        cells[f"__l{i}"] = F.least(F.floor((unit - F.floor(unit)) * (1 << bits)), F.lit(top))
+    df = df.withColumns(cells)
+    pair = {name: morton([F.col(f"__{k}{i}") for i in range(len(axes))], bits) for name, k in ((hi, "h"), (lo, "l"))}
+    return df.withColumns(pair).drop(*cells)
+
+
+# The order in which the curve visits the octants of a cube (4 for the upper half of x, 2 of y, 1 of z), and the same
+# for the cubes in its eight octants.
+CURVE_ORDER = [0, 7, 1, 6, 3, 4, 2, 5]
+CURVE_CHILD_ORDERS = [
+    [0, 1, 7, 6, 3, 2, 4, 5],
+    [6, 7, 1, 0, 5, 4, 2, 3],
+    [0, 3, 1, 2, 7, 4, 6, 5],
+    [4, 7, 5, 6, 3, 0, 2, 1],
+    [2, 5, 3, 4, 1, 6, 0, 7],
+    [2, 5, 3, 4, 1, 6, 0, 7],
+    [0, 3, 1, 2, 7, 4, 6, 5],
+    [4, 7, 5, 6, 3, 0, 2, 1],
+]
+
+
+def curve_states() -> tuple[list[int], list[int]]:
+    """(next state, digit) at 8 * state + octant of the curve's automaton; it starts in state 0.
+
+    A state is the order of a cube. An order is the first one after a turn of the cube, and its octants' orders are the first one's
+    octants' orders after the same turn; what can be reached are the cube's 24 turns.
+    """
+    states, follow, digits = [tuple(CURVE_ORDER)], [], []
+    for order in states:
+        turn = [CURVE_ORDER.index(digit) for digit in order]
+        for octant in range(8):
+            child = tuple(CURVE_CHILD_ORDERS[turn[octant]][t] for t in turn)
+            if child not in states:
+                states.append(child)
+            follow.append(states.index(child))
+        digits += order
+    return follow, digits
+
+
+def curve_key(x: Column, y: Column, z: Column) -> Column:
+    """A struct with hi and lo, of whole coordinates of 42 bits: the automaton walks over the bits, highest first, in the JVM."""
+    follow, digits = (F.lit(t) for t in curve_states())
+    bit = lambda c, b: F.call_function("shiftright", c, b).bitwiseAND(1).cast("int")
+
+    half = BITS_3D // 2
+
+    def step(acc: Column, b: Column) -> Column:
+        at = acc["state"] * 8 + bit(x, b) * 4 + bit(y, b) * 2 + bit(z, b) + 1
+        longer = lambda key: acc[key] * 8 + F.element_at(digits, at)
+        upper = b >= half
+        return F.struct(
+            F.element_at(follow, at).alias("state"), F.when(upper, longer("hi")).otherwise(acc["hi"]).alias("hi"), F.when(upper, acc["lo"]).otherwise(longer("lo")).alias("lo")
+        )
+
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"))
+    return F.aggregate(F.sequence(F.lit(BITS_3D - 1), F.lit(0), F.lit(-1)), start, step)
+
+
+def with_curve_key(df: DataFrame, low: Sequence[float], high: Sequence[float], axes: Sequence[str] = ("x", "y", "z"), hi: str = "hi", lo: str = "lo") -> DataFrame:
+    """``df`` with the curve's key (hi, lo) in a box that is padded by a thousandth of its sides at each end.
+
+    Positions outside count to the rim; a row without a position has no key.
+    """
+    top, cells = (1 << BITS_3D) - 1, {}
+    for a, start, end in zip(axes, low, high, strict=True):
+        begin, stop = start - (end - start) * 0.001, end + (end - start) * 0.001
+        share = (F.col(a) - begin) / (stop - begin)
+        cells[f"__k{a}"] = F.least(F.greatest(F.floor(share * float(1 << BITS_3D)), F.lit(0)), F.lit(top))
+    known = F.lit(True)
+    for a in axes:
+        known = known & F.col(a).isNotNull()
+    keyed = df.withColumns(cells).withColumn("__key", F.when(known, curve_key(*(F.col(c) for c in cells))))
+    return keyed.withColumns({hi: F.col("__key.hi"), lo: F.col("__key.lo")}).drop("__key", *cells)
+
+
 def key_midpoint(a: int, b: int) -> int:
     return a // 2 + b // 2
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import materialise
+from .decomposition import load_cuts
+from .neighbours import nearest_join
 
 AXES = ("x", "y", "z")
 
@@ -61,48 +62,6 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, sides: Sequenc
     return lhs.join(rhs, names).withColumn("dist", dist).where(F.col("dist") < radius).drop(*names)
 
 
-def nearest_join(queries: DataFrame, sites: DataFrame, query_id: str, site_id: str, axes: Sequence[str] = AXES, max_rounds: int = 64) -> DataFrame:
-    """(query_id, site_id, dist) of each query's nearest site (Euclidean, not periodic; ties go to the smaller id).
-
-    Sites lie in buckets about as wide as their mean spacing; a query looks into its own and the adjoining ones. It is settled
-    if its best distance is within the bucket width, which everything not looked at is beyond; others go on with doubled
-    buckets. Rounds are as many as it takes to double the spacing to the largest gap.
-    """
-    box = bounding_box(sites, axes).crossJoin(sites.agg(F.count("*").alias("n"))).first()
-    if not box["n"]:
-        return queries.select(query_id).where("false").withColumns({site_id: F.lit(None).cast(sites.schema[site_id].dataType), "dist": F.lit(0.0)})
-    lows = [box[f"min_{a}"] for a in axes]
-    spans = [box[f"max_{a}"] - box[f"min_{a}"] for a in axes]
-    volume, d = 1.0, 0
-    for s in spans:
-        if s > 0:
-            volume, d = volume * s, d + 1
-    width = max((volume / box["n"]) ** (1 / d) if d else 1.0, 1e-300)
-    names = [f"b{a}" for a in axes]
-    s_cols = sites.select(F.col(site_id), *(F.col(a).alias(f"s_{a}") for a in axes))
-    left = queries.select(query_id, *axes)
-    settled, pending = [], None
-    for _ in range(max_rounds):
-        put = lambda prefix: {b: F.floor((F.col(f"{prefix}{a}") - lo) / width).cast("long") for a, b, lo in zip(axes, names, lows, strict=True)}  # noqa: E731, B023
-        around = _around(left.withColumns(put("")), names)
-        joined = around.join(s_cols.withColumns(put("s_")), names)
-        dist = G.length([F.col(a) - F.col(f"s_{a}") for a in axes])
-        best = joined.groupBy(query_id).agg(F.min(F.struct(dist.alias("dist"), F.col(site_id))).alias("best")).select(query_id, f"best.{site_id}", "best.dist")
-        round_ = materialise(left.join(best, query_id, "left"), "nearest")
-        done = F.col("dist").isNotNull() & (F.col("dist") <= width)
-        settled.append(round_.where(done).select(query_id, site_id, "dist"))
-        pending = round_.where(~done).select(query_id, *axes)
-        if pending.isEmpty():
-            break
-        left, width = pending, width * 2
-    else:
-        raise RuntimeError("nearest_join didn't settle")
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def sum_at_nearest(sources: DataFrame, cells: DataFrame, source_id: str, cell_id: str, rate: str = "rate") -> DataFrame:
     """(cell_id, source, n_sources): the rates of the sources whose nearest cell it is."""
     near = nearest_join(sources, cells, source_id, cell_id)
@@ -118,10 +77,9 @@ def remap(current: DataFrame, previous: DataFrame, query_id: str, site_id: str,
     return joined.withColumns({v: F.greatest(F.col(v), F.col(f"old_{v}")) for v in values}).drop(*(f"old_{v}" for v in values))
 
 
-def range_cuts(df: DataFrame, column: str, parts: int, accuracy: int = 1_000_000) -> list[float]:
-    """Cuts of a key column into parts of about equal counts; ``parts - 1`` numbers."""
-    shares = [i / parts for i in range(1, parts)]
-    return df.agg(F.percentile_approx(column, shares, accuracy)).first()[0] or []
+def range_cuts(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Cuts of a key column into parts of about equal counts, its exact discrete quantiles; ``parts - 1`` numbers, none without rows."""
+    return [hi for hi, _ in load_cuts(df, F.col(column), F.lit(0), F.lit(1), parts, bins=4096, strict=False).keys]
 
 
 def owner_of(key, cuts: Sequence[float]):

@@ -1,24 +1,31 @@
 """Photon propagation through the cell graph, one direction at a time.
 
 A cell's outgoing rate is its incoming rate, a share of its source and what periodic neighbours left, attenuated; it goes to the
-downwind faces by effective area. Directions don't interact within a sweep. Two strategies give the same rates:
+downwind faces by effective area. Directions don't interact within a sweep. Three strategies give the same rates:
 
 * ``grouped``: a direction's faces in one task, ordered in waves and swept with numpy. For grids that a worker holds.
 * ``waves``: one join and one aggregate a wave over all directions, state in written tables. For grids of any size.
+* ``blocks``: blocks of cells in a task each, rates across their boundaries exchanged in rounds. For grids of any size; rounds are as many
+  as blocks in a row, not as cells.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..functions import units as U
 from ..session import discard, materialise, scratch_path
+from .decomposition import decomposed
 from .grid import downwind
 
 GROUPED_FACES = 4_000_000  # faces of a grid that one task holds: about 0.5 GB
+BLOCK_CELLS = 100_000  # cells of a block that one task sweeps
 STATE = "dir int, cell_id long, incoming double, outgoing double"
 
 
@@ -76,20 +83,37 @@ def sweep_grouped(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold:
     return left.cogroup(fresh(cells, ("dir", "cell_id", "tau", "own", "inflow", "fixed"))).applyInPandas(run, STATE)
 
 
-def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0, max_waves: int = 100_000) -> DataFrame:
-    """The same in waves: a cell is swept when all its upwind neighbours are."""
+def _started(cells: DataFrame, wind: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written edges and cells, the cells that aren't swept with their rates, and the others with incoming (what is known at the
+    beginning) and waiting (upwind neighbours that are swept)."""
     edges = materialise(wind.where("kind = 'interior'").select("dir", "cell_id", "neighbour_id", "share"), "edges")
     cells = materialise(cells.select("dir", "cell_id", "tau", "own", "inflow", "fixed"), "state")
     idle = cells.where("fixed is not null").select("dir", "cell_id", F.col("fixed").alias("outgoing"))
-    part = F.col("outgoing") * F.col("share")
     to = F.col("neighbour_id").alias("cell_id")
-    given = idle.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(part).alias("given"))
+    given = idle.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(F.col("outgoing") * F.col("share")).alias("given"))
     active = cells.where("fixed is null")
     waiting = edges.join(active.select("dir", "cell_id"), ["dir", "cell_id"], "left_semi").groupBy("dir", to).agg(F.count("*").alias("waiting"))
     state = active.join(waiting, ["dir", "cell_id"], "left").join(given, ["dir", "cell_id"], "left").select(
         "dir", "cell_id", "tau", "own", (F.col("inflow") + F.coalesce("given", F.lit(0.0))).alias("incoming"), F.coalesce("waiting", F.lit(0)).alias("waiting")
     )
-    state, left, path = materialise(state, "wave"), active.count(), scratch_path(cells.sparkSession, "swept")
+    return edges, cells, idle, state
+
+
+def _with_idle(result: DataFrame, edges: DataFrame, cells: DataFrame, idle: DataFrame) -> DataFrame:
+    """Swept rates, and those of the cells that weren't swept with what they received."""
+    if idle.isEmpty():
+        return result
+    rates = result.select("dir", "cell_id", "outgoing").unionByName(idle)
+    got = rates.join(edges, ["dir", "cell_id"]).groupBy("dir", F.col("neighbour_id").alias("cell_id")).agg(F.sum(F.col("outgoing") * F.col("share")).alias("got"))
+    still = cells.where("fixed is not null").join(got, ["dir", "cell_id"], "left")
+    return result.unionByName(still.select("dir", "cell_id", (F.col("inflow") + F.coalesce("got", F.lit(0.0))).alias("incoming"), F.col("fixed").alias("outgoing")))
+
+
+def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0, max_waves: int = 100_000) -> DataFrame:
+    """The same in waves: a cell is swept when all its upwind neighbours are."""
+    edges, cells, idle, state = _started(cells, wind)
+    state, path = materialise(state, "wave"), scratch_path(cells.sparkSession, "swept")
+    left = active = state.count()
     for wave in range(max_waves if left else 0):
         ready = state.where("waiting = 0")
         total = F.col("incoming") + F.col("own")
@@ -111,23 +135,129 @@ def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: f
         following = materialise(rest, "wave")
         discard(state)
         state = following
-    if active.isEmpty():
+    if not active:
         result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
     else:
         result = cells.sparkSession.read.schema(STATE).parquet(path).select("dir", "cell_id", "incoming", "outgoing")
-    if idle.isEmpty():
-        return result
-    rates = result.select("dir", "cell_id", "outgoing").unionByName(idle)
-    got = rates.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(part).alias("got"))
-    still = cells.where("fixed is not null").join(got, ["dir", "cell_id"], "left")
-    return result.unionByName(still.select("dir", "cell_id", (F.col("inflow") + F.coalesce("got", F.lit(0.0))).alias("incoming"), F.col("fixed").alias("outgoing")))
+    return _with_idle(result, edges, cells, idle)
+
+
+def blocks_of(points: DataFrame, low, high, capacity: int = BLOCK_CELLS, id_col: str = "cell_id") -> DataFrame:
+    """(cell_id, block): cells (with x, y, z) in runs of about ``capacity`` along the space-filling curve."""
+    keyed = materialise(K.with_curve_key(points.select(id_col, "x", "y", "z"), low, high).select(id_col, "hi", "lo"), "keys")
+    parts = max(1, -(-points.count() // capacity))
+    return decomposed(keyed, F.col("hi"), F.col("lo"), F.lit(1), parts, "block").select(id_col, F.col("block").cast("int").alias("block"))
+
+
+def _swept_block(rows: pd.DataFrame, sent: pd.DataFrame, threshold: float, now: int) -> pd.DataFrame:
+    """What a block (its cells and edges) can sweep with the rates that other blocks have sent, and couldn't in the rounds before: a row
+    a cell, and a row for each rate that leaves the block."""
+    cells, edges = rows[~rows["edge"]].sort_values("cell_id"), rows[rows["edge"]]
+    ids = cells["cell_id"].to_numpy()
+    n = len(ids)
+    src, share = np.searchsorted(ids, edges["cell_id"].to_numpy()), edges["share"].to_numpy()
+    target = edges["target"].to_numpy()
+    inner = edges["to_block"].to_numpy() == rows["block"].iloc[0]
+    dst = np.where(inner, np.searchsorted(ids, target), -1)
+    order = np.argsort(src, kind="stable")
+    src, dst, share, target, inner, to_block = src[order], dst[order], share[order], target[order], inner[order], edges["to_block"].to_numpy()[order]
+    begin = np.searchsorted(src, np.arange(n + 1))
+    incoming, waiting = cells["incoming"].to_numpy(dtype=float).copy(), cells["waiting"].to_numpy(dtype=np.int64).copy()
+    own, passed, outgoing, done = cells["own"].to_numpy(dtype=float), np.exp(-cells["tau"].to_numpy(dtype=float)), np.zeros(n), np.full(n, -1)
+    sent = sent.sort_values(["round", "cell_id", "source_id"])
+    at, rate, when = np.searchsorted(ids, sent["cell_id"].to_numpy()), sent["rate"].to_numpy(dtype=float), sent["round"].to_numpy()
+    for stage in (0, 1):  # what was known in the rounds before first, then what is new
+        fresh = when < now if stage == 0 else when == now
+        np.add.at(incoming, at[fresh], rate[fresh])
+        np.subtract.at(waiting, at[fresh], 1)
+        if now == 0 and stage == 0:
+            continue
+        ready = np.flatnonzero((waiting == 0) & (done < 0))
+        while len(ready):
+            total = incoming[ready] + own[ready]
+            outgoing[ready] = np.where(total < threshold, 0.0, total * passed[ready])
+            done[ready] = stage
+            out = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in ready])
+            out = out[inner[out]]
+            np.add.at(incoming, dst[out], outgoing[src[out]] * share[out])
+            np.subtract.at(waiting, dst[out], 1)
+            touched = np.unique(dst[out])
+            ready = touched[(waiting[touched] == 0) & (done[touched] < 0)]
+    new = done == 1
+    leave = np.flatnonzero(~inner & new[src])
+    one = pd.DataFrame({"cell_id": ids[new], "incoming": incoming[new], "outgoing": outgoing[new], "to_block": np.int32(-1), "target": np.int64(0), "rate": 0.0})
+    two = pd.DataFrame({"cell_id": ids[src[leave]], "incoming": 0.0, "outgoing": 0.0, "to_block": to_block[leave].astype(np.int32), "target": target[leave], "rate": outgoing[src[leave]] * share[leave]})
+    return pd.concat([one, two], ignore_index=True)
+
+
+def _block_task(threshold: float, now: int):
+    def run(key, block, sent):
+        out = _swept_block(block, sent, threshold, now) if len(block) else pd.DataFrame(columns=["cell_id", "incoming", "outgoing", "to_block", "target", "rate"])
+        return out.assign(dir=np.int32(key[0]))[["dir", "cell_id", "incoming", "outgoing", "to_block", "target", "rate"]]
+
+    return run
+
+
+def sweep_blocks(cells: DataFrame, wind: DataFrame, dirs: DataFrame, blocks: DataFrame, threshold: float = 0.0, max_rounds: int = 100_000) -> DataFrame:
+    """The same by blocks (cell_id, block), each of which fits into a task: a round sweeps in every block what can be swept with what
+    other blocks have sent so far, and only rates across block boundaries are exchanged.
+
+    Cells and edges are written once, bucketed by direction and block, and read where they lie; a round reads the blocks that something
+    new was sent to. Nothing is carried over but the sent rates: a block repeats what it swept before, so a lost executor costs its
+    tasks only. Rounds are as many as the blocks that the longest chain of cells passes.
+    """
+    spark = cells.sparkSession
+    edges, cells, idle, state = _started(cells, wind)
+    at = materialise(blocks.select("cell_id", "block"), "blocks")
+    active = materialise(state.join(at, "cell_id"), "active")
+    known = active.select("dir", "cell_id", "block")
+    inside = edges.join(known, ["dir", "cell_id"]).join(known.select("dir", F.col("cell_id").alias("neighbour_id"), F.col("block").alias("to_block")), ["dir", "neighbour_id"])
+    cell = active.withColumns({"edge": F.lit(False), "target": F.lit(0).cast("long"), "to_block": F.lit(-1), "share": F.lit(0.0)})
+    edge = inside.withColumnRenamed("neighbour_id", "target").withColumns({"edge": F.lit(True), "waiting": F.lit(0).cast("long"), **{c: F.lit(0.0) for c in ("tau", "own", "incoming")}})
+    names = ["dir", "block", "edge", "cell_id", "tau", "own", "incoming", "waiting", "target", "to_block", "share"]
+    rows = cell.select(*names).unionByName(edge.select(*names))
+    n, table, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"sweep_blocks_{uuid.uuid4().hex}", scratch_path(spark, "swept")
+    rows.repartition(n, "dir", "block").write.format("parquet").bucketBy(n, "dir", "block").option("path", f"{path}/blocks").saveAsTable(table)
+    stored, left = spark.table(table), active.count()
+    total = left
+    sent_schema = "dir int, block int, cell_id long, source_id long, rate double, round int"
+    swept_schema = "dir int, cell_id long, incoming double, outgoing double, to_block int, target long, rate double"
+    try:
+        for now in range(max_rounds if left else 0):
+            sent = spark.read.schema(sent_schema).parquet(f"{path}/sent") if now else spark.createDataFrame([], sent_schema)
+            here = stored
+            if now:
+                called = sent.where(F.col("round") == now).select("dir", "block").distinct()
+                here, sent = stored.join(called, ["dir", "block"], "left_semi"), sent.join(called, ["dir", "block"], "left_semi")
+
+            out = here.groupBy("dir", "block").cogroup(sent.groupBy("dir", "block")).applyInPandas(_block_task(threshold, now), swept_schema)
+            out.write.parquet(f"{path}/out/round={now}")
+            out = spark.read.schema(swept_schema).parquet(f"{path}/out/round={now}")
+            fresh = out.where("to_block < 0").count()
+            left -= fresh
+            if not left:
+                break
+            if not fresh:
+                raise ValueError(f"{left} cells wait for each other: the grid has a cycle")
+            across = out.where("to_block >= 0").select("dir", F.col("to_block").alias("block"), F.col("target").alias("cell_id"), F.col("cell_id").alias("source_id"), "rate", F.lit(now + 1).alias("round"))
+            across.write.mode("append").parquet(f"{path}/sent")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if not total:
+        result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
+    else:
+        result = spark.read.schema(swept_schema).parquet(f"{path}/out").where("to_block < 0").select("dir", "cell_id", "incoming", "outgoing")
+    result = _with_idle(result, edges, cells, idle)
+    result._rounds = now + 1 if total else 0
+    return result
 
 
-def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float = 0.0, inflow: DataFrame | None = None, fixed: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
+def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float = 0.0, inflow: DataFrame | None = None, fixed: DataFrame | None = None, strategy: str | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(dir, cell_id, incoming, outgoing) for cells (cell_id, tau, source), FACES and directions.
 
     ``inflow`` (dir, cell_id, inflow) is what periodic neighbours sent in the sweep before. Rates below ``threshold`` end.
     ``fixed`` (dir, cell_id, fixed) lists cells that aren't swept now: they go on sending their rates and still receive.
+    ``blocks`` (cell_id, block) makes ``blocks`` the strategy, see ``sweep_blocks``.
     """
     n_dirs = dirs.count()
     state = cells.select("cell_id", "tau", (F.col("source") / n_dirs).alias("own")).crossJoin(F.broadcast(dirs.select("dir")))
@@ -140,6 +270,8 @@ def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float
     else:
         state = state.join(fixed, ["dir", "cell_id"], "left")
     wind = downwind(faces, dirs)
+    if blocks is not None:
+        return sweep_blocks(state, wind, dirs, blocks, threshold)
     if strategy is None:
         strategy = "grouped" if faces.count() <= GROUPED_FACES else "waves"
     return {"grouped": sweep_grouped, "waves": sweep_waves}[strategy](state, wind, dirs, threshold)

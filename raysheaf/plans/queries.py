@@ -678,4 +678,4 @@ def ids_within_part(spark, d):
     return T.stars(spark, d).select("source_id", (F.row_number().over(w) - 1).cast("long").alias("position"))
 
 
-from . import row_queries  # noqa: E402, F401  registers more queries
+from . import domain_queries, row_queries  # noqa: E402, F401  register more queries
