@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .rows import named, without
+from ..session import discard, materialise
+from .rows import likely, named, without
 
 SALTS = 8
 
@@ -59,14 +59,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _same_digest_other_text(copies: DataFrame, salts: int) -> DataFrame:
+    """(digest): those of rows (row, digest, text) that more than one text has. Texts are merged inside each task, by salt and globally."""
+    salted = copies.withColumn("salt", F.pmod(F.xxhash64("row.file", "row.at"), F.lit(salts)).cast("int")).groupBy("digest", "salt", "text").agg(F.count("*").alias("n"))
+    texts = salted.groupBy("digest", "text").agg(F.sum("n").alias("n"))
+    return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row of each distinct text, all its columns unchanged: the one with the largest id, of rows that repeat it one.
 
     Rows are told apart by their place, so an id with two texts loses neither; a row without an id gives way to any other.
+    Narrow rows of a digest and a place tell which rows may be copies. Only the texts of those are moved, and compared whole at every
+    stage; should a digest have two texts, its rows are grouped by text instead.
     """
     rows, row = named(docs, F.col(id_col).isNotNull(), F.col(id_col))
-    gone = exact_groups(rows, row, text_col, salts).where("not kept").select("doc_id")
-    return without(rows, row, gone, docs.columns)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    narrow = materialise(rows.select(F.col(row).alias("row"), digest.alias("digest")), "digests")
+    groups = narrow.groupBy("digest").agg(F.max("row").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialise(groups, "groups")  # so that both sides of the join come from a shuffle and a hot digest can be split
+    members = materialise(narrow.join(groups.hint("merge"), "digest"), "members")
+    discard(narrow)
+    marked, perhaps = likely(rows, row, members.select("row"))
+    copies = marked.where(perhaps).select(F.col(row).alias("row"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    clash = materialise(_same_digest_other_text(copies, salts), "clash")
+    gone = members.where("row <> keep").select("row", "digest")
+    if not clash.isEmpty():
+        by_text = exact_groups(copies.join(clash, "digest", "left_semi"), "row", "text", salts).where("not kept").select(F.col("doc_id").alias("row"))
+        return without(rows, row, gone.join(clash, "digest", "left_anti").select("row").unionByName(by_text), docs.columns)
+    return without(rows, row, gone.select("row"), docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -69,11 +69,11 @@ def likely(docs: DataFrame, row: str, wanted: DataFrame) -> tuple[DataFrame, Col
 
 def without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The ``columns`` of those rows of ``docs`` whose ``row`` isn't in ``gone`` (one column); joined by place alone. Rows that
-    the bitmap of ``gone`` tells to stay aren't moved."""
+    the bitmap of ``gone`` tells to stay aren't moved. They are joined by merging at every size, as a large table is."""
     gone = materialise(gone, "gone")
     marked, perhaps = likely(docs, row, gone)
     file, at = unused(marked, "__file"), unused(marked, "__at")
     gone = gone.toDF("row").select(F.col("row.file").alias(file), F.col("row.at").alias(at))
     some = marked.where(perhaps)
     same = (some[row]["file"] == gone[file]) & (some[row]["at"] == gone[at])
-    return marked.where(~perhaps).select(*columns).unionByName(some.join(gone, same, "left_anti").select(*columns))
+    return marked.where(~perhaps).select(*columns).unionByName(some.hint("merge").join(gone, same, "left_anti").select(*columns))

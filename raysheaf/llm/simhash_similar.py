@@ -257,10 +257,10 @@ def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(ends.join(firsts, "node").select("node", F.col("row").alias("first")), "ends")
     marked, perhaps = likely(docs, "row", wanted.select("first"))
-    texts = marked.where(perhaps).join(wanted, F.col("row") == F.col("first")).select("node", "text")
+    texts = marked.where(perhaps).hint("merge").join(wanted, F.col("row") == F.col("first")).select("node", "text")
     sets = materialise(_shingle_sets(texts, shingle), "shingles")
     release_shuffles(docs.sparkSession)
-    both = edges.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+    both = edges.hint("merge").join(sets.toDF("a", "one"), "a").hint("merge").join(sets.toDF("b", "two"), "b")  # as at a large size
 
     def run(batches):
         for batch in batches:
@@ -281,7 +281,7 @@ def verified(edges: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int,
 def possible(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose sets can have that similarity by the sketches and sizes of ``nodes`` (node, size, sketch)."""
     sketches = nodes.select("node", "size", "sketch")
-    both = edges.join(sketches.toDF("a", "n", "one"), "a").join(sketches.toDF("b", "m", "two"), "b")
+    both = edges.hint("merge").join(sketches.toDF("a", "n", "one"), "a").hint("merge").join(sketches.toDF("b", "m", "two"), "b")
 
     def run(batches):
         for batch in batches:

@@ -622,6 +622,8 @@ def test_exact_content_decides_when_digests_clash(spark, monkeypatch):
     rows = [(1, "ax"), (2, "ay"), (3, "ax"), (4, "b"), (5, "ay"), (6, "")]
     out = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: (3, 2), 3: (3, 2), 2: (5, 2), 5: (5, 2), 4: (4, 1), 6: (6, 1)}
+    kept = exact_dedup.drop_copies(spark.createDataFrame([*rows, (7, "b"), (7, "b")], "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, "ax"), (5, "ay"), (6, ""), (7, "b")]
 
 
 # ---- 8
