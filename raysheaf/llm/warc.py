@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import lean, materialise, scratch_path
 
@@ -37,6 +38,7 @@ RANGE_ROWS = 200_000  # rows of a range of the index, about
 MEMORY_ROWS = 500_000  # rows that a merging task holds at once
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: RFC 4648
 EPOCH = 1_704_067_200  # 2024-01-01, the date of page 0
+SPAN = 100 * 31_557_600  # seconds after that in which pages without a date are dated
 INDEX = (
     "page_id long, url_key string, ts string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
     "file string, offset long, length long"
@@ -66,14 +68,29 @@ def url_key(url: str) -> str:
     return f"{host}){parts.path.lower() or '/'}" + (f"?{parts.query.lower()}" if parts.query else "")
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
+def _dated(page_id: Column, date: Column | None) -> Column:
+    """A WARC date, always of the same width: years have four digits."""
+    own = F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(page_id.cast("long"), F.lit(0)), F.lit(SPAN)))
+    if date is not None:
+        first, last = (F.timestamp_seconds(F.lit(s)) for s in (-30_610_224_000, 253_402_300_799))  # of the years 1000 and 9999
+        own = F.coalesce(F.least(F.greatest(date.cast("timestamp"), first), last), own)
+    return F.date_format(own, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def records(pages: DataFrame, least: int = 0, date_col: str | None = None) -> DataFrame:
     """One row per page: page_id, record (header and payload; the blank lines that follow are added on writing).
 
+    A page_id is a whole number, any of 64 bits; other types are an error. A page's date is that of ``date_col`` (between the years 1000 and
+    9999), or where there is none one that follows from its id: so many seconds after an epoch, starting again after ``SPAN``.
+
     Of equal payloads of at least ``least`` bytes the smallest page_id is a response and the others are revisits of it, without
     a body; smaller payloads are responses. Equal payloads are grouped by SHA-256, SHA-1 and length. Null html is empty, a null
     URL is ``urn:x-page:`` and the id. Rows that repeat a page_id and its html are responses each.
     """
-    body = pages.select("page_id", F.coalesce("url", F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise ValueError("a page_id has to be a whole number")
+    date = _dated(F.col("page_id"), F.col(date_col) if date_col else None)
+    body = pages.select(date.alias("stamp"), "page_id", F.coalesce("url", F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     sized = body.withColumns({"bytes": F.octet_length("html").cast("long"), "sha1": F.sha1(F.encode("html", "UTF-8")), "sha256": F.unhex(F.sha2("html", 256))})
     seen = sized.where(F.col("bytes") >= least).groupBy("sha256", "sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     seen = seen.where("n > 1").select(F.col("sha256").alias("d256"), F.col("sha1").alias("d1"), F.col("bytes").alias("d_bytes"), "first")
@@ -81,13 +98,12 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     marked = sized.join(seen, (F.col("sha256") == F.col("d256")) & (F.col("sha1") == F.col("d1")) & (F.col("bytes") == F.col("d_bytes")), "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     uri = F.regexp_replace("url", "[\\r\\n]+", " ")
-    stamp = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.concat(F.lit("WARC-Date: "), stamp),
+        F.concat(F.lit("WARC-Date: "), F.col("stamp")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
         F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:x-page:"), F.col("first").cast("string"), F.lit(">"))),
         F.when(again, F.concat(F.lit("WARC-Refers-To-Payload-Length: "), F.col("bytes").cast("string"))),
@@ -104,10 +120,10 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> str:
+def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES, date_col: str | None = None) -> str:
     """Write ``records`` to gzipped WARC files below ``path``, and the table ``manifest`` of them; returns ``path``."""
     spark = pages.sparkSession
-    rows = records(pages, least).select("record")
+    rows = records(pages, least, date_col).select("record")
 
     def run(batches):
         store, folder = _store(path)
@@ -368,14 +384,14 @@ def merge_index(runs: DataFrame, n_rows: int, range_rows: int = RANGE_ROWS) -> D
     return runs.repartitionByRange(ranges, "url_key", "ts", "page_id", "file", "offset").mapInArrow(lean(run), INDEX)
 
 
-def capture_histories(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
+def capture_histories(pages: DataFrame, path: str, least: int = 0, date_col: str | None = None) -> DataFrame:
     """Write the archives of ``pages`` to ``path``, read them back, and return their index in global order.
 
     An empty table gives an empty index. Rows that repeat a page are captures of their own; a null page_id gives way to any other
     and stays null. Columns other than page_id, url and html are ignored.
     """
     spark = pages.sparkSession
-    write_archives(pages, path, least)
+    write_archives(pages, path, least, date_col=date_col)
     n_rows = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest").agg(F.sum("records")).first()[0] or 0
     return merge_index(materialise(read_runs(spark, path), "captures"), n_rows)
 

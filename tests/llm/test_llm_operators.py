@@ -324,6 +324,23 @@ def test_warc_repeated_pages_and_null_ids(spark, tmp_path):
     assert out == sorted([(5, "response", -1), (5, "response", -1), (-1, "revisit", 5), (-1, "revisit", 7), (7, "response", -1), (5, "response", -1)])
 
 
+def test_warc_ids_of_any_size_and_dates(spark, tmp_path):
+    from datetime import datetime
+
+    ids = [1 << 62, (1 << 63) - 1, -(1 << 63), -5, 0, 10**12, None, 7, 250_000_000_000]
+    rows = [(i, "http://a.org/x", f"page {n}") for n, i in enumerate(ids)]
+    out = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a")).collect()
+    assert {r.page_id for r in out} == set(ids) and {len(r.ts) for r in out} == {14}
+    stamps = [r.ts for r in sorted(out, key=lambda r: r.ts)]
+    assert [r.ts for r in out] == stamps and stamps == sorted(stamps, key=lambda s: datetime.strptime(s, "%Y%m%d%H%M%S"))
+    dated = spark.createDataFrame([(i, "http://a.org/x", "", d) for i, d in ((1, "2031-05-06 07:08:09"), (2, "0001-01-01 00:00:00"), (3, None))], "page_id long, url string, html string, at string")
+    dated = dated.withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.page_id: r.ts for r in warc.capture_histories(dated, str(tmp_path / "b"), date_col="at").collect()}
+    assert got[1] == "20310506070809" and got[2] == "10000101000000" and len(got[3]) == 14
+    with pytest.raises(ValueError, match="whole number"):
+        warc.records(spark.createDataFrame([("p", "u", "h")], "page_id string, url string, html string"))
+
+
 def test_warc_least_and_empty(spark, tmp_path):
     rows, df = pages(spark)
     out = {r.page_id: r.record_type for r in warc.capture_histories(df, str(tmp_path / "a"), least=1000).collect()}
