@@ -1,4 +1,5 @@
-"""Registered queries on decomposition by load, space-filling keys, adaptive trees, neighbour joins, block sweeps, cycles and rings."""
+"""Registered queries on decomposition by load, space-filling keys, adaptive trees, neighbour joins, block sweeps, cycles and rings,
+reading by regions, committed steps and timelines."""
 
 from __future__ import annotations
 
@@ -9,8 +10,11 @@ from ..functions import geometry as G
 from ..functions import keys as K
 from ..operators import decomposition as D
 from ..operators import graph, neighbours, sweep, tree
-from ..session import materialise
+from ..session import materialise, scratch_path
+from ..sources import committed, regions
 from ..sources import tables as T
+from ..streaming import timeline
+from ..streaming.metrics import run_available, stream_of
 from .queries import _WAVES, C_SQL, P_SQL, S_SQL, _diagonal, query, r
 
 # ---- decomposition by load
@@ -201,3 +205,54 @@ def ring_order(spark, d):
 def ring_areas(spark, d):
     corners = T.table(spark, d, "part").select(F.col("p_partkey").alias("item"), (F.col("p_partkey") * 37 % 101).cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
     return graph.ring_areas(_rings(spark, d), corners).withColumn("area", r(F.col("area"), 6))
+
+
+# ---- regions, committed steps, timelines
+
+
+def _region_sql(table: str, key: str) -> str:
+    return f"""SELECT '{table}' AS name, least(row // (n // 5), 4) AS region, count(*) AS n, min(row) AS first, max(row) AS last, sum(key)::BIGINT AS keys
+FROM (SELECT {key} AS key, row_number() OVER (ORDER BY {key}) - 1 AS row, count(*) OVER () AS n FROM {table}) GROUP BY 2"""
+
+
+@query(f"{_region_sql('customer', 'c_custkey')} UNION ALL {_region_sql('orders', 'o_orderkey')}")
+def rows_by_region(spark, d):
+    """Which rows each of five readers gets of whole tables."""
+    out = None
+    for table, key in (("customer", "c_custkey"), ("orders", "o_orderkey")):
+        rows = regions.read_in_regions(spark, [f"{d}/{table}.parquet"], 5, [key])
+        one = rows.groupBy(F.lit(table).alias("name"), "region").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"), F.sum(key).alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT (dayofmonth(ts) // 8)::BIGINT AS step, 'events' AS name, event_id AS id, value FROM events
+UNION ALL SELECT step, 'totals', n, total FROM (SELECT (dayofmonth(ts) // 8)::BIGINT AS step, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1)""")
+def committed_steps(spark, d):
+    """Two tables a step, committed together; each step is written twice, which changes nothing."""
+    path = scratch_path(spark, "steps")
+    e = T.table(spark, d, "events").select("event_id", "value", F.floor(F.dayofmonth("ts") / 8).alias("step"))
+    for step in [r.step for r in e.select("step").distinct().collect()]:  # five at most
+        own = e.where(F.col("step") == step).select(F.col("event_id").alias("id"), "value")
+        totals = own.agg(F.count("*").alias("id"), r(F.sum("value"), 6).alias("value"))
+        for _ in range(2):
+            committed.write_step(path, step, {"events": own, "totals": totals})
+    both = [committed.read_steps(spark, path, name).select("step", F.lit(name).alias("name"), "id", "value") for name in ("events", "totals")]
+    return both[0].unionByName(both[1])
+
+
+@query("""WITH e AS (SELECT user_id AS entity, epoch_ms(ts) AS ms, value FROM events), s AS (SELECT entity, ms // 86400000 AS day, arg_max(value, (ms, value)) AS value, count(*) AS n FROM e GROUP BY 1, 2),
+c AS (SELECT entity, min(ms) AS ms FROM e WHERE value > 50 GROUP BY 1)
+SELECT entity, 'snapshot' AS kind, (day + 1) * 86400000 AS time_ms, value, n FROM s UNION ALL SELECT entity, 'crossing', ms, NULL, 1 FROM c""")
+def streamed_timelines(spark, d):
+    """Daily snapshots and first crossings of every user, from a stream that is restarted between its parts."""
+    timeline.use_timers(spark)
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("stream", "timelines", "checkpoint"))
+    events = T.table(spark, d, "events").select("user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    parts = [events.where(F.least(F.floor(F.dayofmonth("ts") / 11), F.lit(2)) == part) for part in range(3)]
+    for rows in (*parts, timeline.flush_row(events, "user_id", "ts")):
+        rows.write.mode("append").parquet(path)
+        states = stream_of(spark, path, events.schema, 1_000)
+        run_available(timeline.timeline(states, "user_id", "ts", "value", 86_400_000, 50.0), lambda batch, n: batch.write.mode("append").parquet(out), checkpoint)
+    found = spark.read.parquet(out)
+    return found.withColumn("value", F.when(F.col("kind") == "snapshot", F.col("value")))

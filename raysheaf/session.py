@@ -25,6 +25,7 @@ def make_session(app: str = "raysheaf", master: str = "local[*]", **conf: str) -
         .master(master)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
