@@ -10,6 +10,9 @@ The models count every eligible document; counts leave a task as one histogram p
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,15 +27,53 @@ UNIT = 6  # words
 PENALTY = 4.0
 ROUNDS, MORE = 15, 6  # of EM at first and after a language was dropped
 BATCH_BYTES = 2 << 20
+BLOCK = 1 << 19  # characters of a text that are worked on at once
 UNDETERMINED = "und"
 #: Everything in ASCII but letters parts words.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def _normal(text: str) -> np.ndarray:
-    """Bytes of the lower-cased words, single spaces between and before them."""
-    words = text.lower().encode().translate(_LETTERS).split()
-    return np.frombuffer(b" " + b" ".join(words) + b"  ", np.uint8)  # two spaces: one letter makes a run too
+_SPACE = re.compile(r"[\x09-\x0d\x20]")
+
+
+def _normal(text: str) -> Iterator[np.ndarray]:
+    """Bytes of the lower-cased words, single spaces between and before them, in overlapping blocks: each begins with the last
+    ``GRAM - 1`` bytes of the one before, so that every run of ``GRAM`` bytes is in one of them. A text of any length is read in blocks of
+    ``BLOCK`` characters or what it takes to reach an ASCII white space."""
+    held, begin = b"", 0
+    while begin < len(text) or not begin:
+        cut = _SPACE.search(text, begin + BLOCK)
+        end = cut.start() if cut else len(text)
+        words = text[begin:end].lower().encode().translate(_LETTERS).split()
+        last = end == len(text)
+        if words or last:
+            held += (b" " + b" ".join(words) if words or not held else b"") + (b"  " if last else b"")  # two spaces: one letter makes a run too
+            yield np.frombuffer(held, np.uint8)
+            held = held[1 - GRAM :]
+        if last:
+            return
+        begin = end
+
+
+def unit_logs(text: str, logs: np.ndarray) -> np.ndarray:
+    """The log likelihood by language of each run of ``UNIT`` words, block by block; no rows for a text without byte runs."""
+    sums, spaces, open_unit = [], 0, -1
+    for raw in _normal(text):
+        found = grams(raw)
+        if not len(found):
+            continue
+        before = np.cumsum(raw == 0x20)
+        unit = (spaces + before[: len(found)] - 1) // UNIT
+        spaces += int(before[len(found) - 1])
+        first = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1])
+        part = np.add.reduceat(logs[found], first, axis=0)
+        if unit[0] == open_unit:  # the unit that the block before ended in goes on
+            sums[-1][-1] += part[0]
+            part = part[1:]
+        if len(part):
+            sums.append(part)
+        open_unit = unit[-1]
+    return np.concatenate(sums) if sums else np.zeros((0, logs.shape[1]), dtype=logs.dtype)
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
@@ -65,11 +106,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
         for part, texts in _batches(batches, 1):
             for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 counts = found.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-                buckets = grams(_normal(text))
-                if len(buckets) < 2048:
-                    np.add.at(counts, buckets, 1)
-                else:
-                    counts += np.bincount(buckets, minlength=1 << BITS)
+                for buckets in map(grams, _normal(text)):
+                    if len(buckets) < 2048:
+                        np.add.at(counts, buckets, 1)
+                    else:
+                        counts += np.bincount(buckets, minlength=1 << BITS)
         for lang, counts in found.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], names=["lang", "bucket", "n"])
@@ -103,28 +144,19 @@ def mixtures(texts: list[str], logs: np.ndarray, penalty: float = PENALTY) -> np
     """Language shares of each text (rows of zeros: no letters)."""
     n_langs = logs.shape[1]
     out = np.zeros((len(texts), n_langs))
-    buckets, unit_of, units = [], [], []
-    which, at = [], 0
+    units, which, rows = [], [], []
     for i, text in enumerate(texts):
-        raw = _normal(text)
-        found = grams(raw)
-        if not len(found) or not any(c.isalpha() for c in text):
-            continue
-        unit = (np.cumsum(raw == 0x20) - 1)[: len(found)] // UNIT
-        n = int(unit[-1]) + 1
-        buckets.append(found)
-        unit_of.append(unit + at)
-        units.append(n)
-        which.append(i)
-        at += n
+        found = unit_logs(text, logs)
+        if len(found) and any(c.isalpha() for c in text):
+            rows.append(found)
+            units.append(len(found))
+            which.append(i)
     if not which or not n_langs:
         return out
     units = np.array(units)
     begins = np.cumsum(units) - units
     doc = np.repeat(np.arange(len(units)), units)
-    gram_unit = np.concatenate(unit_of)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(gram_unit)) + 1])
-    log_unit = np.add.reduceat(logs[np.concatenate(buckets)], first, axis=0).astype(np.float64) / GRAM  # runs overlap
+    log_unit = np.concatenate(rows).astype(np.float64) / GRAM  # runs overlap
     likelihood = np.exp(log_unit - log_unit.max(1, keepdims=True))
     allowed = np.ones((len(units), n_langs))
     shares, fit_log = _em(likelihood, allowed / n_langs, allowed, begins, doc, units, ROUNDS)

@@ -6,8 +6,11 @@ import gzip
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -780,6 +783,71 @@ def test_language_mixtures(spark):
     assert mixed[1].max() > 0.9 and not mixed[2].any() and not mixed[3].any() and mixed[4].sum() == pytest.approx(1)
 
 
+def plain_mixture(text, logs, penalty):
+    """EM over units of words and the choice of languages, one text at a time and without arrays of units."""
+    words = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).split()
+    raw = b" " + b" ".join(words) + b"  "
+    units, space = {}, -1
+    for i in range(len(raw) - 3):
+        space += raw[i] == 0x20
+        bucket = (int.from_bytes(raw[i : i + 4], "little") * 2654435761 & 0xFFFFFFFF) >> 18
+        row = units.setdefault(space // language_id.UNIT, np.zeros(logs.shape[1], dtype=np.float64))
+        row += logs[bucket]
+    lik = [np.exp((u - u.max()) / 4) for _, u in sorted(units.items())]
+
+    def em(shares, allowed, rounds):
+        for _ in range(rounds):
+            shares = sum(x * shares / (x * shares).sum() for x in lik) / len(lik) * allowed
+            shares = shares / shares.sum()
+        return shares, sum(np.log((x * shares).sum()) for x in lik)
+
+    allowed = np.ones(logs.shape[1])
+    shares, fit = em(allowed / len(allowed), allowed, language_id.ROUNDS)
+    while allowed.sum() > 1:
+        less = allowed.copy()
+        less[np.where(allowed > 0, shares, np.inf).argmin()] = 0
+        start = (shares + 1e-6) * less
+        tried, tried_fit = em(start / start.sum(), less, language_id.MORE)
+        if 2 * (fit - tried_fit) > penalty * np.log(len(lik) + 1.0):
+            break
+        allowed, shares, fit = less, tried, tried_fit
+    return shares
+
+
+def test_language_mixtures_equal_plain_em(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    langs, logs = language_id.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect() if r.text]
+    texts += [texts[1][:300] + " " + texts[2][:300], "Straße ΑΣ ΣΑΣ \u3000 x\u00a0y 12 \n É"]
+    for text, got in zip(texts, language_id.mixtures(texts, logs), strict=True):
+        assert got == pytest.approx(plain_mixture(text, logs, language_id.PENALTY), abs=1e-4)
+
+
+def test_long_texts_are_read_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    langs, logs = language_id.fit(docs)
+    texts = [r.text or "" for r in docs.limit(60).collect()] + ["", " ", "a", "ab c", "x" * 500, "12 \t 34", "ΑΣ ΣΑΣ. \u3000 x\u00a0y É " * 9]
+    whole = language_id.mixtures(texts, logs)
+    for block in (1, 2, 7, 100):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert [np.concatenate([language_id.grams(r) for r in language_id._normal(t)]).tolist() for t in texts] == [
+            language_id.grams(np.frombuffer(b" " + b" ".join(t.lower().encode().translate(language_id._LETTERS).split()) + b"  ", np.uint8)).tolist() for t in texts
+        ]
+        assert language_id.mixtures(texts, logs) == pytest.approx(whole, abs=1e-5)
+    code = """
+import resource, numpy as np
+from raysheaf.llm import language_id as L
+logs = np.log(np.random.default_rng(1).random((1 << L.BITS, 4))).astype(np.float32)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = "some words of a very long text " * 1_300_000
+L.mixtures([text], logs)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    took = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert int(took) < 500  # MB for a text of 40 MB
+
+
 def test_language_ignores_what_it_must(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     one = language_id.identify(docs)
