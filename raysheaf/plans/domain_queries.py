@@ -241,18 +241,18 @@ def committed_steps(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query("""WITH e AS (SELECT user_id AS entity, epoch_ms(ts) AS ms, value FROM events), s AS (SELECT entity, ms // 86400000 AS day, arg_max(value, (ms, value)) AS value, count(*) AS n FROM e GROUP BY 1, 2),
+@query("""WITH e AS (SELECT user_id AS entity, epoch_us(ts) // 1000 AS ms, value FROM events), s AS (SELECT entity, ms // 86400000 AS day, arg_max(value, (ms, value)) AS value, count(*) AS n FROM e GROUP BY 1, 2),
 c AS (SELECT entity, min(ms) AS ms FROM e WHERE value > 50 GROUP BY 1)
 SELECT entity, 'snapshot' AS kind, (day + 1) * 86400000 AS time_ms, value, n FROM s UNION ALL SELECT entity, 'crossing', ms, NULL, 1 FROM c""")
 def streamed_timelines(spark, d):
     """Daily snapshots and first crossings of every user, from a stream that is restarted between its parts."""
-    timeline.use_timers(spark)
     path, out, checkpoint = (scratch_path(spark, n) for n in ("stream", "timelines", "checkpoint"))
     events = T.table(spark, d, "events").select("user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
     parts = [events.where(F.least(F.floor(F.dayofmonth("ts") / 11), F.lit(2)) == part) for part in range(3)]
     for rows in (*parts, timeline.flush_row(events, "user_id", "ts")):
         rows.write.mode("append").parquet(path)
         states = stream_of(spark, path, events.schema, 1_000)
-        run_available(timeline.timeline(states, "user_id", "ts", "value", 86_400_000, 50.0), lambda batch, n: batch.write.mode("append").parquet(out), checkpoint)
+        with timeline.timers(spark):
+            run_available(timeline.timeline(states, "user_id", "ts", "value", 86_400_000, 50.0), lambda batch, n: batch.write.mode("append").parquet(out), checkpoint)
     found = spark.read.parquet(out)
     return found.withColumn("value", F.when(F.col("kind") == "snapshot", F.col("value")))

@@ -10,6 +10,7 @@ is later than any other, so all timers fire.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
@@ -91,6 +92,13 @@ def flush_row(states: DataFrame, entity: str, time: str) -> DataFrame:
     return row
 
 
-def use_timers(spark: SparkSession) -> None:
-    """Timers need the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Timers need the RocksDB state store: the session has it inside, and what it had before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -3,8 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
-
 from raysheaf.streaming import timeline as tl
 from raysheaf.streaming.metrics import run_available, stream_of
 
@@ -28,13 +26,13 @@ def plain(rows, interval, above):
 
 def run(spark, tmp_path, batches, interval, above, flush=True, **more):
     """Feed the batches, a restart after each, and read all that was put out."""
-    tl.use_timers(spark)
     path, out, offset = str(tmp_path / "in"), str(tmp_path / "out"), int(START.timestamp()) * 1000
     for i, rows in enumerate([*batches, None] if flush else batches):
         df = spark.createDataFrame(rows or [], SCHEMA)
         (df if rows is not None else tl.flush_row(df, "who", "at")).coalesce(1).write.mode("append").parquet(path)
         states = stream_of(spark, path, df.schema)
-        run_available(tl.timeline(states, "who", "at", "v", interval, above, **more), lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "checkpoint"))
+        with tl.timers(spark):
+            run_available(tl.timeline(states, "who", "at", "v", interval, above, **more), lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "checkpoint"))
     got = spark.read.parquet(out).collect()
     return sorted((r.entity, r.kind, r.time_ms - offset, r.value, r.n) for r in got)
 
@@ -62,8 +60,3 @@ def test_idle_entities_are_forgotten(spark, tmp_path):
     got = run(spark, tmp_path, batches, 10_000, 8.0, idle=3)
     assert [g[:4] for g in got if g[1] == "crossing"] == [(1, "crossing", 5_000, 9.0), (1, "crossing", 505_000, 9.5)]
 
-
-@pytest.fixture(autouse=True)
-def restore(spark):
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
