@@ -24,6 +24,7 @@ from ..session import lean, send
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 300  # documents that unknown paragraphs are drawn from: those with the smallest hashes of their ids
 SAMPLE_PARAGRAPHS = 2_000
+PARAGRAPH_BYTES = 1 << 14  # longer ones (of few but very long words) aren't drawn
 RENDERINGS = 60  # of each template
 SPAN = 48  # words; no template is longer
 CONFIRM = 0.5  # share of a template's word pairs that confirms a family
@@ -282,18 +283,36 @@ def train(unknown: list[list[bytes]], seed: int = 5, rounds: int = 150, l2: floa
 
 
 def unknown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[bytes]]:
-    """Paragraphs of a bounded sample of documents that hold no half of any template."""
-    rank = F.xxhash64(id_col)
-    known = docs.where(F.col(text_col).isNotNull())
-    last = known.select(rank.alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).agg(F.max("rank")).first()[0]  # only ranks are sorted
-    rows = [] if last is None else known.where(rank <= last).select(text_col).limit(SAMPLE_DOCS).collect()
-    model, out = Model(), []
-    for row in rows:
-        for words in _paragraphs(words_of(row[0])):
-            ids = model.ids(words).tolist()
-            if len(out) < SAMPLE_PARAGRAPHS and all(model.confirmation(f, ids) < CONFIRM / 2 for f in model.families):
-                out.append(words)
-    return out
+    """Paragraphs of a bounded sample of documents that hold no half of any template, in order of the hashes of ids and texts.
+
+    The ``SAMPLE_DOCS`` texts with the smallest hashes (of those of equal ids the smallest digests) are cut in tasks; at most
+    ``SAMPLE_PARAGRAPHS`` paragraphs of at most ``PARAGRAPH_BYTES`` bytes leave them, the same ones whatever the partitions are.
+    """
+    known = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("rank"), F.sha2(text_col, 256).alias("digest"), F.col(text_col).alias("text"))
+    last = known.select("rank", "digest").distinct().orderBy("rank", "digest").limit(SAMPLE_DOCS).agg(F.max(F.struct("rank", "digest"))).first()[0]
+    if last is None:
+        return []
+    sent = send(docs.sparkSession, Model())
+
+    def cut(batches):
+        model = sent()
+        for batch in batches:
+            for rank, digest, text in zip(*batch.columns, strict=True):
+                found = []
+                for nth, words in enumerate(_paragraphs(words_of(text.as_py()))):
+                    ids, size = model.ids(words).tolist(), sum(map(len, words))
+                    if size <= PARAGRAPH_BYTES and all(model.confirmation(f, ids) < CONFIRM / 2 for f in model.families):
+                        found.append((nth, b" ".join(words)))
+                    if len(found) == SAMPLE_PARAGRAPHS:
+                        break
+                n = len(found)
+                yield pa.RecordBatch.from_pydict(
+                    {"rank": pa.array([rank.as_py()] * n, pa.int64()), "digest": pa.array([digest.as_py()] * n, pa.string()), "nth": pa.array([i for i, _ in found], pa.int64()), "words": pa.array([w for _, w in found], pa.binary())}
+                )
+
+    within = (F.col("rank") < last["rank"]) | ((F.col("rank") == last["rank"]) & (F.col("digest") <= last["digest"]))
+    pieces = known.where(within).mapInArrow(lean(cut), "rank long, digest string, nth long, words binary").distinct()
+    return [bytes(r.words).split(b" ") for r in pieces.orderBy("rank", "digest", "nth").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,6 +131,77 @@ def test_license_scan_awkward(spark):
     assert license_scan.scan(none(spark), license_scan.train(license_scan.unknown_paragraphs(none(spark)), rounds=2)).count() == 0
 
 
+def plain_scores(model, text):
+    """(paragraph, family, probability, similarity) of each line of at most ``SPAN`` words, by counting its word runs one by one."""
+    names = {i: w for w, i in model.words.items()}
+    runs = {}
+    for at, code in enumerate(model.grams.tolist()):
+        parts = []
+        while True:
+            parts.append(code % model.n)
+            code = code // model.n - 1
+            if code < 0:
+                break
+        runs[tuple(names[p] for p in reversed(parts))] = at
+    out, lines = [], [line.split() for line in re.sub(rb"[^a-z0-9\x80-\xff\n]", b" ", text.lower().encode()).split(b"\n")]
+    for nth, words in enumerate(line for line in lines if line):
+        logits = model.bias.copy()
+        for size in (1, 2, 3):
+            for i in range(len(words) - size + 1):
+                if tuple(words[i : i + size]) in runs:
+                    logits = logits + model.weights[runs[tuple(words[i : i + size])]]
+        p = np.exp(logits / model.temperature)
+        p /= p.sum()
+        best = int(p[:-1].argmax())
+        pairs = set(zip(words, words[1:], strict=False))
+        alike = max(len(known & pairs) / len(known) for t in model.template_words[model.families[best]] if (known := set(zip(t, t[1:], strict=False))))
+        if p[best] >= model.threshold:
+            out.append((nth, model.families[best], p[best], alike))
+    return out
+
+
+def test_license_scores_equal_a_plain_scorer(spark):
+    model = license_scan.train([license_scan.words_of(t) for t in ("The cat sat on the mat.", "Version 3 of the report is here.")])
+    every = [t for texts in license_scan.TEMPLATES.values() for t in texts]
+    rng = random.Random(4)
+    words = " ".join(every).split() + ["and", "cat", "2021", "Zoë"]
+    texts = ["\n\n".join(" ".join((rng.choice(every).replace("#", "3") + " " + " ".join(rng.choices(words, k=4))).split()[:20]) for _ in range(6)) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in license_scan.scan(docs, model).collect():
+        got = sorted((m.paragraph, m.family, m.probability, m.similarity) for m in r.matches)
+        want = sorted(plain_scores(model, texts[r.doc_id]))
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2:] for g in got] == [pytest.approx(w[2:]) for w in want]
+        found += len(got)
+    assert found > 50
+
+
+def test_license_wording_that_is_in_no_template(spark):
+    """Held back from training and calibration: five of six paraphrases are confirmed as their family (the first of the GPL is taken
+    for the LGPL), ordinary prose isn't confirmed as any."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = license_scan.train(license_scan.unknown_paragraphs(docs))
+    said = {
+        "MIT": ["You may use this library under the MIT license.", "Distributed under the terms of the MIT License, see the file."],
+        "GPL": ["You can change it under the GNU General Public License as published, version 3 or later.", "This program is covered by the GNU General Public License version 2."],
+        "Apache-2.0": ["Licensed under the Apache License, Version 2.0 by Acme.", "You may get a copy of the Apache License, Version 2.0, at our site."],
+    }
+    plain = ["The licensed driver showed a copy of the report.", "Free of charge, she granted him permission to leave.", "Version 2.0 of the menu is without sugar.", "The public general was apache and free."]
+    rows = [(f, t) for f, texts in said.items() for t in texts] + [("", t) for t in plain]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: {m.family for m in r.matches if m.confirmed} for r in license_scan.scan(docs, model).collect()}
+    assert not any(got[i] for i, (f, _) in enumerate(rows) if not f)
+    assert sum(got[i] == {f} for i, (f, _) in enumerate(rows) if f) >= 5
+
+
+def test_license_sample_is_the_same_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "SAMPLE_DOCS", 20)
+    docs = spark.createDataFrame([(None if i % 3 else i, f"line {i} of prose\nanother {i}") for i in range(60)], "doc_id long, text string")
+    one, two = (license_scan.unknown_paragraphs(d) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two and len(one) == 40
+
+
 def test_license_terms_held_back():
     model = license_scan.train([])
     texts, classes = license_scan._renderings(model, np.random.default_rng(99))
