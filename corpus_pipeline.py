@@ -36,11 +36,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per row: doc_id, n_tokens, ids, and decoded_sha256, the digest of the bytes that the ids decode to."""
+    """One row per row: doc_id, n_tokens, ids, and decoded_sha256, the digest of the bytes that the ids decode to. Ids are written
+    before they are decoded, so that a task has one Python worker at a time."""
     import public_tokenizers as public
 
     path = public.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, public.PATTERN), path)
+    decoded = byte_bpe.decode(materialise(byte_bpe.encode(docs, path, public.PATTERN), "ids"), path)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
