@@ -181,6 +181,16 @@ def key_midpoint(a: int, b: int) -> int:
     return a // 2 + b // 2
 
 
+def midpoint(a: Column, b: Column) -> Column:
+    """The key between two keys, without overflow."""
+    return F.shiftright(a, 1) + F.shiftright(b, 1)
+
+
+def successor(key: Column, bits: int) -> Column:
+    """The next key; the last one of ``bits`` bits is its own."""
+    return F.least(key + 1, F.lit((1 << bits) - 1))
+
+
 def key_successor(key: int, bits: int = 3 * BITS_3D) -> int:
     return min(key + 1, (1 << bits) - 1)
 

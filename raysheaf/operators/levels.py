@@ -55,3 +55,15 @@ def schedule_frame(spark: SparkSession, n_levels: int, floor: int = 0) -> DataFr
 def lowest_allowed(n_levels: int, round_: int) -> int:
     """The lowest level of a round: the first two rounds have the highest level only, each later round one more."""
     return max(0, n_levels - max(1, round_))
+
+
+def lowest_at(n_levels: int, iteration: Column) -> Column:
+    """``lowest_allowed`` for a column of iterations."""
+    return F.greatest(F.lit(0), F.lit(n_levels) - F.greatest(F.lit(1), iteration)).cast("int")
+
+
+def level_at(n_levels: int, iteration: Column) -> Column:
+    """The lowest level that is active in an iteration of the hierarchical scheme: all levels in the first one, then as many as the
+    iteration's number can be halved."""
+    halved = F.bit_count(F.bitwise_not(iteration).bitwiseAND(iteration - 1))
+    return (n_levels - 1 - F.when(iteration == 0, n_levels - 1).otherwise(F.least(halved, F.lit(n_levels - 1)))).cast("int")

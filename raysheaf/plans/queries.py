@@ -56,9 +56,14 @@ def column_zip_by_index(spark, d):
     return scan.zip_by_index(left, right, "p_partkey", "s_suppkey")
 
 
-@query("SELECT i AS chunk, 30 + 100 * i AS chunk_start, least(130 + 100 * i, 420) AS chunk_end FROM range(4) t(i)")
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_totalprice FROM orders)
+SELECT row // 400 AS chunk, row // 400 * 400 AS chunk_start, least(row // 400 * 400 + 400, any_value(n)) AS chunk_end, count(*) AS n, round(sum(o_totalprice), 3) AS total FROM r, n GROUP BY 1""")
 def chunk_bounds(spark, d):
-    return scan.chunk_bounds(spark, 30, 420, 100)
+    """Orders in chunks of 400 rows: the chunks' bounds and what lies in them."""
+    orders = scan.with_row_index(T.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    chunks = scan.chunk_bounds(spark, 0, orders.count(), 400)
+    held = orders.groupBy(F.floor(F.col("row_index") / 400).alias("chunk")).agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 3).alias("total"))
+    return chunks.join(held, "chunk")
 
 
 @query(f"WITH {P_SQL} SELECT count(*) AS n, count(DISTINCT particle_id) AS ids FROM particles")
@@ -134,9 +139,13 @@ def point_to_box_distance(spark, d):
     return T.particles(spark, d).select("particle_id", r(G.distance_to_box_squared(point, low, high)).alias("d2"), G.inside(point, low, high).alias("inside"))
 
 
-@query("SELECT n & 1 AS cx, (n >> 1) & 1 AS cy, (n >> 2) & 1 AS cz FROM range(8) t(n)")
+@query(f"""WITH {P_SQL}, b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM particles)
+SELECT CASE WHEN n & 1 = 0 THEN ax ELSE bx END AS cx, CASE WHEN n & 2 = 0 THEN ay ELSE by_ END AS cy, CASE WHEN n & 4 = 0 THEN az ELSE bz END AS cz FROM range(8) t(n), b""")
 def box_corners(spark, d):
-    return spark.createDataFrame([tuple(map(int, c)) for c in G.corners((0, 0, 0), (1, 1, 1))], "cx long, cy long, cz long")
+    """The corners of the box around all particles."""
+    box = spatial.bounding_box(T.particles(spark, d)).first()  # one row
+    low, high = (tuple(box[f"{k}_{a}"] for a in "xyz") for k in ("min", "max"))
+    return spark.createDataFrame([tuple(map(float, c)) for c in G.corners(low, high)], "cx double, cy double, cz double")
 
 
 # ---- adjacency from edges
@@ -379,9 +388,11 @@ def active_per_level(spark, d):
     return levels.active_per_level(o, T.N_LEVELS)
 
 
-@query("SELECT i, (4 - CASE WHEN i = 0 THEN 4 ELSE bit_count((i & -i) - 1) END)::INT AS level FROM range(16) t(i)")
+@query("SELECT c_custkey % 16 AS i, (4 - CASE WHEN c_custkey % 16 = 0 THEN 4 ELSE bit_count((c_custkey % 16 & -(c_custkey % 16)) - 1) END)::INT AS level, count(*) AS n FROM customer GROUP BY ALL")
 def level_schedule(spark, d):
-    return levels.schedule_frame(spark, 5)
+    """The level at which each iteration runs, and how many customers are served in it."""
+    i = (F.col("c_custkey") % 16).alias("i")
+    return T.table(spark, d, "customer").groupBy(i).agg(F.count("*").alias("n")).select("i", levels.level_at(5, F.col("i")).alias("level"), "n")
 
 
 @query(f"""WITH {C_SQL}, {_FACE_SQL}, l AS (SELECT cell_id, (cell_id * 7 % 5)::INT AS level FROM cells)

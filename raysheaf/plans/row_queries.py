@@ -237,10 +237,19 @@ def box_measures(spark, d):
     )
 
 
-@query("""SELECT n::INT AS octant, (n & 1) * 1.0::DOUBLE AS lx, ((n >> 1) & 1) * 2.0::DOUBLE AS ly, ((n >> 2) & 1) * 3.0::DOUBLE AS lz, 1.0::DOUBLE + (n & 1) AS hx, 2.0::DOUBLE + 2 * ((n >> 1) & 1) AS hy, 3.0::DOUBLE + 3 * ((n >> 2) & 1) AS hz FROM range(8) t(n)""")
+@query(f"""WITH {P_SQL}, b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM particles),
+o AS (SELECT p.*, b.*, (CASE WHEN x < (ax + bx) / 2 THEN 0 ELSE 1 END + CASE WHEN y < (ay + by_) / 2 THEN 0 ELSE 2 END + CASE WHEN z < (az + bz) / 2 THEN 0 ELSE 4 END)::INT AS octant FROM particles p, b)
+SELECT octant, count(*) AS n, CASE WHEN octant & 1 = 0 THEN any_value(ax) ELSE any_value((ax + bx) / 2) END AS lx, CASE WHEN octant & 2 = 0 THEN any_value(ay) ELSE any_value((ay + by_) / 2) END AS ly,
+  CASE WHEN octant & 4 = 0 THEN any_value(az) ELSE any_value((az + bz) / 2) END AS lz FROM o GROUP BY 1""")
 def octant_boxes(spark, d):
-    rows = [(n, *low, *high) for n, (low, high) in enumerate(G.sub_boxes((0.0, 0.0, 0.0), (2.0, 4.0, 6.0)))]
-    return spark.createDataFrame(rows, "octant int, lx double, ly double, lz double, hx double, hy double, hz double")
+    """The octants of the box around all particles and how many lie in each."""
+    p = T.particles(spark, d)
+    box = spatial.bounding_box(p).first()  # one row
+    low, high = (tuple(box[f"{k}_{a}"] for a in "xyz") for k in ("min", "max"))
+    centre = [(a + b) / 2 for a, b in zip(low, high, strict=True)]
+    counts = p.groupBy(G.octant([F.col(a) for a in "xyz"], centre).alias("octant")).agg(F.count("*").alias("n"))
+    parts = spark.createDataFrame([(n, *map(float, one)) for n, (one, _) in enumerate(G.sub_boxes(low, high))], "octant int, lx double, ly double, lz double")
+    return counts.join(F.broadcast(parts), "octant")
 
 
 @query(f"WITH {S_SQL} SELECT source_id, round(x - 0.1, 9) AS lx, round(x + 0.1, 9) AS hx, round(z - 0.1, 9) AS lz, round(z + 0.1, 9) AS hz FROM stars")
@@ -278,10 +287,10 @@ def hilbert_inverse(spark, d):
     return points.mapInPandas(run, "p_partkey long, ix long, iy long")
 
 
-@query("SELECT n AS a, n * n AS b, n // 2 + n * n // 2 AS middle, least(n + 1, 7) AS successor FROM range(8) t(n)")
+@query("SELECT o_orderkey, o_orderkey // 2 + o_custkey // 2 AS middle, least(o_custkey + 1, 1023) AS successor FROM orders")
 def key_arithmetic(spark, d):
-    rows = [(n, n * n, K.key_midpoint(n, n * n), K.key_successor(n, 3)) for n in range(8)]
-    return spark.createDataFrame(rows, "a long, b long, middle long, successor long")
+    o = T.table(spark, d, "orders")
+    return o.select("o_orderkey", K.midpoint(F.col("o_orderkey"), F.col("o_custkey")).alias("middle"), K.successor(F.col("o_custkey"), 10).alias("successor"))
 
 
 @query(f"WITH {P_SQL} SELECT count(*) AS n, true AS in_order, 8 AS parts FROM particles")
@@ -298,10 +307,11 @@ def owner_of_pair(spark, d):
     return c.withColumn("part", spatial.owner_of_pair(F.col("hi"), F.col("lo"), [(1, 50), (7, 20)]))
 
 
-@query("SELECT i AS round, greatest(0, 5 - greatest(1, i))::INT AS lowest, greatest(greatest(0, 5 - greatest(1, i)), 2)::INT AS floored FROM range(7) t(i)")
+@query("SELECT round, greatest(0, 5 - greatest(1, round))::INT AS lowest, greatest(greatest(0, 5 - greatest(1, round)), 2)::INT AS floored, n FROM (SELECT event_id % 7 AS round, count(*) AS n FROM events GROUP BY 1)")
 def level_floors(spark, d):
-    rows = spark.createDataFrame([(i, levels.lowest_allowed(5, i)) for i in range(7)], "round long, lowest int")
-    return rows.withColumn("floored", levels.floored(F.col("lowest"), 2))
+    rows = T.table(spark, d, "events").groupBy((F.col("event_id") % 7).alias("round")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("lowest", levels.lowest_at(5, F.col("round")))
+    return rows.select("round", "lowest", levels.floored(F.col("lowest"), 2).alias("floored"), "n")
 
 
 _AFTER = f"((sinh((2 / (3 * sqrt(0.6911::DOUBLE)) * asinh(sqrt(0.6911 / 0.308983 * 0.2::DOUBLE ** 3)) / ({U.HUBBLE!r} * 0.6774) + s) * {U.HUBBLE!r} * 0.6774 * 1.5 * sqrt(0.6911::DOUBLE))) ** 2 / (0.6911 / 0.308983)) ** (1.0 / 3)"
