@@ -176,7 +176,8 @@ def mixtures(texts: list[str], logs: np.ndarray, penalty: float = PENALTY) -> np
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
     """Columns ``keep``, lang_pred, score (its share) and langs (map of the chosen set to shares).
 
-    Null text and text without letters are ``und`` with score 0, as is everything when no language was learned.
+    Null text and text without letters are ``und`` with score 0, as is everything when no language was learned. Of languages with equal
+    shares the first by name is predicted. A text is read in blocks, so what it takes grows with its units, not with its bytes.
     """
     sent = docs.sparkSession.sparkContext.broadcast((langs, logs))
     kept = docs.select(*keep).schema.fields
