@@ -109,6 +109,12 @@ class RegionReader(DataSourceReader):
                     first += group.num_rows
 
 
+class PlainRegionReader(RegionReader):
+    """Without pushdown: Spark tests all rows itself, and refuses a reader with pushdown in a session where it is off."""
+
+    pushFilters = DataSourceReader.pushFilters
+
+
 class RegionSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -118,13 +124,15 @@ class RegionSource(DataSource):
         return self.options["columns"]
 
     def reader(self, schema: StructType) -> RegionReader:
-        return RegionReader(schema, json.loads(self.options["files"]), [[tuple(p) for p in r] for r in json.loads(self.options["regions"])])
+        kind = RegionReader if self.options["pushdown"] == "true" else PlainRegionReader
+        return kind(schema, json.loads(self.options["files"]), [[tuple(p) for p in r] for r in json.loads(self.options["regions"])])
 
 
-def read_in_regions(spark: SparkSession, paths: Sequence[str], workers: int, columns: Sequence[str] | None = None) -> DataFrame:
+def read_in_regions(spark: SparkSession, paths: Sequence[str], workers: int, columns: Sequence[str] | None = None, pushdown: bool = False) -> DataFrame:
     """The rows of Parquet files (or folders of them, in order) with region, file and row: partition i holds region i, an even share in
-    file order; the last region takes the remainder. ``columns`` are read and no others; comparisons are pushed into the files where
-    ``spark.sql.python.filterPushdown.enabled`` is set. Files have to be on a file system that pyarrow opens; their rows are counted by a
+    file order; the last region takes the remainder. ``columns`` are read and no others. With ``pushdown`` comparisons are pushed into the
+    files; the session has to have ``spark.sql.python.filterPushdown.enabled`` then, and the result is for one query: Spark 4.1.2 keeps the
+    pushed tests with the relation, so another query of the same DataFrame would be filtered too. Files have to be on a file system that pyarrow opens; their rows are counted by a
     Spark job, and the plan has an entry for each file and region.
     """
     found = [f for p in paths for f in resolve_paths(spark, p)]
@@ -137,4 +145,4 @@ def read_in_regions(spark: SparkSession, paths: Sequence[str], workers: int, col
     wanted = [table.schema[c] for c in (columns if columns is not None else table.columns)]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted), PLACE])
     spark.dataSource.register(RegionSource)
-    return spark.read.format("row_regions").option("files", json.dumps(found)).option("regions", json.dumps(regions)).option("columns", ddl).load()
+    return spark.read.format("row_regions").option("pushdown", str(pushdown).lower()).option("files", json.dumps(found)).option("regions", json.dumps(regions)).option("columns", ddl).load()

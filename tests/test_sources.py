@@ -51,6 +51,21 @@ def test_regions_prune_columns_and_push_filters(spark, files, monkeypatch):
     assert regions.read_in_regions(spark, files, 2, []).count() == 73
 
 
+@pytest.mark.parametrize("pushdown", ["true", "false"])
+def test_regions_are_read_with_and_without_pushdown(spark, files, pushdown):
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, pushdown)
+    try:
+        df = regions.read_in_regions(spark, files, 3, ["id", "v"])
+        assert sorted(r.id for r in df.where("id >= 20 AND id < 30").collect()) == list(range(20, 30))
+        assert df.count() == 73  # a filter of one query doesn't stay for the next
+        if pushdown == "true":
+            assert regions.read_in_regions(spark, files, 3, ["id"], pushdown=True).where("id >= 60").count() == 13
+    finally:
+        spark.conf.set(name, before)
+
+
 def frame(spark, n, k=0):
     return spark.range(n).selectExpr("id", f"id * 2 + {k} AS v", "array(struct(id AS a, 'x' AS b)) AS deep").repartition(3)
 
