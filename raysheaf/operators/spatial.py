@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .decomposition import load_cuts
-from .neighbours import nearest_join
+from .neighbours import dealt, nearest_join
 
 AXES = ("x", "y", "z")
 
@@ -39,7 +39,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, sides: Sequenc
     """Pairs closer than ``radius`` (strictly): columns l_*, r_*, dist. Positions are in a box from 0; with ``sides`` it is periodic.
 
     Buckets are ``radius`` wide, so a point meets its own and its neighbours' bucket only. With a periodic box the buckets
-    wrap; a side has to hold three of them.
+    wrap; a side has to hold three of them. Crowded buckets are dealt out in blocks, see ``neighbours.dealt``.
     """
     names = [f"b{a}" for a in axes]
     if sides is None:
@@ -59,7 +59,9 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, sides: Sequenc
     rhs = rhs.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *names)
     a, b = [F.col(f"l_{x}") for x in axes], [F.col(f"r_{x}") for x in axes]
     dist = G.periodic_distance(a, b, sides) if sides else G.length([p - q for p, q in zip(a, b, strict=True)])
-    return lhs.join(rhs, names).withColumn("dist", dist).where(F.col("dist") < radius).drop(*names)
+    lhs, rhs = dealt(lhs, rhs, names)
+    keys = [*names, "__l", "__r"]
+    return lhs.hint("merge").join(rhs, keys).withColumn("dist", dist).where(F.col("dist") < radius).drop(*keys)
 
 
 def sum_at_nearest(sources: DataFrame, cells: DataFrame, source_id: str, cell_id: str, rate: str = "rate") -> DataFrame:
@@ -103,20 +105,22 @@ def imbalance(df: DataFrame, owner: str) -> DataFrame:
     return counts.agg(F.max("n").alias("max_load"), F.min("n").alias("min_load")).withColumn("imbalance", (F.col("max_load") - F.col("min_load")) / F.col("max_load"))
 
 
-def partition_boxes(df: DataFrame, owner: str, axes: Sequence[str] = AXES) -> DataFrame:
-    """A bounding box per part."""
-    return df.groupBy(owner).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
-
+def partition_boxes(df: DataFrame, owner: str, axes: Sequence[str] = AXES, **more: Column) -> DataFrame:
+    """A bounding box per part, and ``more`` aggregates of its rows."""
+    return df.groupBy(owner).agg(*(c.alias(n) for n, c in more.items()), *(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
 
 
 def periodic_haloes(points: DataFrame, radius: float, sides: Sequence[float], id_col: str, axes: Sequence[str] = AXES, provider: Callable = radius_join) -> DataFrame:
     """Pairs of a point and a periodic image, not the point itself, of another or the same one closer than ``radius``: l_*, r_*
     (with its wraps r_w<axis>) and dist. ``provider`` finds pairs, as ``radius_join`` does."""
-    wrapped = G.images(points.select(id_col, *axes), sides, axes)
-    moved = F.lit(False)
+    here = points.select(id_col, *axes)
+    box = bounding_box(here, axes).first()  # one row
+    wrapped, moved = G.images(here, sides, axes), F.lit(False)
     for a in axes:
         moved = moved | (F.col(f"w{a}") != 0)
-    return provider(points.select(id_col, *axes), wrapped.where(moved), radius, None, axes)
+        if box[f"min_{a}"] is not None:  # images farther from all points than the radius have no pair
+            wrapped = wrapped.where(F.col(a).between(box[f"min_{a}"] - radius, box[f"max_{a}"] + radius))
+    return provider(here, wrapped.where(moved), radius, None, axes)
 
 
 def wrapped_image(points: DataFrame, radius: float, sides: Sequence[float], id_col: str, axes: Sequence[str] = AXES) -> DataFrame:

@@ -269,10 +269,9 @@ def enclosing_simplex(spark, d):
 AND abs((a.x - b.x) - round(a.x - b.x)) <= 0.1 AND abs((a.y - b.y) - round(a.y - b.y)) <= 0.1 AND abs((a.z - b.z) - round(a.z - b.z)) <= 0.1""")
 def overlapping_boxes(spark, d):
     s = T.stars(spark, d).drop("rate")
-    one, two = s.toDF("a", "ax", "ay", "az"), s.toDF("b", "bx", "by", "bz")
-    test = spatial.boxes_may_meet([F.col(f"a{c}") for c in "xyz"], [F.col(f"b{c}") for c in "xyz"], [0.05] * 3, [0.05] * 3, [1.0] * 3)
-    near = spatial.radius_join(s, s, 0.18, (1.0, 1.0, 1.0)).select(F.col("l_source_id").alias("a"), F.col("r_source_id").alias("b"))
-    return near.where("a < b").join(one, "a").join(two, "b").where(test).select("a", "b")
+    test = spatial.boxes_may_meet([F.col(f"l_{c}") for c in "xyz"], [F.col(f"r_{c}") for c in "xyz"], [0.05] * 3, [0.05] * 3, [1.0] * 3)
+    near = spatial.radius_join(s, s, 0.18, (1.0, 1.0, 1.0)).where(F.col("l_source_id") < F.col("r_source_id"))
+    return near.where(test).select(F.col("l_source_id").alias("a"), F.col("r_source_id").alias("b"))
 
 
 @query("SELECT p_partkey, p_partkey % 30 AS ix, p_partkey // 30 % 30 AS iy FROM part")
