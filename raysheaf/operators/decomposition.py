@@ -12,11 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BINS = 256
+MOST_BINS = 1 << 17  # of all intervals of a round together: what a round sends to the driver
+BRANCHES = 64  # cuts that are compared in an expression; more are searched in the tasks
 
 
 class Cuts(NamedTuple):
@@ -52,7 +56,7 @@ def load_cuts(df: DataFrame, hi: Column, lo: Column, load: Column, parts: int, b
     total, bounds = int(whole["load"]), tuple(whole[f"b{i}"] for i in range(4))
     found: dict[int, tuple] = {}
     spans, rounds = [_Span(0, bounds, 0, list(range(1, parts)))], 1
-    first = _bin(*(F.lit(b) for b in bounds), bins)
+    first, first_bins = _bin(*(F.lit(b) for b in bounds), bins), bins
     kinds = [keyed.schema[c].dataType for c in ("hi", "hi", "lo", "lo")]
     table = T.StructType([T.StructField("top", T.IntegerType()), T.StructField("span", T.IntegerType()), *(T.StructField(f"s{i}", k) for i, k in enumerate(kinds))])
     while spans:
@@ -61,14 +65,17 @@ def load_cuts(df: DataFrame, hi: Column, lo: Column, load: Column, parts: int, b
         else:  # a row for each cut at most is sent to the tasks
             sent = keyed.sparkSession.createDataFrame([(s.top, i, *s.bounds) for i, s in enumerate(spans)], table)
             s0, s1, s2, s3 = (F.col(f"s{i}") for i in range(4))
+            bins = max(8, min(first_bins, MOST_BINS // len(spans)))
             within = F.col("hi").between(s0, s1) & ((s0 < s1) | F.col("lo").between(s2, s3))
             rows = keyed.withColumn("top", first).join(F.broadcast(sent), "top").where(within).select("span", _bin(s0, s1, s2, s3, bins).alias("bin"), "hi", "lo", "load")
         sums = rows.groupBy("span", "bin").agg(F.sum("load").alias("load"), *(c.alias(f"b{i}") for i, c in enumerate(ends))).collect()
         rounds += 1
-        following = []
+        following, of_span = [], [[] for _ in spans]
+        for row in sums:
+            of_span[row["span"]].append(row)
         for i, span in enumerate(spans):
             before, wanted = span.base, list(span.wanted)
-            for row in sorted((r for r in sums if r["span"] == i), key=lambda r: r["bin"]):
+            for row in sorted(of_span[i], key=lambda r: r["bin"]):
                 after = before + int(row["load"])
                 here = []
                 while wanted and (after * parts > wanted[0] * total if strict else after * parts >= wanted[0] * total):
@@ -84,7 +91,10 @@ def load_cuts(df: DataFrame, hi: Column, lo: Column, load: Column, parts: int, b
 
 
 def part_of(hi: Column, lo: Column, cuts: Sequence[tuple]) -> Column:
-    """The part of a key: how many cuts are not greater. A tree of comparisons, so a row meets as many as the logarithm of the cuts."""
+    """The part of a key: how many cuts are not greater. A tree of comparisons, so a row meets as many as the logarithm of the cuts; beyond
+    ``BRANCHES`` cuts the tree would make a plan that the driver can't hold, and they are searched with numpy."""
+    if len(cuts) > BRANCHES:
+        return _searched(hi, lo, cuts)
 
     def between(low: int, high: int) -> Column:
         if low == high:
@@ -96,6 +106,24 @@ def part_of(hi: Column, lo: Column, cuts: Sequence[tuple]) -> Column:
     return between(0, len(cuts))
 
 
+def _searched(hi: Column, lo: Column, cuts: Sequence[tuple]) -> Column:
+    highs, lows = (np.array([c[i] for c in cuts]) for i in range(2))
+
+    def search(hi: pd.Series, lo: pd.Series) -> pd.Series:
+        a, b = hi.to_numpy(), lo.to_numpy()
+        begin, end = np.searchsorted(highs, a, "left"), np.searchsorted(highs, a, "right")
+        while (open_ := begin < end).any():  # among cuts of the same hi
+            middle = np.where(open_, (begin + end) // 2, 0)
+            passed = open_ & (lows[middle] <= b)
+            begin = np.where(passed, middle + 1, begin)
+            end = np.where(open_ & ~passed, middle, end)
+        return pd.Series(begin.astype(np.int32))
+
+    known = hi.isNotNull() & lo.isNotNull()  # a null would turn whole numbers into doubles
+    a, b = (F.when(known, c).otherwise(F.lit(v)) for c, v in zip((hi, lo), cuts[0], strict=True))
+    return F.when(known, F.pandas_udf(search, "int")(a, b))
+
+
 def decomposed(df: DataFrame, hi: Column, lo: Column, load: Column, parts: int, name: str = "part") -> DataFrame:
     """``df`` with the part of each row; parts carry about equal loads and are ranges of the key. Rows without a key go to part 0."""
     cuts = load_cuts(df, hi, lo, load, parts).keys

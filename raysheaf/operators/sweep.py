@@ -4,9 +4,10 @@ A cell's outgoing rate is its incoming rate, a share of its source and what peri
 downwind faces by effective area. Directions don't interact within a sweep. Three strategies give the same rates:
 
 * ``grouped``: a direction's faces in one task, ordered in waves and swept with numpy. For grids that a worker holds.
-* ``waves``: one join and one aggregate a wave over all directions, state in written tables. For grids of any size.
 * ``blocks``: blocks of cells in a task each, rates across their boundaries exchanged in rounds. For grids of any size; rounds are as many
   as blocks in a row, not as cells.
+* ``waves``: the same where no blocks are given: they are ranges of cell ids, and waves run on inside of a range. For grids of any size;
+  ids that follow the grid (as those of a Cartesian one or along a curve) make few rounds, any others as many as waves at most.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from ..functions import units as U
 from ..session import discard, materialise, scratch_path
 from .decomposition import decomposed
 from .grid import downwind
+from .metrics import exclusive_prefix
 
 GROUPED_FACES = 4_000_000  # faces of a grid that one task holds: about 0.5 GB
 BLOCK_CELLS = 100_000  # cells of a block that one task sweeps
+MAX_BLOCKS = 64  # blocks that are swept one by one; more are put together in runs as far as they fit into a task
 STATE = "dir int, cell_id long, incoming double, outgoing double"
 
 
@@ -109,39 +112,6 @@ def _with_idle(result: DataFrame, edges: DataFrame, cells: DataFrame, idle: Data
     return result.unionByName(still.select("dir", "cell_id", (F.col("inflow") + F.coalesce("got", F.lit(0.0))).alias("incoming"), F.col("fixed").alias("outgoing")))
 
 
-def sweep_waves(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold: float = 0.0, max_waves: int = 100_000) -> DataFrame:
-    """The same in waves: a cell is swept when all its upwind neighbours are."""
-    edges, cells, idle, state = _started(cells, wind)
-    state, path = materialise(state, "wave"), scratch_path(cells.sparkSession, "swept")
-    left = active = state.count()
-    for wave in range(max_waves if left else 0):
-        ready = state.where("waiting = 0")
-        total = F.col("incoming") + F.col("own")
-        out = ready.select("dir", "cell_id", "incoming", F.when(total < threshold, 0.0).otherwise(total * F.exp(-F.col("tau"))).alias("outgoing"))
-        out.write.parquet(f"{path}/wave={wave}")  # all waves are one table in the end
-        out = cells.sparkSession.read.schema(out.schema).parquet(f"{path}/wave={wave}")
-        n = out.count()
-        if not n:
-            raise ValueError(f"{left} cells wait for each other: the grid has a cycle")
-        left -= n
-        if not left:
-            break
-        sent = out.join(edges, ["dir", "cell_id"]).groupBy("dir", F.col("neighbour_id").alias("cell_id"))
-        sent = sent.agg(F.sum(F.col("outgoing") * F.col("share")).alias("more"), F.count("*").alias("fewer"))
-        rest = state.where("waiting > 0").join(sent, ["dir", "cell_id"], "left")
-        rest = rest.select(
-            "dir", "cell_id", "tau", "own", (F.col("incoming") + F.coalesce("more", F.lit(0.0))).alias("incoming"), (F.col("waiting") - F.coalesce("fewer", F.lit(0))).alias("waiting")
-        )
-        following = materialise(rest, "wave")
-        discard(state)
-        state = following
-    if not active:
-        result = idle.limit(0).select("dir", "cell_id", F.lit(0.0).alias("incoming"), "outgoing")
-    else:
-        result = cells.sparkSession.read.schema(STATE).parquet(path).select("dir", "cell_id", "incoming", "outgoing")
-    return _with_idle(result, edges, cells, idle)
-
-
 def blocks_of(points: DataFrame, low, high, capacity: int = BLOCK_CELLS, id_col: str = "cell_id") -> DataFrame:
     """(cell_id, block): cells (with x, y, z) in runs of about ``capacity`` along the space-filling curve."""
     keyed = materialise(K.with_curve_key(points.select(id_col, "x", "y", "z"), low, high).select(id_col, "hi", "lo"), "keys")
@@ -149,6 +119,22 @@ def blocks_of(points: DataFrame, low, high, capacity: int = BLOCK_CELLS, id_col:
     return decomposed(keyed, F.col("hi"), F.col("lo"), F.lit(1), parts, "block").select(id_col, F.col("block").cast("int").alias("block"))
 
 
+def ranges_of(cells: DataFrame, capacity: int = BLOCK_CELLS) -> DataFrame:
+    """(cell_id, block): cells in ranges of ids of about ``capacity``."""
+    ids = materialise(cells.select("cell_id"), "keys")
+    parts = max(1, -(-ids.count() // capacity))
+    return decomposed(ids, F.col("cell_id"), F.lit(0), F.lit(1), parts, "block").select("cell_id", F.col("block").cast("int").alias("block"))
+
+
+def _in_runs(blocks: DataFrame) -> DataFrame:
+    """Blocks as they are or, if there are very many, runs of them that still fit into a task: rounds cost more than cells."""
+    sizes = materialise(blocks.groupBy("block").agg(F.count("*").alias("n")), "sizes")
+    if sizes.count() <= MAX_BLOCKS:
+        return blocks
+    before = exclusive_prefix(sizes, "block", "n").select("block", F.floor(F.col("prefix") / BLOCK_CELLS).cast("int").alias("run"))
+    return blocks.join(before, "block").select("cell_id", F.col("run").alias("block"))
+
+
 def _swept_block(rows: pd.DataFrame, sent: pd.DataFrame, threshold: float, now: int) -> pd.DataFrame:
     """What a block (its cells and edges) can sweep with the rates that other blocks have sent, and couldn't in the rounds before: a row
     a cell, and a row for each rate that leaves the block."""
@@ -200,7 +186,8 @@ def _block_task(threshold: float, now: int):
 
 def sweep_blocks(cells: DataFrame, wind: DataFrame, dirs: DataFrame, blocks: DataFrame, threshold: float = 0.0, max_rounds: int = 100_000) -> DataFrame:
     """The same by blocks (cell_id, block), each of which fits into a task: a round sweeps in every block what can be swept with what
-    other blocks have sent so far, and only rates across block boundaries are exchanged.
+    other blocks have sent so far, and only rates across block boundaries are exchanged. More than ``MAX_BLOCKS`` are put together in
+    runs of ``BLOCK_CELLS`` cells by their numbers, which don't change the rates.
 
     Cells and edges are written once, bucketed by direction and block, and read where they lie; a round reads the blocks that something
     new was sent to. Nothing is carried over but the sent rates: a block repeats what it swept before, so a lost executor costs its
@@ -208,7 +195,7 @@ def sweep_blocks(cells: DataFrame, wind: DataFrame, dirs: DataFrame, blocks: Dat
     """
     spark = cells.sparkSession
     edges, cells, idle, state = _started(cells, wind)
-    at = materialise(blocks.select("cell_id", "block"), "blocks")
+    at = materialise(_in_runs(materialise(blocks.select("cell_id", "block"), "blocks")), "blocks")
     active = materialise(state.join(at, "cell_id"), "active")
     known = active.select("dir", "cell_id", "block")
     inside = edges.join(known, ["dir", "cell_id"]).join(known.select("dir", F.col("cell_id").alias("neighbour_id"), F.col("block").alias("to_block")), ["dir", "neighbour_id"])
@@ -274,7 +261,9 @@ def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float
         return sweep_blocks(state, wind, dirs, blocks, threshold)
     if strategy is None:
         strategy = "grouped" if faces.count() <= GROUPED_FACES else "waves"
-    return {"grouped": sweep_grouped, "waves": sweep_waves}[strategy](state, wind, dirs, threshold)
+    if strategy == "waves":
+        return sweep_blocks(state, wind, dirs, ranges_of(cells), threshold)
+    return {"grouped": sweep_grouped}[strategy](state, wind, dirs, threshold)
 
 
 def periodic_inflow(swept: DataFrame, faces: DataFrame, dirs: DataFrame) -> DataFrame:

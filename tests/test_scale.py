@@ -1,8 +1,10 @@
 """Steps that failed on larger tables: what they send, and how many rows, rounds and parts they need."""
 
 from pyspark.sql import functions as F
+from test_graph import rates
+from test_operators import wave_setup
 
-from raysheaf.operators import neighbours, spatial
+from raysheaf.operators import decomposition, neighbours, spatial, sweep
 
 
 def scattered(spark, n):
@@ -54,3 +56,28 @@ def test_rows_meet_the_buckets_that_their_sphere_touches(spark):
 def test_boxes_carry_further_aggregates(spark):
     boxes = spatial.partition_boxes(scattered(spark, 30).withColumn("part", F.col("id") % 3), "part", ("x", "y"), n=F.count("*"))
     assert [r.n for r in boxes.collect()] == [10] * 3 and "Join" not in boxes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_run_on_inside_of_a_task(spark):
+    state, faces, dirs = wave_setup(spark, (40,), [(1, 0, 0)])
+    want = rates(sweep.sweep(state, faces, dirs, strategy="grouped"))
+    waves = sweep.sweep(state, faces, dirs, strategy="waves")
+    assert waves._rounds == 1 and rates(waves) == want
+    ranges = sweep.ranges_of(state, 7)
+    assert sorted(r.n for r in ranges.groupBy("block").agg(F.count("*").alias("n")).collect()) == [6, 6, 7, 7, 7, 7]
+
+
+def test_very_many_blocks_are_put_together(spark):
+    state, faces, dirs = wave_setup(spark, (140,), [(1, 0, 0)])
+    out = sweep.sweep(state, faces, dirs, blocks=state.select("cell_id", F.floor(F.col("cell_id") / 2).cast("int").alias("block")))
+    assert out._rounds == 1 and rates(out) == rates(sweep.sweep(state, faces, dirs, strategy="grouped"))
+
+
+def test_many_cuts_make_a_small_plan(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 40).alias("hi"), ((F.col("id") * 104729) % (1 << 40) + (1 << 60)).alias("lo"))
+    rows = rows.union(spark.createDataFrame([(None, 3), (4, None)], "hi long, lo long"))
+    cuts = decomposition.load_cuts(rows, F.col("hi"), F.col("lo"), F.lit(1), 500).keys
+    assert len(cuts) == 499
+    owned = rows.withColumn("part", decomposition.part_of(F.col("hi"), F.col("lo"), cuts))
+    assert len(owned._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    assert all(r.part == (None if None in (r.hi, r.lo) else sum(c <= (r.hi, r.lo) for c in cuts)) for r in owned.collect())
