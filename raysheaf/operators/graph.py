@@ -18,25 +18,94 @@ def _next(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
+def trimmed(edges: DataFrame, most: int | None = None) -> DataFrame:
     """The edges (dir, a, b) that are left when those are taken away, again and again, whose start nothing leads to or whose end
-    leads nowhere: cycles and paths between cycles. Both ends of all paths shrink in one round."""
+    leads nowhere: cycles and paths between cycles. Both ends of all paths shrink in one round; with ``most`` rounds longer ones stay."""
     rest = materialise(edges.select("dir", "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
     n = rest.count()
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS if most is None else most):
         into, out_of = rest.select("dir", F.col("b").alias("a")), rest.select("dir", F.col("a").alias("b"))
         rest = _next(rest, rest.join(into, ["dir", "a"], "left_semi").join(out_of, ["dir", "b"], "left_semi").select("dir", "a", "b"), "edges")
         before, n = n, rest.count()
         if n == before:
             return rest
-    raise RuntimeError("trimming didn't settle")
+    if most is None:
+        raise RuntimeError("trimming didn't settle")
+    return rest
+
+
+def _followed(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each node of ``single`` (dir, node, to: its only way on) ends up: (dir, node, root) for those that reach a node outside, and
+    (dir, component, node) for those on cycles of such nodes. Pointers are doubled: as many rounds as the logarithm of the longest way."""
+    inside = single.select("dir", F.col("node").alias("to"), F.lit(True).alias("inside"))
+    state = single.join(inside, ["dir", "to"], "left").select("dir", "node", "to", F.col("inside").isNull().alias("ended"), F.col("node").alias("least"))
+    state = materialise(state, "ways")
+    left, roots = state.where("NOT ended").count(), None
+    for _ in range(128):
+        if not left:
+            break
+        ahead = state.select("dir", F.col("node").alias("to"), F.col("to").alias("next"), F.col("ended").alias("ends"), F.col("least").alias("more"))
+        on = state.where("NOT ended").join(ahead, ["dir", "to"]).select("dir", "node", F.col("next").alias("to"), F.col("ends").alias("ended"), F.least("least", "more").alias("least"))
+        if roots is None:
+            state = _next(state, state.where("ended").unionByName(on), "ways")
+            before, left = left, state.where("NOT ended").count()
+            if left == before:  # ways of all lengths up to the longest occur, so what is left leads to cycles
+                roots, state, size = state, materialise(state.where("NOT ended"), "ways"), 1
+        else:
+            state, size = materialise(on, "ways"), size * 2
+            if size >= left:
+                break
+    roots = state if roots is None else roots
+    on_cycle = state.where("NOT ended").select("dir", F.col("to").alias("node")).distinct()
+    cycles = materialise(state.where("NOT ended").join(on_cycle, ["dir", "node"], "left_semi").select("dir", F.col("least").alias("component"), "node"), "cycles")
+    return roots.where("ended").select("dir", "node", F.col("to").alias("root")), cycles
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(dir, component, node): the nodes that lie on cycles of (dir, a, b), named by the least node of those that reach each other.
 
     Directions are graphs of their own. Nothing is put out for a graph without cycles; an edge from a node to itself is a cycle.
-    Method: what can't be on a cycle is trimmed; then each node takes the least name that leads to it, along the edges, and the
+    Method: nodes with one way on are contracted into the node where their way ends, by doubling pointers, so long chains and tails cost
+    the logarithm of their length; then the same backwards, as long as that makes the graph smaller. What is left is named by
+    ``_named``. A contracted node belongs to the component of the node it leads to if something of that component leads to it.
+    """
+    return _components(trimmed(edges, 3), 0)
+
+
+def _components(rest: DataFrame, vain: int) -> DataFrame:
+    out = materialise(rest.groupBy("dir", "a").agg(F.count("*").alias("n"), F.min("b").alias("b")), "degrees")
+    counts = out.agg(F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
+    turned = lambda df: df.select("dir", F.col("b").alias("a"), F.col("a").alias("b"))
+    if counts[1] * 20 <= counts[0]:
+        return _named(rest) if vain or not counts[0] else _components(materialise(turned(rest), "turned"), vain + 1)
+    single = out.where("n = 1").select("dir", F.col("a").alias("node"), F.col("b").alias("to"))
+    roots, cycles = _followed(single)
+    several = rest.join(out.where("n > 1").select("dir", "a"), ["dir", "a"], "left_semi")
+    led = several.join(roots.select("dir", F.col("node").alias("b"), "root"), ["dir", "b"], "left")
+    lost = single.join(roots, ["dir", "node"], "left_anti").select("dir", F.col("node").alias("b"))  # they lead to cycles that have no way out
+    led = materialise(led.join(lost, ["dir", "b"], "left_anti"), "led")
+    core = led.select("dir", "a", F.coalesce("root", "b").alias("b")).distinct()
+    inner = materialise(_components(trimmed(turned(core), 3), 0), "inner")
+    # contracted nodes that their component leads to, and all on their way
+    one, two = (inner.select("dir", F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "root"))
+    marked = materialise(led.where("root IS NOT NULL").join(one, ["dir", "a"]).join(two, ["dir", "root"]).where("c_a = c_root").select("dir", F.col("b").alias("node")).distinct(), "marked")
+    here = roots.join(inner.select("dir", F.col("node").alias("root")), ["dir", "root"], "left_semi").select("dir", "node")
+    jump = materialise(single.join(here, ["dir", "node"], "left_semi").join(here.withColumnRenamed("node", "to"), ["dir", "to"], "left_semi").select("dir", "node", "to"), "jumps")
+    for _ in range(64):
+        if jump.isEmpty():
+            break
+        marked = _next(marked, marked.unionByName(marked.join(jump, ["dir", "node"]).select("dir", F.col("to").alias("node"))).distinct(), "marked")
+        jump = _next(jump, jump.join(jump.select("dir", F.col("node").alias("to"), F.col("to").alias("next")), ["dir", "to"]).select("dir", "node", F.col("next").alias("to")), "jumps")
+    joined = marked.join(roots, ["dir", "node"]).join(inner.select("dir", F.col("node").alias("root"), "component"), ["dir", "root"]).select("dir", "component", "node")
+    joined = materialise(inner.unionByName(joined), "joined")
+    names = joined.groupBy("dir", "component").agg(F.min("node").alias("name"))
+    return cycles.unionByName(joined.join(names, ["dir", "component"]).select("dir", F.col("name").alias("component"), "node"))
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    """``strong_components`` of a graph whose nodes have several ways on and back.
+
+    What can't be on a cycle is trimmed; then each node takes the least name that leads to it, along the edges, and the
     nodes that lead back to their name without leaving it are a component; components are taken away until nothing is left. No
     component is held by one task. Rounds are as many as the longest of the shortest ways inside.
     """

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from test_graph import rates
 from test_operators import wave_setup
 
-from raysheaf.operators import decomposition, neighbours, spatial, sweep
+from raysheaf.operators import decomposition, graph, neighbours, spatial, sweep
+from raysheaf.streaming.timeline import Timeline
 
 
 def scattered(spark, n):
@@ -81,3 +82,32 @@ def test_many_cuts_make_a_small_plan(spark):
     owned = rows.withColumn("part", decomposition.part_of(F.col("hi"), F.col("lo"), cuts))
     assert len(owned._jdf.queryExecution().optimizedPlan().toString()) < 10_000
     assert all(r.part == (None if None in (r.hi, r.lo) else sum(c <= (r.hi, r.lo) for c in cuts)) for r in owned.collect())
+
+
+def test_long_ways_cost_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name, f=graph.materialise: written.append(name) or f(df, name))
+    ways = [(i, i + 1) for i in range(300)] + [(i, i + 1 if i < 379 else 300) for i in range(300, 380)]  # a tail and a cycle without way out
+    ways += [(1000 + i, 1000 + (i + 1) % 90) for i in range(90)] + [(1000, 1045), (2000, 1007), (1020, 5)]  # a cycle with a chord and ways in and out
+    edges = spark.createDataFrame([(0, a, b) for a, b in ways], "dir int, a long, b long")
+    got = sorted((r.component, r.node) for r in graph.strong_components(edges).collect())
+    assert got == [(300, i) for i in range(300, 380)] + [(1000, i) for i in range(1000, 1090)]
+    assert len(written) < 80  # a round for each step of the tail before
+
+
+def test_one_timer_stands_for_all_intervals_that_have_passed():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    held, known, timers = [], [], []
+    task = Timeline(1000, 50.0)
+    task.handle = SimpleNamespace(listTimers=lambda: iter(timers), registerTimer=timers.append)
+    task.held = SimpleNamespace(appendList=held.extend, get=lambda: iter(held), put=lambda h: held.__setitem__(slice(None), h), clear=held.clear)
+    task.known = SimpleNamespace(exists=lambda: bool(known), get=lambda: known[-1], update=known.append, clear=known.clear)
+    list(task.handleInputRows((7,), iter([pd.DataFrame({"time_ms": [100 * i for i in range(40)], "value": [2.0 * i for i in range(40)]})]), None))
+    assert timers == [1000]
+    at = lambda v: SimpleNamespace(getExpiryTimeInMs=lambda: v, getCurrentWatermarkInMs=lambda: v)
+    out = pd.concat(task.handleExpiredTimer((7,), at(3500), at(1000)))
+    assert [tuple(r) for r in out[["kind", "time_ms", "value", "n"]].itertuples(index=False)] == [("snapshot", 1000, 18.0, 10), ("snapshot", 2000, 38.0, 10), ("crossing", 2600, 52.0, 1), ("snapshot", 3000, 58.0, 10)]
+    assert timers == [1000, 4000] and len(held) == 10 and len(known) == 1
