@@ -1,7 +1,7 @@
 """An entity's timeline as one stateful processor: snapshots at fixed times and the first crossing of a threshold, in event time.
 
-States may come out of order. An entity's are held until the watermark passes the end of their interval; then a timer puts out the
-interval's snapshot (the last value in it and how many there were) and, once, the time at which the value first exceeded the
+States may come out of order. An entity's are held until the watermark passes the end of their interval; then a timer, one for all
+intervals that the watermark has passed, puts out the interval's snapshot (the last value in it and how many there were) and, once, the time at which the value first exceeded the
 threshold. So what is put out is final and doesn't depend on the order of arrival, on batches or on restarts. State is the states of
 open intervals and three numbers; an entity that is idle for some intervals is forgotten. ``flush_row`` ends a stream: its time
 is later than any other, so all timers fire.
@@ -37,39 +37,47 @@ class Timeline(StatefulProcessor):
         self.known = handle.getValueState("known", "highest double, crossed boolean, last_ms long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        ends: set[int] = set()
+        first = None
         for some in rows:
-            ends.update(((some["time_ms"] // self.interval + 1) * self.interval).tolist())
-            self.held.appendList([(int(t), float(v)) for t, v in zip(some["time_ms"], some["value"], strict=True)])
-        for end in ends - set(self.handle.listTimers()):
-            self.handle.registerTimer(int(end))
+            end = int(some["time_ms"].min() // self.interval + 1) * self.interval
+            first = end if first is None else min(first, end)
+            self.held.appendList(list(zip(some["time_ms"].tolist(), some["value"].tolist(), strict=True)))
+        if first is not None and not any(t <= first for t in self.handle.listTimers()):
+            self.handle.registerTimer(first)  # one that stands for all later intervals too
         yield _rows([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        held = sorted((t, v) for t, v in self.held.get())
-        due, later = [h for h in held if h[0] < now], [h for h in held if h[0] >= now]
-        highest, crossed, last = self.known.get() if self.known.exists() else (float("-inf"), False, now)
-        if due and self.idle is not None and due[0][0] // self.interval - last // self.interval > self.idle:
-            highest, crossed = float("-inf"), False  # forgotten, whether or not the timer that clears its state has fired yet
-        for time, value in due:
-            highest = max(highest, value)
-            if value > self.above and not crossed:
-                crossed = True
-                out.append((key[0], "crossing", time, highest, 1))
+        """All intervals that the watermark has passed, with one look at the state."""
+        passed, out = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
+        slots: dict[int, list[tuple]] = {}
+        for t, v in sorted((t, v) for t, v in self.held.get()):
+            slots.setdefault((t // self.interval + 1) * self.interval, []).append((t, v))
+        due, later = {e: h for e, h in slots.items() if e <= passed}, {e: h for e, h in slots.items() if e > passed}
+        highest, crossed, last = self.known.get() if self.known.exists() else (float("-inf"), False, None)
+        for now, states in due.items():  # in order of time
+            if self.idle is not None and last is not None and states[0][0] // self.interval - last // self.interval > self.idle:
+                highest, crossed = float("-inf"), False  # forgotten, whether or not the timer that clears its state has fired yet
+            for time, value in states:
+                highest = max(highest, value)
+                if value > self.above and not crossed:
+                    crossed = True
+                    out.append((key[0], "crossing", time, highest, 1))
+            last = states[-1][0]
+            out.append((key[0], "snapshot", now, states[-1][1], len(states)))
         if due:
-            out.append((key[0], "snapshot", now, due[-1][1], len(due)))
-            last = due[-1][0]
             if later:
-                self.held.put(later)
+                self.held.put([h for states in later.values() for h in states])
             else:
                 self.held.clear()
-            if self.idle is not None:
-                self.handle.registerTimer((last // self.interval + 1 + self.idle) * self.interval)
-        if self.idle is not None and not later and now >= (last // self.interval + 1 + self.idle) * self.interval:
-            self.known.clear()  # nothing came for so long: the entity is forgotten
-        else:
+        if later:
+            self.handle.registerTimer(min(later))
+        forgotten = None if self.idle is None or last is None else (last // self.interval + 1 + self.idle) * self.interval
+        if forgotten is not None and not later and passed >= forgotten:
+            self.known.clear()  # nothing came for so long
+        elif due:
             self.known.update((highest, crossed, last))
+            if forgotten is not None:
+                self.handle.registerTimer(forgotten)
         yield _rows(out)
 
     def close(self) -> None:
