@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise
+from ..session import discard, materialise, scratch_path
 
 MAX_ROUNDS = 100_000
 
@@ -151,9 +151,10 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
 
     ``ring`` is a ring's least item, which has rank 0; the ring goes on to the smaller one of its partners. A pair may be given one way
     or both. Two items that have only each other are a ring of two. An item with another number of partners is an error.
-    Method: list ranking. A step along a ring is a pair (from, to), whose successor is (to, the other partner of to). Pointers are doubled,
-    so after as many rounds as the logarithm of the longest ring each step knows the least item of its ring; the ring is
-    cut open there and a second doubling counts the steps to its end. No ring is held by one task.
+    Method: list ranking. In each round items whose hash is less than that of both neighbours leave, and their neighbours are linked over
+    them by the sum of both ways, so a third of the items leaves a round and all rounds together move some three times what the first
+    does; ways are told apart by the side of an item that they leave from. The last item of a ring gets place 0, and round by round, backwards, those
+    that left get theirs from a neighbour. No ring is held by one task.
     """
     both = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = materialise(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
@@ -163,40 +164,60 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
     odd = partners.where("n > 2").select("a").union(lone.select("a").join(duos.select("a"), "a", "left_anti"))
     if not odd.isEmpty():
         raise ValueError(f"{odd.count()} items don't have two partners, {odd.first()[0]} among them")
-    ends = partners.where("n = 2")
-    # a step (a, b): its successor is (b, the partner of b that isn't a)
-    steps = both.join(ends.select(F.col("a").alias("b"), "one", "two"), "b").select("a", "b", F.col("b").alias("to_a"), F.when(F.col("one") == F.col("a"), F.col("two")).otherwise(F.col("one")).alias("to_b"))
-    steps = materialise(steps.withColumn("least", F.least("a", "b")), "steps")
-    jump = steps
-    for _ in range(64):  # the least item of 2^k steps ahead
-        ahead = jump.select(F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("to_a").alias("next_a"), F.col("to_b").alias("next_b"), F.col("least").alias("more"))
-        joined = jump.join(ahead, ["to_a", "to_b"]).select("a", "b", F.col("next_a").alias("to_a"), F.col("next_b").alias("to_b"), F.least("least", "more").alias("least"), (F.col("more") < F.col("least")).alias("moved"))
-        following = materialise(joined, "jumps")
-        if jump is not steps:
-            discard(jump)
-        jump = following
-        if jump.where("moved").isEmpty():
-            break
-    # the way round that begins with the least item and its smaller partner; it ends before the step that begins it
-    first = ends.select(F.col("a").alias("ring"), F.col("one").alias("second"))
-    named = steps.drop("least").join(jump.select("a", "b", F.col("least").alias("ring")), ["a", "b"]).join(first, "ring")
-    starts = (F.col("to_a") == F.col("ring")) & (F.col("to_b") == F.col("second"))
-    last = F.when(starts, F.lit(None))
-    chain = materialise(named.select("ring", "a", "b", last.otherwise(F.col("to_a")).alias("to_a"), last.otherwise(F.col("to_b")).alias("to_b"), F.when(starts, 0).otherwise(1).cast("long").alias("left")), "chain")
-    for _ in range(64):
-        ahead = chain.select(F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("to_a").alias("next_a"), F.col("to_b").alias("next_b"), F.col("left").alias("more"))
-        on = chain.where("to_a IS NOT NULL").join(ahead, ["to_a", "to_b"]).select("ring", "a", "b", F.col("next_a").alias("to_a"), F.col("next_b").alias("to_b"), (F.col("left") + F.col("more")).alias("left"))
-        chain = _next(chain, chain.where("to_a IS NULL").unionByName(on), "chain")
-        # steps of the other way round never end; the one that begins a ring is the last of this way to do so
-        if chain.where("to_a IS NOT NULL AND a = ring").join(first, "ring").where("b = second").isEmpty():
-            break
-    counted = chain.where("to_a IS NULL")
-    n = counted.groupBy("ring").agg((F.max("left") + 1).alias("n"))
-    rings = counted.join(n, "ring").select("ring", (F.col("n") - 1 - F.col("left")).alias("rank"), "n", F.col("a").alias("item"), F.col("b").alias("following"))
+    ends = partners.where("n = 2").select("a", "one", "two")
+    # side 0 of an item is towards the smaller partner; a way is (at: the item there, code: twice its length plus the side there)
+    told = ends.select(F.explode(F.array(*(F.struct(F.col(c).alias("item"), F.col("a").alias("at"), F.lit(2 + i).cast("long").alias("code")) for i, c in enumerate(("one", "two"))))).alias("t")).select("t.*")
+    sides = told.groupBy("item").agg(F.min("at").alias("at0"), F.min_by("code", "at").alias("code0"), F.max("at").alias("at1"), F.max_by("code", "at").alias("code1"))
+    rounds = [materialise(sides.withColumn("leaves", _leaves(0)), "ways")]
+    while not rounds[-1].where("leaves").isEmpty():
+        rounds.append(materialise(_linked_over(rounds[-1]).withColumn("leaves", _leaves(len(rounds))), "ways"))
+    path = scratch_path(pairs.sparkSession, "places")
+    last = rounds[-1].select("item", F.col("item").alias("last"), F.lit(1).cast("long").alias("place"))  # twice the place plus the side that leads on
+    last.write.parquet(path)
+    places = pairs.sparkSession.read.schema(last.schema).parquet(path)
+    for left in reversed(rounds[:-1]):
+        near = places.select(F.col("item").alias("at0"), "last", "place")
+        after = F.expr("(place & 1) = (code0 & 1)")  # the neighbour's side towards the item leads on
+        place = F.when(after, F.expr("((place >> 1) + (code0 >> 1)) * 2 + 1")).otherwise(F.expr("((place >> 1) - (code0 >> 1)) * 2"))
+        left.where("leaves").join(near, "at0").select("item", "last", place.alias("place")).write.mode("append").parquet(path)
+        places = pairs.sparkSession.read.schema(last.schema).parquet(path)
+    for one in rounds:
+        discard(one)
+    # a ring begins at its least item and goes on by that item's side 0
+    least = materialise(places.groupBy("last").agg(F.min("item").alias("item"), F.count("*").alias("n")), "least")
+    firsts = materialise(places.join(least, ["last", "item"]).select("last", F.col("item").alias("ring"), "n", F.col("place").alias("first")), "firsts")
+    ways = F.expr("CASE WHEN (first & 1) = 0 THEN (place >> 1) - (first >> 1) ELSE (first >> 1) - (place >> 1) END")
+    along = F.when(F.expr("(place & 1) = (first & 1)"), F.col("one")).otherwise(F.col("two"))
+    ranked = places.join(firsts, "last").join(ends.withColumnRenamed("a", "item"), "item")
+    rings = ranked.select("ring", F.pmod(ways, "n").alias("rank"), "n", "item", along.alias("following"))
     two = duos.select(F.least("a", "one").alias("ring"), F.when(F.col("a") < F.col("one"), 0).otherwise(1).cast("long").alias("rank"), F.lit(2).cast("long").alias("n"), F.col("a").alias("item"), F.col("one").alias("following"))
     return materialise(rings.unionByName(two), "rings")
 
 
+def _leaves(k: int) -> Column:
+    """Whether an item leaves in round ``k``: both neighbours have greater hashes (of equal ones, ids). Two neighbours never do."""
+    item = F.xxhash64(F.lit(k), "item")
+    less = lambda at: (item < F.xxhash64(F.lit(k), at)) | ((item == F.xxhash64(F.lit(k), at)) & (F.col("item") < F.col(at)))
+    return less("at0") & less("at1")
+
+
+def _linked_over(ways: DataFrame) -> DataFrame:
+    """The items that stay, linked over those that leave."""
+    columns, blank = ["at0", "code0", "at1", "code1"], {"at": ways.schema["item"].dataType, "code": "long"}
+    null = {c: F.lit(None).cast(blank[c[:-1]]) for c in columns}
+    stay = ways.where("NOT leaves").select("item", *columns, *(null[c].alias(f"new_{c}") for c in columns))
+
+    def tell(own: int, other: int) -> Column:
+        """To the neighbour on one side: the way to the neighbour on the other."""
+        length = F.shiftright("code0", 1) + F.shiftright("code1", 1)
+        side = F.col(f"code{own}").bitwiseAND(1)
+        news = {"at": F.col(f"at{other}"), "code": length * 2 + F.col(f"code{other}").bitwiseAND(1)}
+        return F.struct(F.col(f"at{own}").alias("item"), *(null[c].alias(c) for c in columns), *(F.when(side == int(c[-1]), news[c[:-1]]).alias(f"new_{c}") for c in columns))
+
+    told = ways.where("leaves").select(F.explode(F.array(tell(0, 1), tell(1, 0))).alias("t")).select("t.*")
+    return stay.unionByName(told).groupBy("item").agg(*(F.coalesce(F.max(f"new_{c}"), F.max(c)).alias(c) for c in columns))
+
+
 def ring_areas(rings: DataFrame, corners: DataFrame) -> DataFrame:
     """(ring, n, area): the area of the polygon of each ring's corners (item, x, y), in the order of ``arranged_in_rings``."""
     here = corners.select("item", F.col("x").alias("x0"), F.col("y").alias("y0"))
