@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise, scratch_path
 
 MAX_ROUNDS = 100_000
+MERGED = 8  # rounds of contraction that hold nearly all items, whose joins merge
 
 
 def _next(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
@@ -155,9 +156,11 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
     them by the sum of both ways, so a third of the items leaves a round and all rounds together move some three times what the first
     does; ways are told apart by the side of an item that they leave from. The last item of a ring gets place 0, and round by round, backwards, those
     that left get theirs from a neighbour. No ring is held by one task.
+    Rows are exchanged narrow, before they are grouped: an item has few, so grouping them where they come from only makes them wider.
+    Joins of what grows with the relation merge at every size: of small files Spark would send all rows, many times as large, to all tasks.
     """
     both = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = materialise(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
+    both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a").distinct()
     partners = materialise(both.groupBy("a").agg(F.min("b").alias("one"), F.max("b").alias("two"), F.count("*").alias("n")), "partners")
     lone = partners.where("n = 1").select("a", "one")
     duos = lone.join(lone.select(F.col("a").alias("one"), F.col("one").alias("a")), ["a", "one"])
@@ -166,7 +169,7 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
         raise ValueError(f"{odd.count()} items don't have two partners, {odd.first()[0]} among them")
     ends = partners.where("n = 2").select("a", "one", "two")
     # side 0 of an item is towards the smaller partner; a way is (at: the item there, code: twice its length plus the side there)
-    told = ends.select(F.explode(F.array(*(F.struct(F.col(c).alias("item"), F.col("a").alias("at"), F.lit(2 + i).cast("long").alias("code")) for i, c in enumerate(("one", "two"))))).alias("t")).select("t.*")
+    told = ends.select(F.explode(F.array(*(F.struct(F.col(c).alias("item"), F.col("a").alias("at"), F.lit(2 + i).cast("long").alias("code")) for i, c in enumerate(("one", "two"))))).alias("t")).select("t.*").repartition("item")
     sides = told.groupBy("item").agg(F.min("at").alias("at0"), F.min_by("code", "at").alias("code0"), F.max("at").alias("at1"), F.max_by("code", "at").alias("code1"))
     rounds = [materialise(sides.withColumn("leaves", _leaves(0)), "ways")]
     while not rounds[-1].where("leaves").isEmpty():
@@ -175,8 +178,9 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
     last = rounds[-1].select("item", F.col("item").alias("last"), F.lit(1).cast("long").alias("place"))  # twice the place plus the side that leads on
     last.write.parquet(path)
     places = pairs.sparkSession.read.schema(last.schema).parquet(path)
-    for left in reversed(rounds[:-1]):
+    for k, left in reversed(list(enumerate(rounds[:-1]))):
         near = places.select(F.col("item").alias("at0"), "last", "place")
+        near = near.hint("merge") if k < MERGED else near
         after = F.expr("(place & 1) = (code0 & 1)")  # the neighbour's side towards the item leads on
         place = F.when(after, F.expr("((place >> 1) + (code0 >> 1)) * 2 + 1")).otherwise(F.expr("((place >> 1) - (code0 >> 1)) * 2"))
         left.where("leaves").join(near, "at0").select("item", "last", place.alias("place")).write.mode("append").parquet(path)
@@ -188,7 +192,7 @@ def arranged_in_rings(pairs: DataFrame) -> DataFrame:
     firsts = materialise(places.join(least, ["last", "item"]).select("last", F.col("item").alias("ring"), "n", F.col("place").alias("first")), "firsts")
     ways = F.expr("CASE WHEN (first & 1) = 0 THEN (place >> 1) - (first >> 1) ELSE (first >> 1) - (place >> 1) END")
     along = F.when(F.expr("(place & 1) = (first & 1)"), F.col("one")).otherwise(F.col("two"))
-    ranked = places.join(firsts, "last").join(ends.withColumnRenamed("a", "item"), "item")
+    ranked = places.join(firsts, "last").join(ends.withColumnRenamed("a", "item").hint("merge"), "item")
     rings = ranked.select("ring", F.pmod(ways, "n").alias("rank"), "n", "item", along.alias("following"))
     two = duos.select(F.least("a", "one").alias("ring"), F.when(F.col("a") < F.col("one"), 0).otherwise(1).cast("long").alias("rank"), F.lit(2).cast("long").alias("n"), F.col("a").alias("item"), F.col("one").alias("following"))
     return materialise(rings.unionByName(two), "rings")
@@ -203,24 +207,26 @@ def _leaves(k: int) -> Column:
 
 def _linked_over(ways: DataFrame) -> DataFrame:
     """The items that stay, linked over those that leave."""
-    columns, blank = ["at0", "code0", "at1", "code1"], {"at": ways.schema["item"].dataType, "code": "long"}
-    null = {c: F.lit(None).cast(blank[c[:-1]]) for c in columns}
-    stay = ways.where("NOT leaves").select("item", *columns, *(null[c].alias(f"new_{c}") for c in columns))
+    blank = {c: F.lit(None).cast(ways.schema[c].dataType) for c in ("at1", "code1")}
+    stay = ways.where("NOT leaves").select("item", F.lit(None).cast("int").alias("side"), "at0", "code0", "at1", "code1")
 
     def tell(own: int, other: int) -> Column:
-        """To the neighbour on one side: the way to the neighbour on the other."""
+        """To the neighbour on one side, for its ``side`` towards the item: the way to the neighbour on the other."""
         length = F.shiftright("code0", 1) + F.shiftright("code1", 1)
-        side = F.col(f"code{own}").bitwiseAND(1)
-        news = {"at": F.col(f"at{other}"), "code": length * 2 + F.col(f"code{other}").bitwiseAND(1)}
-        return F.struct(F.col(f"at{own}").alias("item"), *(null[c].alias(c) for c in columns), *(F.when(side == int(c[-1]), news[c[:-1]]).alias(f"new_{c}") for c in columns))
+        side = F.col(f"code{own}").bitwiseAND(1).cast("int")
+        code = length * 2 + F.col(f"code{other}").bitwiseAND(1)
+        return F.struct(F.col(f"at{own}").alias("item"), side.alias("side"), F.col(f"at{other}").alias("at0"), code.alias("code0"), *(v.alias(c) for c, v in blank.items()))
 
     told = ways.where("leaves").select(F.explode(F.array(tell(0, 1), tell(1, 0))).alias("t")).select("t.*")
-    return stay.unionByName(told).groupBy("item").agg(*(F.coalesce(F.max(f"new_{c}"), F.max(c)).alias(c) for c in columns))
+    new = lambda c, side: F.max(F.when(F.col("side") == side, F.col(f"{c}0")))
+    old = lambda c, side: F.max(F.when(F.col("side").isNull(), F.col(f"{c}{side}")))
+    news = [F.coalesce(new(c, side), old(c, side)).alias(f"{c}{side}") for side in (0, 1) for c in ("at", "code")]
+    return stay.unionByName(told).repartition("item").groupBy("item").agg(*news)
 
 
 def ring_areas(rings: DataFrame, corners: DataFrame) -> DataFrame:
     """(ring, n, area): the area of the polygon of each ring's corners (item, x, y), in the order of ``arranged_in_rings``."""
     here = corners.select("item", F.col("x").alias("x0"), F.col("y").alias("y0"))
     there = corners.select(F.col("item").alias("following"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    sides = rings.join(here, "item").join(there, "following")
+    sides = rings.select("ring", "n", "item", "following").join(here.hint("merge"), "item").join(there.hint("merge"), "following")
     return sides.groupBy("ring", "n").agg((F.abs(F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0"))) / 2).alias("area"))
