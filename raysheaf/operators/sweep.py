@@ -88,15 +88,16 @@ def sweep_grouped(cells: DataFrame, wind: DataFrame, dirs: DataFrame, threshold:
 
 def _started(cells: DataFrame, wind: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Written edges and cells, the cells that aren't swept with their rates, and the others with incoming (what is known at the
-    beginning) and waiting (upwind neighbours that are swept)."""
+    beginning) and waiting (upwind neighbours that are swept). All of these grow with cells and directions, and files of them are much
+    smaller than their rows, so their joins merge at every size: Spark would send files of under 10 MB through the driver to all tasks."""
     edges = materialise(wind.where("kind = 'interior'").select("dir", "cell_id", "neighbour_id", "share"), "edges")
     cells = materialise(cells.select("dir", "cell_id", "tau", "own", "inflow", "fixed"), "state")
     idle = cells.where("fixed is not null").select("dir", "cell_id", F.col("fixed").alias("outgoing"))
     to = F.col("neighbour_id").alias("cell_id")
-    given = idle.join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(F.col("outgoing") * F.col("share")).alias("given"))
+    given = idle.hint("merge").join(edges, ["dir", "cell_id"]).groupBy("dir", to).agg(F.sum(F.col("outgoing") * F.col("share")).alias("given"))
     active = cells.where("fixed is null")
-    waiting = edges.join(active.select("dir", "cell_id"), ["dir", "cell_id"], "left_semi").groupBy("dir", to).agg(F.count("*").alias("waiting"))
-    state = active.join(waiting, ["dir", "cell_id"], "left").join(given, ["dir", "cell_id"], "left").select(
+    waiting = edges.join(active.select("dir", "cell_id").hint("merge"), ["dir", "cell_id"], "left_semi").groupBy("dir", to).agg(F.count("*").alias("waiting"))
+    state = active.join(waiting.hint("merge"), ["dir", "cell_id"], "left").join(given.hint("merge"), ["dir", "cell_id"], "left").select(
         "dir", "cell_id", "tau", "own", (F.col("inflow") + F.coalesce("given", F.lit(0.0))).alias("incoming"), F.coalesce("waiting", F.lit(0)).alias("waiting")
     )
     return edges, cells, idle, state
@@ -107,8 +108,8 @@ def _with_idle(result: DataFrame, edges: DataFrame, cells: DataFrame, idle: Data
     if idle.isEmpty():
         return result
     rates = result.select("dir", "cell_id", "outgoing").unionByName(idle)
-    got = rates.join(edges, ["dir", "cell_id"]).groupBy("dir", F.col("neighbour_id").alias("cell_id")).agg(F.sum(F.col("outgoing") * F.col("share")).alias("got"))
-    still = cells.where("fixed is not null").join(got, ["dir", "cell_id"], "left")
+    got = rates.hint("merge").join(edges, ["dir", "cell_id"]).groupBy("dir", F.col("neighbour_id").alias("cell_id")).agg(F.sum(F.col("outgoing") * F.col("share")).alias("got"))
+    still = cells.where("fixed is not null").join(got.hint("merge"), ["dir", "cell_id"], "left")
     return result.unionByName(still.select("dir", "cell_id", (F.col("inflow") + F.coalesce("got", F.lit(0.0))).alias("incoming"), F.col("fixed").alias("outgoing")))
 
 
@@ -196,9 +197,10 @@ def sweep_blocks(cells: DataFrame, wind: DataFrame, dirs: DataFrame, blocks: Dat
     spark = cells.sparkSession
     edges, cells, idle, state = _started(cells, wind)
     at = materialise(_in_runs(materialise(blocks.select("cell_id", "block"), "blocks")), "blocks")
-    active = materialise(state.join(at, "cell_id"), "active")
+    active = materialise(state.join(at.hint("merge"), "cell_id"), "active")
     known = active.select("dir", "cell_id", "block")
-    inside = edges.join(known, ["dir", "cell_id"]).join(known.select("dir", F.col("cell_id").alias("neighbour_id"), F.col("block").alias("to_block")), ["dir", "neighbour_id"])
+    to = known.select("dir", F.col("cell_id").alias("neighbour_id"), F.col("block").alias("to_block"))
+    inside = edges.join(known.hint("merge"), ["dir", "cell_id"]).join(to.hint("merge"), ["dir", "neighbour_id"])
     cell = active.withColumns({"edge": F.lit(False), "target": F.lit(0).cast("long"), "to_block": F.lit(-1), "share": F.lit(0.0)})
     edge = inside.withColumnRenamed("neighbour_id", "target").withColumns({"edge": F.lit(True), "waiting": F.lit(0).cast("long"), **{c: F.lit(0.0) for c in ("tau", "own", "incoming")}})
     names = ["dir", "block", "edge", "cell_id", "tau", "own", "incoming", "waiting", "target", "to_block", "share"]
@@ -251,11 +253,11 @@ def sweep(cells: DataFrame, faces: DataFrame, dirs: DataFrame, threshold: float
     if inflow is None:
         state = state.withColumn("inflow", F.lit(0.0))
     else:
-        state = state.join(inflow, ["dir", "cell_id"], "left").fillna(0.0, ["inflow"])
+        state = state.join(inflow.hint("merge"), ["dir", "cell_id"], "left").fillna(0.0, ["inflow"])
     if fixed is None:
         state = state.withColumn("fixed", F.lit(None).cast("double"))
     else:
-        state = state.join(fixed, ["dir", "cell_id"], "left")
+        state = state.join(fixed.hint("merge"), ["dir", "cell_id"], "left")
     wind = downwind(faces, dirs)
     if blocks is not None:
         return sweep_blocks(state, wind, dirs, blocks, threshold)
